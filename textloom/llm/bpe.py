@@ -20,6 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 #: Unicode's White_Space property, which the pattern's \s stands for; Python's \s has four controls more.
 WHITE_SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -265,6 +266,8 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text") ->
 
     A null text counts as empty and has no tokens. Rows stay in their partitions.
     """
+    if "token_ids" in df.columns:
+        raise ValueError("there is a column token_ids already")
     lines, at = _rank_file(df, ranks_path), df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,10 +276,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text") ->
             ids = pa.array([coder.encode(x.as_py() or "") for x in batch.column(at)], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, "token_ids"])
 
-    kinds = df.schema.add("token_ids", "array<int>") if "token_ids" not in df.columns else None
-    if kinds is None:
-        raise ValueError("there is a column token_ids already")
-    return df.mapInArrow(run, kinds)
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField("token_ids", ArrayType(IntegerType()))]))
 
 
 def encoding_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
