@@ -12,6 +12,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import operator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -27,6 +29,7 @@ QUERIES_A_GROUP = 4096
 RESOLUTIONS = (1, 4, 16)
 QUERIES_AT_ONCE = 256
 EXACT_IN_DOUBLE = float(1 << 53)
+LOWEST = -(1 << 62)
 
 
 def quantised(embedding: Column) -> Column:
@@ -62,7 +65,7 @@ def _exact(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     most = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * q.shape[1]
     if most < EXACT_IN_DOUBLE:
         return (q.astype(float) @ c.T.astype(float)).astype(np.int64)
-    return np.array([[sum(a * b for a, b in zip(u, v, strict=True)) for v in c.tolist()] for u in q.tolist()])
+    return np.array([[sum(map(operator.mul, u, v)) for v in c.tolist()] for u in q.tolist()], dtype=object).reshape(len(q), len(c))
 
 
 def _search(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int) -> tuple[list, list, list]:
@@ -75,27 +78,31 @@ def _search(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: i
     for lo in range(0, len(q), QUERIES_AT_ONCE):
         ids, block = qid[lo : lo + QUERIES_AT_ONCE], q[lo : lo + QUERIES_AT_ONCE]
         sides = [_describe(block.astype(float), n) for n in RESOLUTIONS]
+        slack = 1e-9 * (1 + float(np.abs(block).max(initial=0)) * big)
         bound = sides[0] @ levels[0].T
-        # the candidates with the highest coarse bounds give each query a floor to begin with
+        # the scores of the candidates with the highest coarse bounds give each query a floor
         some = min(4 * k, len(c))
         likely = np.argpartition(-bound, some - 1, axis=1)[:, :some]
+        scores = np.where(cid[likely] == ids[:, None], -np.inf, np.einsum("qd,qcd->qc", block.astype(float), cf[likely]))
+        floor = np.partition(scores, -k, axis=1)[:, -k] if some > k else np.full(len(block), -np.inf)
+        alive = (bound >= floor[:, None] - slack) & (cid[None, :] != ids[:, None])
+        some = np.flatnonzero(alive.any(axis=0))
+        for side, level in zip(sides[1:], levels[1:], strict=True):
+            alive = alive[:, some] if len(some) < alive.shape[1] else alive
+            alive &= side @ level[some].T >= floor[:, None] - slack
+            keep = alive.any(axis=0)
+            some, alive = some[keep], alive[:, keep]
+        exact = _exact(block, c[some])
+        exact = np.where(alive, exact, LOWEST) if exact.dtype != object else np.where(alive, exact, None)
         for i in range(len(block)):
-            slack = 1e-9 * (1 + float(np.abs(block[i]).max(initial=0)) * big)
-            first = likely[i]
-            scores = _exact(block[i : i + 1], c[first])[0] if slack > 1e3 else (cf[first] @ block[i].astype(float)).astype(np.int64)
-            own = cid[first] != ids[i]
-            floor = np.sort(scores[own])[-k] if own.sum() >= k else None
-            alive = np.arange(len(c))
-            if floor is not None:
-                alive = alive[bound[i] >= floor - slack]
-                for side, level in zip(sides[1:], levels[1:], strict=True):
-                    alive = alive[level[alive] @ side[i] >= floor - slack]
-            alive = alive[cid[alive] != ids[i]]
-            scores = _exact(block[i : i + 1], c[alive])[0]
-            best = np.lexsort((cid[alive], -scores))[:k]
+            at = np.flatnonzero(alive[i])
+            if len(at) > k and exact.dtype != object:
+                at = at[exact[i, at] >= np.partition(exact[i, at], -k)[-k]]
+            values = exact[i, at]
+            best = np.lexsort((cid[some[at]], -values))[:k]
             out_q += [int(ids[i])] * len(best)
-            out_c += cid[alive][best].tolist()
-            out_s += [int(x) for x in scores[best]]
+            out_c += cid[some[at[best]]].tolist()
+            out_s += [int(x) for x in values[best]]
     return out_q, out_c, out_s
 
 
