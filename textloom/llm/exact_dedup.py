@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.llm.links import rows_that_stay
 from textloom.llm.shared import settle
 
 BLOCK_BYTES = 4096
@@ -135,23 +136,5 @@ def exact_dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_bits: in
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``exact_dedup`` keeps, with their columns as they are."""
-    verdict = settle(exact_dedup(docs), "copies")
-    gone = verdict.groupBy("doc_id", "text_sha256").agg(
-        F.max("kept").alias("stays"), F.count("*").alias("n")
-    )
-    gone = settle(gone.filter(~F.col("stays") | (F.col("n") > 1)), "dropped-copies")
-    a, b = docs.alias("a"), gone.alias("b")
-    same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.sha2(_text("a.text"), 256) == F.col("b.text_sha256"))
-    kept = a.join(b, same, "left_anti")
-    repeated = gone.filter("stays")
-    if repeated.isEmpty():
-        return kept
-    b = repeated.alias("b")
-    names = docs.columns
-    one = (
-        a.join(b, same, "left_semi")
-        .groupBy(F.col("a.doc_id").alias("k1"), F.sha2(_text("a.text"), 256).alias("k2"))
-        .agg(F.min(F.struct(*[F.col(f"a.`{c}`") for c in names])).alias("row"))
-        .select("row.*")
-    )
-    return kept.unionByName(one)
+    verdicts = settle(exact_dedup(docs), "copies")
+    return rows_that_stay(docs, verdicts, "text_sha256", F.sha2(_text("a.text"), 256))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -87,3 +89,16 @@ def shingles(words: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarr
         part = words[np.minimum(place + k, max(n - 1, 0))] * U64(2 * k + 1) + U64(k) if n else words
         total = mix(total + np.where(k < short, part, U64(0)))
     return total[full], row[full]
+
+
+def slices(column: pa.Array, most_bytes: int = 2 << 20) -> Iterator[tuple[int, int]]:
+    """``first, count`` of runs of rows with at most ``most_bytes`` bytes together; a longer row is alone."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    first, total = 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if total and total + n > most_bytes:
+            yield first, i - first
+            first, total = i, 0
+        total += n
+    if first < len(sizes):
+        yield first, len(sizes) - first
