@@ -46,3 +46,27 @@ def private(text):
     )
     out = [(m.start(), k, m.end()) for k, (p, ok) in enumerate(checks) for m in re.finditer(p, text) if ok(m)]
     return out, _digest(out, PRIVATE)
+
+
+def repeats(rows, length):
+    """rows of (doc_id, text): {index: (n_bytes, n_removed, n_spans, kept_sha256)}."""
+    last = (1 << 63) - 1
+    first = {}
+    for doc, text in rows:
+        data = (text or "").encode()
+        doc = last if doc is None else doc
+        for i in range(len(data) - length + 1):
+            s = data[i : i + length]
+            first[s] = min(doc, first.get(s, doc))
+    out = []
+    for doc, text in rows:
+        data = (text or "").encode()
+        doc = last if doc is None else doc
+        gone = bytearray(len(data))
+        for i in range(len(data) - length + 1):
+            if first[data[i : i + length]] < doc:
+                gone[i : i + length] = b"\1" * length
+        kept = bytes(b for b, g in zip(data, gone) if not g)
+        spans = sum(g and (i == 0 or not gone[i - 1]) for i, g in enumerate(gone))
+        out.append((len(data), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
+    return out
