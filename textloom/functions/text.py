@@ -74,8 +74,12 @@ def stem_normalised(term: Column) -> Column:
 
 def stem(token: Column, enabled: bool = True) -> Column:
     """Normal form and stem of a token; empty below 2 bytes."""
-    term = norm_ranked(token)
-    return F.when(F.octet_length(term) < 2, F.lit("")).otherwise(stem_normalised(term) if enabled else term)
+
+    def of(term: Column) -> Column:
+        return F.when(F.octet_length(term) < 2, F.lit("")).otherwise(stem_normalised(term) if enabled else term)
+
+    # the normal form as an array of one, so that it is computed once and not again for each suffix
+    return F.element_at(F.transform(F.array(norm_ranked(token)), of), 1)
 
 
 def squeeze_space(c: Column) -> Column:

@@ -19,11 +19,18 @@ def boolean_postings(tokens: DataFrame) -> DataFrame:
 
 
 def ranked_postings(tokens: DataFrame, stemmed: bool = True) -> DataFrame:
-    """``term, doc_id, tf`` in the ranked form of terms, stemmed or exact."""
-    term = norm_ranked(F.col("token"))
-    kept = tokens.select("doc_id", term.alias("exact")).filter(ranked_length_ok(F.col("exact")))
-    shown = stem_normalised(F.col("exact")) if stemmed else F.col("exact")
-    return kept.groupBy(shown.alias("term"), "doc_id").agg(F.count("*").alias("tf"))
+    """``term, doc_id, tf`` in the ranked form of terms, stemmed or exact.
+
+    Stems are taken of what is left when equal terms of a document have been counted.
+    """
+    counted = tokens.groupBy(norm_ranked(F.col("token")).alias("term"), "doc_id").agg(F.count("*").alias("tf"))
+    exact = counted.filter(ranked_length_ok(F.col("term")))
+    return stem_postings(exact) if stemmed else exact
+
+
+def stem_postings(exact: DataFrame) -> DataFrame:
+    """Stemmed postings from exact ones."""
+    return exact.groupBy(stem_normalised(F.col("term")).alias("term"), "doc_id").agg(F.sum("tf").alias("tf"))
 
 
 def document_frequencies(postings: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ class Corpus:
 
     @property
     def stems(self) -> DataFrame:
-        return self._table("stems", lambda: index.ranked_postings(self.tokens, True).repartitionByRange("term").sortWithinPartitions("term"))
+        return self._table("stems", lambda: index.stem_postings(self.exact).repartitionByRange("term").sortWithinPartitions("term"))
 
     @property
     def exact(self) -> DataFrame:
