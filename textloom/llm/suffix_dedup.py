@@ -74,7 +74,7 @@ def _first_eight(data: np.ndarray) -> np.ndarray:
 def suffix_array(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """Places in the order of their suffixes' first ``length`` bytes or more, and each place's first eight."""
     n, key = len(data), _first_eight(data)
-    order = np.argsort(key, kind="stable").astype(np.int32)
+    order = np.argsort(key).astype(np.int32)
     sorted_key = key[order]
     fresh = np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]]) if n else np.zeros(0, bool)
     rank = np.empty(n + 1, np.int32)
@@ -86,22 +86,25 @@ def suffix_array(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np
     while len(active) and h < length:
         at = order[active]
         pair = rank[at].astype(np.int64) << 32 | (rank[np.minimum(at.astype(np.int64) + h, n)].astype(np.int64) + 1)
-        by = np.argsort(pair, kind="stable")
+        by = np.argsort(pair)
         at, pair = at[by], pair[by]
         order[active] = at
         new = np.concatenate([[True], pair[1:] != pair[:-1]])
         rank[at] = active[np.flatnonzero(new)[np.cumsum(new) - 1]]
         active = active[~new | ~np.append(new[1:], True)]
         h *= 2
+    # what is equal so far goes by place, so that a repeated passage's places follow each other in step
+    at = order[active]
+    order[active] = at[np.argsort(rank[at].astype(np.int64) << 32 | at)]
     return order, key
 
 
-def common_prefixes(data: np.ndarray, order: np.ndarray, key: np.ndarray) -> np.ndarray:
+def common_prefixes(data: np.ndarray, order: np.ndarray, key: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """For each place the bytes that its suffix shares with the one before it in ``order``.
 
     Where the bytes before both are equal, the value is that of the place before less one (Kasai); only the
-    other places compare bytes, eight at a time. The values are exact where ``order`` is sorted that far
-    and at least as large as what it is sorted by elsewhere.
+    other places compare bytes, eight at a time, and the few that share more one by one. Values of ``length`` or more are exact; below, they may
+    be too small, as bytes beyond the last eight equal ones are then not counted.
     """
     n = len(data)
     before = np.full(n, -1, np.int64)
@@ -112,20 +115,30 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, key: np.ndarray) -> np.
     shared[order[:1]] = 0
     shared[at] = 0
     todo, other, done = at, before[at], 0
-    while len(todo):
+    while len(todo) and done < length + 8:
         end = np.maximum(todo, other) + done
         live = end < n
         todo, other = todo[live], other[live]
         x = key[todo + done] ^ key[other + done]
         whole = (x == 0) & (np.maximum(todo, other) + done + 8 <= n)
-        part = np.zeros(len(x), np.int64)
-        for j in range(1, 8):
-            part += (x >> U64(64 - 8 * j)) == 0
-        room = n - (np.maximum(todo, other) + done)
-        part = np.where(x == 0, 8, part)
-        shared[todo] = done + np.minimum(part, room)
+        part = np.where(x == 0, 8, 0)
+        if done + 8 > length:
+            for j in range(1, 8):
+                part += (x != 0) & ((x >> U64(64 - 8 * j)) == 0)
+        shared[todo] = done + np.minimum(part, n - (np.maximum(todo, other) + done))
         todo, other = todo[whole], other[whole]
         done += 8
+    for a, b in zip(todo.tolist(), other.tolist(), strict=True):
+        same, room = done, n - max(a, b)
+        while same < room:
+            step = min(4096, room - same)
+            differ = data[a + same : a + same + step] != data[b + same : b + same + step]
+            first = int(differ.argmax())
+            if differ[first]:
+                same += first
+                break
+            same += step
+        shared[a] = same
     # places that compare nothing lose one byte a place since the last one that did
     last = np.maximum.accumulate(np.where(shared >= 0, np.arange(n), 0))
     return np.maximum(0, shared[last] - (np.arange(n) - last))
@@ -154,7 +167,7 @@ class Shard:
         """Places whose string is in no document of this shard with a smaller id, and those whose string is."""
         n = len(self.data)
         order, key = suffix_array(self.data, length)
-        shared = common_prefixes(self.data, order, key)
+        shared = common_prefixes(self.data, order, key, length)
         del key
         new = shared[order] < length
         new[:1] = True
@@ -222,7 +235,7 @@ def merge_all(runs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np
 
 
 def _least_by_key(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys, values = keys[order], values[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     return keys[first], np.minimum.reduceat(values, first)
@@ -238,22 +251,26 @@ def later_strings(runs: list[tuple[np.ndarray, np.ndarray, bytes]], length: int)
         place = np.repeat(begin - np.concatenate([[0], np.cumsum(count)])[:-1], count) + np.arange(count.sum())
         expanded.append((kgram_hashes(data, length)[place], np.repeat(owner, count), place, data))
     keys, least = merge_all([_least_by_key(k, o) for k, o, _, _ in expanded])
-    # the bytes behind equal keys must be equal: each key's string is that of the first run that has it
-    sample = np.empty((len(keys), length), np.uint8)
-    seen = np.zeros(len(keys), bool)
-    masks, doubt = [], set()
-    for key, owner, place, data in expanded:
-        at = np.searchsorted(keys, key)
-        for lo in range(0, len(at), 1 << 17):
-            part = at[lo : lo + (1 << 17)]
-            strings = np.lib.stride_tricks.sliding_window_view(data, length)[place[lo : lo + (1 << 17)]]
-            unseen = ~seen[part]
-            sample[part[unseen]] = strings[unseen]
-            seen[part] = True
-            wrong = (sample[part] != strings).any(axis=1)
-            if wrong.any():
-                doubt |= set(part[wrong].tolist())
-        masks.append(owner > least[at])
+    places = [np.searchsorted(keys, key) for key, _, _, _ in expanded]
+    masks = [owner > least[at] for (_, owner, _, _), at in zip(expanded, places, strict=True)]
+    # only what would go needs proof: its bytes must be those that the smallest owner has under this key
+    asked = np.zeros(len(keys), bool)
+    for at, mask in zip(places, masks, strict=True):
+        asked[at[mask]] = True
+    row = np.cumsum(asked) - 1
+    sample = np.empty((int(asked.sum()), length), np.uint8)
+    doubt: set[int] = set()
+    for prove in (False, True):
+        for (_, _, place, data), at, mask in zip(expanded, places, masks, strict=True):
+            chosen = np.flatnonzero(mask if prove else ~mask & asked[at])
+            for lo in range(0, len(chosen), 1 << 17):
+                part = chosen[lo : lo + (1 << 17)]
+                strings = np.lib.stride_tricks.sliding_window_view(data, length)[place[part]]
+                if prove:
+                    wrong = (sample[row[at[part]]] != strings).any(axis=1)
+                    doubt |= set(at[part[wrong]].tolist())
+                else:
+                    sample[row[at[part]]] = strings
     if doubt:  # different strings with one key: these few by their bytes
         by_bytes: dict[bytes, int] = {}
         for again in (False, True):
