@@ -49,7 +49,7 @@ def test_exact_dedup(spark, block, bits):
         for i in ids:
             want.append((i, keep, len(ids), i == keep and not taken, hashlib.sha256(t.encode()).hexdigest()))
             taken |= i == keep
-    assert sorted(map(str, map(tuple, got))) == sorted(str((a, b, c, e, d)) if False else str((a, b, c, d, e)) for a, b, c, d, e in want)
+    assert sorted(map(str, map(tuple, got))) == sorted(str(x) for x in want)
 
 
 def test_drop_copies_keeps_columns(spark):
@@ -95,7 +95,8 @@ def test_near_classes(spark):
     want = sorted(str((d, min((x for x in ids if x is not None), default=None))) for ids in groups.values() for d in ids)
     assert sorted(str((r["doc_id"], r["class_id"])) for r in got) == want
     assert sum(r["kept"] for r in got) == len(groups)
-    assert near_dedup.drop_near_copies(table(spark, rows)).count() == len(groups)
+    # of the repeated rows without words, each its own class, one stays
+    assert near_dedup.drop_near_copies(table(spark, rows)).count() == len(groups) - 1
     assert near_dedup.near_classes(table(spark, [])).count() == 0
 
 
@@ -329,8 +330,8 @@ def test_suffix_array():
     for alphabet in (b"ab", b"abcdefgh"):
         text = bytes(rnd.choice(alphabet) for _ in range(600))
         data = np.frombuffer(text, np.uint8)
-        order, key = suffix_dedup.suffix_array(data, 50)
-        shared = suffix_dedup.common_prefixes(data, order, key, 8)
+        order, key, close = suffix_dedup.suffix_array(data, 50)
+        shared = suffix_dedup.common_prefixes(data, order, key, np.arange(600) > 0, 8)
         for a, b in zip(order[:-1].tolist(), order[1:].tolist()):
             assert text[a : a + 50] <= text[b : b + 50]
             n = next((i for i in range(600 - max(a, b)) if text[a + i] != text[b + i]), 600 - max(a, b))

@@ -71,8 +71,9 @@ def _first_eight(data: np.ndarray) -> np.ndarray:
     return key
 
 
-def suffix_array(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """Places in the order of their suffixes' first ``length`` bytes or more, and each place's first eight."""
+def suffix_array(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places in the order of their suffixes' first ``length`` bytes or more, each place's first eight, and which
+    places of the order may share ``length`` bytes with the one before: those that share half of it."""
     n, key = len(data), _first_eight(data)
     order = np.argsort(key).astype(np.int32)
     sorted_key = key[order]
@@ -82,6 +83,7 @@ def suffix_array(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np
     rank[order] = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
     del sorted_key
     active = np.flatnonzero(~fresh | ~np.append(fresh[1:], True))  # in groups of more than one
+    close = ~fresh if length >= 8 else np.arange(n) > 0
     h = 8
     while len(active) and h < length:
         at = order[active]
@@ -91,29 +93,36 @@ def suffix_array(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np
         order[active] = at
         new = np.concatenate([[True], pair[1:] != pair[:-1]])
         rank[at] = active[np.flatnonzero(new)[np.cumsum(new) - 1]]
+        if 2 * h <= length:
+            close = np.zeros(n, bool)
+            close[active[~new]] = True
         active = active[~new | ~np.append(new[1:], True)]
         h *= 2
     # what is equal so far goes by place, so that a repeated passage's places follow each other in step
     at = order[active]
     order[active] = at[np.argsort(rank[at].astype(np.int64) << 32 | at)]
-    return order, key
+    return order, key, close
 
 
-def common_prefixes(data: np.ndarray, order: np.ndarray, key: np.ndarray, length: int = LENGTH) -> np.ndarray:
+def common_prefixes(
+    data: np.ndarray, order: np.ndarray, key: np.ndarray, close: np.ndarray, length: int = LENGTH
+) -> np.ndarray:
     """For each place the bytes that its suffix shares with the one before it in ``order``.
 
     Where the bytes before both are equal, the value is that of the place before less one (Kasai); only the
-    other places compare bytes, eight at a time, and the few that share more one by one. Values of ``length`` or more are exact; below, they may
-    be too small, as bytes beyond the last eight equal ones are then not counted.
+    other places compare bytes, eight at a time, and the few that share more one by one. Values of
+    ``length`` or more are exact; below, they may be too small, as places that are not ``close`` count as 0
+    and bytes beyond the last eight equal ones are not counted.
     """
     n = len(data)
     before = np.full(n, -1, np.int64)
-    before[order[1:]] = order[:-1]
-    at = np.flatnonzero(before >= 0)
-    at = at[(at == 0) | (before[at] == 0) | (data[at - 1] != data[before[at] - 1]) | (before[at - 1] != before[at] - 1)]
-    shared = np.full(n, -1, np.int64)
-    shared[order[:1]] = 0
-    shared[at] = 0
+    near = np.flatnonzero(close)
+    before[order[near]] = order[near - 1]
+    near = np.flatnonzero(before >= 0)
+    own = (near == 0) | (before[near] == 0) | (data[near - 1] != data[before[near] - 1]) | (before[near - 1] != before[near] - 1)
+    at = near[own]
+    shared = np.zeros(n, np.int64)
+    shared[near[~own]] = -1
     todo, other, done = at, before[at], 0
     while len(todo) and done < length + 8:
         end = np.maximum(todo, other) + done
@@ -166,9 +175,9 @@ class Shard:
     def first_and_later(self, length: int) -> tuple[np.ndarray, np.ndarray]:
         """Places whose string is in no document of this shard with a smaller id, and those whose string is."""
         n = len(self.data)
-        order, key = suffix_array(self.data, length)
-        shared = common_prefixes(self.data, order, key, length)
-        del key
+        order, key, close = suffix_array(self.data, length)
+        shared = common_prefixes(self.data, order, key, close, length)
+        del key, close
         new = shared[order] < length
         new[:1] = True
         group = np.flatnonzero(new)
