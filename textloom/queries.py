@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from textloom.functions import text as T
 from textloom.functions.urls import normalize_url, title_from_url
 from textloom.operators import crawl, index, search, tokenize, web, zipf
+from textloom.plans.lakehouse import Corpus
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -315,11 +316,7 @@ _MANY = (["the nation", "und die", "los las que", "leading"], [[("the", "the"),
 
 
 def _ranked(spark, sf_dir, texts, stemmed=True, topk=10):
-    tokens = _tokens(spark, sf_dir)
-    exact = index.ranked_postings(tokens, stemmed=False)
-    looked_in = index.ranked_postings(tokens) if stemmed else exact
-    asked = search.query_terms(spark, texts)
-    return search.ranked_search(asked, looked_in, exact, search.documents_with_terms(exact), topk, 0.5, "stem" if stemmed else "exact")
+    return Corpus(_docs(spark, sf_dir)).ranked(texts, topk, stem=stemmed)
 
 
 @query(f"WITH {_RANKED}, " + _rank_sql(_ONE[1], _ONE[0], "stem", "stem", 10))
@@ -347,9 +344,7 @@ def ranked_batch(spark, sf_dir):
     f" SELECT * FROM (WITH {_rank_sql(_ONE[1], _ONE[0], 'stem', 'stem', 10, mode='stem').lstrip()})"
 )
 def compare_stem(spark, sf_dir):
-    tokens = _tokens(spark, sf_dir)
-    asked = search.query_terms(spark, _ONE[0])
-    return search.compare_stemming(asked, index.ranked_postings(tokens), index.ranked_postings(tokens, stemmed=False))
+    return Corpus(_docs(spark, sf_dir)).compare(_ONE[0])
 
 
 # ---- documents and URLs ---------------------------------------------------------------------------
@@ -478,7 +473,7 @@ def tasks_by_state(spark, sf_dir):
         SELECT source, url_norm, row_number() OVER (PARTITION BY source ORDER BY priority DESC, next_fetch_at, created_at, url_norm) AS place
         FROM tasks WHERE state IN ('queued', 'error') AND next_fetch_at <= 1000 AND locked_until <= 1000)
     SELECT t.source, t.url_norm, CASE WHEN place <= 3 THEN 'fetching' ELSE state END AS state,
-           CASE WHEN place <= 3 THEN 1300 ELSE locked_until END AS locked_until, CASE WHEN place <= 3 THEN 'w1' ELSE '' END AS locked_by
+           CAST(CASE WHEN place <= 3 THEN 1300 ELSE locked_until END AS BIGINT) AS locked_until, CASE WHEN place <= 3 THEN 'w1' ELSE '' END AS locked_by
     FROM tasks t LEFT JOIN best b ON t.source = b.source AND t.url_norm = b.url_norm"""
 )
 def task_claim(spark, sf_dir):
@@ -540,10 +535,10 @@ def task_upsert(spark, sf_dir):
             FROM documents WHERE doc_id % 5 <> 0)
     SELECT coalesce(o.source, n.source) AS source, coalesce(o.url_norm, n.url_norm) AS url_norm,
            CASE WHEN n.text IS NULL OR n.same THEN o.content_hash ELSE sha256(n.text) END AS content_hash,
-           CASE WHEN o.text IS NULL THEN 20 ELSE 10 END AS created_at,
-           CASE WHEN n.text IS NOT NULL AND NOT n.same AND o.content_hash IS DISTINCT FROM sha256(n.text) THEN 20
-                WHEN o.text IS NOT NULL THEN 10 END AS updated_at,
-           CASE WHEN n.text IS NOT NULL THEN 20 ELSE 10 END AS fetched_at
+           CAST(CASE WHEN o.text IS NULL THEN 20 ELSE 10 END AS BIGINT) AS created_at,
+           CAST(CASE WHEN n.text IS NOT NULL AND NOT n.same AND o.content_hash IS DISTINCT FROM sha256(n.text) THEN 20
+                     WHEN o.text IS NOT NULL THEN 10 END AS BIGINT) AS updated_at,
+           CAST(CASE WHEN n.text IS NOT NULL THEN 20 ELSE 10 END AS BIGINT) AS fetched_at
     FROM old o FULL JOIN new n ON o.source = n.source AND o.url_norm = n.url_norm"""
 )
 def doc_upsert_changed(spark, sf_dir):
