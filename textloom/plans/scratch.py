@@ -10,12 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a temporary one is set only where it is unset."""
+    """The folder named in ``spark.checkpoint.dir``; only where it is unset, as in tests, a temporary one."""
     found = spark.conf.get(CHECKPOINT_DIR, None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="textloom-")
-        spark.conf.set(CHECKPOINT_DIR, found)
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = "file://" + tempfile.mkdtemp(prefix="textloom-")
+            spark.sparkContext.setCheckpointDir(_own[app])
+        found = _own[app]
     return found.rstrip("/")
 
 
