@@ -1,35 +1,5 @@
 """Scratch tables in the folder that all executors share."""
 
-from __future__ import annotations
+from textloom.plans.scratch import scratch_path, settle
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-CHECKPOINT_DIR = "spark.checkpoint.dir"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a temporary one is set only where it is unset."""
-    found = spark.conf.get(CHECKPOINT_DIR, None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="textloom-")
-        spark.conf.set(CHECKPOINT_DIR, found)
-    return found.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A path in the shared folder that no other call gets."""
-    return f"{shared_dir(spark)}/textloom/{label}-{uuid.uuid4().hex}"
-
-
-def settle(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again.
-
-    This cuts the lineage with a committed table, so a lost executor costs a re-read and no
-    re-computation, and it gives the planner the table's true size.
-    """
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["scratch_path", "settle"]
