@@ -100,6 +100,25 @@ def test_near_classes(spark):
     assert near_dedup.near_classes(table(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("block", [500, 7])
+def test_large_buckets_compare_all(spark, monkeypatch, block):
+    """Near copies inside a family that shares a template: in large buckets too, each pair of candidates is settled."""
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    rnd = random.Random(12)
+    template, rows = [f"t{i}" for i in range(120)], []
+    for i in range(40):
+        own = [f"o{i}x{k}" for k in range(40)]
+        rows += [(2 * i, " ".join(template + own)), (2 * i + 1, " ".join(template + own[:-2] + [f"z{i}", "z"]))]
+    rnd.shuffle(rows)
+    sets = {i: shingle_set(t) for i, t in rows}
+    assert all((len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])) == (i // 2 == j // 2) for i in sets for j in sets)
+    docs = table(spark, rows)
+    bands = {r["doc_id"]: set(r["bands"]) for r in near_dedup.signatures(docs, bands=2, band_rows=1).collect()}
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_classes(docs, bands=2, band_rows=1).collect()}
+    assert sum(bool(bands[i] & bands[i + 1]) for i in range(0, 80, 2)) > 30
+    assert got == {i: i - i % 2 if bands[i] & bands[i ^ 1] else i for i in sets}
+
+
 def test_prob_min_hash_estimates():
     rnd = np.random.default_rng(2)
     a, b = rnd.integers(1, 1 << 62, 400, dtype=np.uint64), rnd.integers(1, 1 << 62, 100, dtype=np.uint64)

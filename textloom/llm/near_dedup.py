@@ -7,12 +7,12 @@ arrival per shingle. The share of places in which two signatures agree estimates
 Jaccard similarity. Texts with an equal band of the signature become candidates, and the similarity that
 decides is computed exactly on the shingle sets.
 
-Within a bucket every text is compared with the bucket's leader, not with every other. When these
-links have been joined to components, texts of one bucket that are still apart are compared again: all of
-them in small buckets, and with other leaders, turn by turn until no link is new, in large ones. So a
-bucket of many near copies costs as many comparisons as it has members, a few times over. Two components are left
-apart wrongly only if none of the links between them lies in a small bucket or with a leader, each of a
-text's bands choosing its own.
+Within a bucket every text is first compared with the bucket's leader, and in large buckets with other
+leaders in a few turns, so that many near copies become one component at the cost of a few comparisons
+each. Then all pairs of texts that share a bucket and are still in different components are settled: large
+buckets are cut into blocks, each two blocks meet in a task of their own, and the task tests the pairs'
+sizes and sketches, so that only pairs that may be similar leave it. These are compared exactly. So each
+pair of candidates is either in one component or tested.
 """
 
 from __future__ import annotations
@@ -32,10 +32,12 @@ SHINGLE_WORDS = 5
 SIMILAR = 0.8
 BANDS = 20
 BAND_ROWS = 4
-#: Buckets of up to so many texts compare all that are in different components.
+#: Buckets of more texts meet further leaders, in so many turns, before all pairs that are still apart are settled.
 SMALL = 12
-#: Larger ones go on with other leaders until a turn links nothing, or for so many turns.
 ROUNDS = 2
+#: Texts in a block of a large bucket, on average, and pairs that a task tests at once.
+BLOCK = 500
+PAIRS = 1 << 17
 _SALT = np.random.default_rng(5).integers(1, 1 << 63, 4, dtype=np.uint64)
 
 
@@ -85,9 +87,9 @@ def _fingerprints(elements: np.ndarray, rows: np.ndarray, n_rows: int) -> list[b
 
 
 def signatures(docs: DataFrame, size: int = SHINGLE_WORDS, bands: int = BANDS, band_rows: int = BAND_ROWS) -> DataFrame:
-    """``row, doc_id, h, node, bands, sketch`` per row: ``node`` names the shingle set, ``h`` the text; no words: null.
+    """``row, doc_id, h, node, size, bands, sketch`` per row: ``node`` names the shingle set, ``h`` the text; no words: null.
 
-    ``sketch`` has eight bits of each of the signature's places.
+    ``size`` counts the distinct shingles; ``sketch`` has eight bits of each of the signature's places.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -101,19 +103,19 @@ def signatures(docs: DataFrame, size: int = SHINGLE_WORDS, bands: int = BANDS, b
                 for k in range(band_rows):
                     key = mix(key * U64(31) + signs[:, k::band_rows] + U64(k))
                 key = mix(key + np.arange(bands, dtype=U64)[None, :] * _SALT[0]).astype(np.int64)
-                empty = np.bincount(rows, minlength=n) == 0
-                node = pa.array(_fingerprints(elements, rows, n), pa.binary(), mask=empty)
+                held = np.bincount(rows, minlength=n).astype(np.int32)
+                node = pa.array(_fingerprints(elements, rows, n), pa.binary(), mask=held == 0)
                 keys = pa.ListArray.from_arrays(np.arange(0, (n + 1) * bands, bands, dtype=np.int32), key.ravel())
                 places = bands * band_rows
                 low = (mix(signs.ravel()) & U64(255)).astype(np.uint8).view(np.int8)
                 sketch = pa.ListArray.from_arrays(np.arange(0, (n + 1) * places, places, dtype=np.int32), low)
-                columns = [*part.columns[:3], node, keys, sketch]
-                yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "h", "node", "bands", "sketch"])
+                columns = [*part.columns[:3], node, pa.array(held), keys, sketch]
+                yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "h", "node", "size", "bands", "sketch"])
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text"))
     rows = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("h"), "text")
-    return rows.mapInArrow(run, f"row long, doc_id {kind}, h long, node binary, bands array<long>, sketch array<tinyint>")
+    return rows.mapInArrow(run, f"row long, doc_id {kind}, h long, node binary, size int, bands array<long>, sketch array<tinyint>")
 
 
 def _sets(texts: DataFrame, size: int) -> DataFrame:
@@ -141,39 +143,106 @@ def _verified(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
     return pairs.join(b, "b").join(a, "a").filter(both >= (F.size("ea") + F.size("eb") - both) * F.lit(similar)).select("a", "b")
 
 
-def _likely(pairs: DataFrame, nodes: DataFrame, similar: float) -> DataFrame:
-    """The ``pairs`` whose signatures agree as often as sets of that similarity do, less four standard deviations.
+def _least(places: int, similar: float) -> float:
+    """In how many places the signatures of similar sets agree, less four standard deviations."""
+    return places * similar - 4 * (places * similar * (1 - similar)) ** 0.5
 
-    A place agrees by chance in one of 256 cases. Of pairs at the limit three in 100,000 are lost here.
-    """
+
+def _likely(pairs: DataFrame, nodes: DataFrame, similar: float, places: int) -> DataFrame:
+    """The ``pairs`` whose signatures agree as often as ``_least`` says. A place agrees by chance in one of 256 cases."""
     a = nodes.select(F.col("node").alias("a"), F.col("sketch").alias("sa"))
     b = nodes.select(F.col("node").alias("b"), F.col("sketch").alias("sb"))
-    n = F.size("sa")
     agree = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda u, v: u + v)
-    least = n * similar - 4 * F.sqrt(n * similar * (1 - similar))
-    return pairs.join(a, "a").join(b, "b").filter(agree >= least).select("a", "b")
-
+    return pairs.join(a, "a").join(b, "b").filter(agree >= _least(places, similar)).select("a", "b")
 
-def _still_apart(members: DataFrame, labels: DataFrame, tried: DataFrame, turn: int) -> DataFrame:
-    """Pairs ``(a, b)`` to compare next, of texts that share a bucket and are in different components.
 
-    In buckets of up to ``SMALL`` texts these are all such pairs. In larger ones each text is paired with
-    one other, which is another one in each turn, so that a bucket costs what it holds.
-    """
-    known = members.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
+def _split_buckets(known: DataFrame, turn: int) -> DataFrame:
+    """``band, n, head`` of the buckets whose texts are in different components; each turn has other heads."""
     by_turn = F.struct(F.xxhash64("node", "band", F.lit(turn)).alias("order"), "node", "label")
     size = known.groupBy("band").agg(
         F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), F.min(by_turn).alias("head")
     )
-    size = settle(size.filter(F.col("low") != F.col("high")).select("band", "n", "head"), "split-buckets")
-    large = known.join(size.filter(F.col("n") > SMALL), "band").filter(F.col("label") != F.col("head.label"))
-    large = large.select(F.col("node").alias("x"), F.col("head.node").alias("y"))
-    some = settle(known.join(size.filter(F.col("n") <= SMALL).select("band"), "band"), "small-buckets")
-    x, y = some.alias("x"), some.alias("y")
-    small = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.label") < F.col("y.label")))
-    every = large.unionByName(small.select(F.col("x.node").alias("x"), F.col("y.node").alias("y")))
-    every = every.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    return every.join(tried, ["a", "b"], "left_anti")
+    return size.filter(F.col("low") != F.col("high")).select("band", "n", "head")
+
+
+def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    return members.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
+
+
+def _with_heads(members: DataFrame, labels: DataFrame, tried: DataFrame, turn: int) -> DataFrame:
+    """Pairs ``(a, b)`` of the texts in large buckets with one head of each, where they are in different components."""
+    known = _labelled(members, labels)
+    size = settle(_split_buckets(known, turn).filter(F.col("n") > SMALL), "split-buckets")
+    large = known.join(size, "band").filter(F.col("label") != F.col("head.label"))
+    pairs = large.select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b"))
+    return pairs.distinct().join(tried, ["a", "b"], "left_anti")
+
+
+def _pairs_in_blocks(rows: pa.Table, similar: float, places: int) -> Iterator[pa.RecordBatch]:
+    """Pairs ``(a, b)`` within the whole groups (band, i, j) that ``rows`` has in order, tested by label, size and sketch."""
+    band, i, j = (rows.column(c).to_numpy() for c in ("band", "i", "j"))
+    late, size = rows.column("late").to_numpy(), rows.column("size").to_numpy()
+    node = rows.column("node").combine_chunks()
+    label = rows.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
+    sketch = rows.column("sketch").combine_chunks().flatten().to_numpy().reshape(len(rows), places)
+    at = np.arange(len(rows))
+    start = np.flatnonzero(np.concatenate([[True], (band[1:] != band[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
+    length = np.diff(np.append(start, len(rows)))
+    end = np.repeat(start + length, length)
+    # in a group of two blocks the early rows meet the late ones, in a group of one block each row the later rows
+    lo = np.where(i == j, at + 1, end - np.repeat(np.add.reduceat(late.astype(np.int64), start), length))
+    n = np.where(late == 1, 0, end - lo)
+    done = np.concatenate([[0], np.cumsum(n)])
+    first = 0
+    while first < len(rows):
+        last = max(first + 1, int(np.searchsorted(done, done[first] + PAIRS, "right")) - 1)
+        x = np.repeat(at[first:last], n[first:last])
+        y = np.arange(done[first], done[last]) - done[x] + lo[x]
+        # a pair can only be similar if the sizes are
+        fits = (label[x] != label[y]) & (np.minimum(size[x], size[y]) >= similar * np.maximum(size[x], size[y]) - 1e-6)
+        x, y = x[fits], y[fits]
+        fits = (sketch[x] == sketch[y]).sum(axis=1) >= _least(places, similar)
+        x, y = node.take(pa.array(x[fits])), node.take(pa.array(y[fits]))
+        if len(x):
+            yield pa.RecordBatch.from_arrays([x, y], ["x", "y"])
+        first = last
+
+
+def _apart(members: DataFrame, labels: DataFrame, nodes: DataFrame, similar: float, places: int) -> DataFrame:
+    """All pairs ``(a, b)`` that share a bucket, are in different components and may be similar."""
+    known = _labelled(members, labels)
+    split = settle(_split_buckets(known, 0).select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "split-buckets")
+    rows = known.join(split, "band").join(nodes.select("node", "size", "sketch"), "node")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select(
+        "band",
+        F.least("own", "other").alias("i"),
+        F.greatest("own", "other").alias("j"),
+        (F.col("own") > F.col("other")).cast("int").alias("late"),
+        "node",
+        "label",
+        "size",
+        "sketch",
+    )
+    rows = rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "late")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            new = pa.Table.from_batches([batch])
+            held = new if held is None else pa.concat_tables([held, new])
+            band, i, j = (held.column(c).to_numpy() for c in ("band", "i", "j"))
+            other = np.flatnonzero((band != band[-1:]) | (i != i[-1:]) | (j != j[-1:]))
+            if len(other):
+                whole = int(other[-1]) + 1
+                yield from _pairs_in_blocks(held.slice(0, whole), similar, places)
+                held = held.slice(whole)
+        if held is not None and len(held):
+            yield from _pairs_in_blocks(held, similar, places)
+
+    found = rows.mapInArrow(run, "x binary, y binary")
+    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def near_classes(
@@ -191,8 +260,8 @@ def near_classes(
     """
     sign = settle(signatures(docs, size, bands, band_rows), "signatures")
     nodes = sign.filter(F.col("node").isNotNull()).groupBy("node").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h", "row")).alias("rep"), F.min(F.struct("bands", "sketch")).alias("s")
-    ).select("node", "rep", "s.bands", "s.sketch")
+        F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h", "row")).alias("rep"), F.min(F.struct("size", "bands", "sketch")).alias("s")
+    ).select("node", "rep", "s.size", "s.bands", "s.sketch")
     nodes = settle(nodes, "nodes")
     banded = nodes.select("node", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.min("node").alias("leader"), F.max("node").alias("last"))
@@ -209,17 +278,22 @@ def near_classes(
     texts = a.join(b.hint("merge"), same, "left_semi").select(F.coalesce(F.col("a.text").cast("string"), F.lit("")).alias("text"))
     sets = settle(_sets(texts, size), "sets")
 
-    links = settle(_verified(_likely(pairs, nodes, similar), sets, similar).distinct(), "links")
+    places = bands * band_rows
+    links = settle(_verified(_likely(pairs, nodes, similar, places), sets, similar).distinct(), "links")
     labels = components(links)
     tried = pairs
     for turn in range(ROUNDS):
-        fresh = settle(_still_apart(members, labels, tried, turn), "pairs-apart")
-        more = settle(_verified(_likely(fresh, nodes, similar), sets, similar).distinct(), "more-links")
+        fresh = settle(_with_heads(members, labels, tried, turn), "pairs-with-heads")
+        more = settle(_verified(_likely(fresh, nodes, similar, places), sets, similar).distinct(), "more-links")
         if more.isEmpty():
             break
         links = settle(links.unionByName(more), "all-links")
         tried = settle(tried.unionByName(fresh), "tried-pairs")
         labels = components(links)
+    apart = settle(_apart(members, labels, nodes, similar, places), "pairs-apart")
+    more = settle(_verified(apart, sets, similar).distinct(), "last-links")
+    links = settle(links.unionByName(more), "all-links")
+    labels = components(links)
 
     ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
     degree = settle(ends.groupBy("node").agg(F.count("*").alias("n_links")), "degrees")
