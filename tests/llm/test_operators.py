@@ -119,6 +119,16 @@ def test_large_buckets_compare_all(spark, monkeypatch, block):
     assert got == {i: i - i % 2 if bands[i] & bands[i ^ 1] else i for i in sets}
 
 
+def test_repeated_passages_are_near(spark):
+    """However often a text repeats a passage, the similarity is that of the sets."""
+    rows = []
+    for i in range(8):
+        own, passage = [f"o{i}x{k}" for k in range(104)], [f"p{i}x{k}" for k in range(40)]
+        rows += [(2 * i, " ".join(own + passage)), (2 * i + 1, " ".join(own + passage * 100))]
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_classes(table(spark, rows)).collect()}
+    assert got == {i: i - i % 2 for i in range(16)}
+
+
 def test_prob_min_hash_estimates():
     rnd = np.random.default_rng(2)
     a, b = rnd.integers(1, 1 << 62, 400, dtype=np.uint64), rnd.integers(1, 1 << 62, 100, dtype=np.uint64)

@@ -1,6 +1,7 @@
-"""Near-duplicates by ProbMinHash over weighted word shingles, with banding and verification.
+"""Near-duplicates by ProbMinHash over word shingles, with banding and verification.
 
-Each distinct shingle of five words is an element with a weight. It arrives at the signature's places
+Each distinct shingle of five words is an element. All have the same weight, as the similarity that decides
+is that of the sets, however often a text repeats a passage. An element arrives at the signature's places
 in a Poisson process whose rate is the weight; a place keeps the element that arrives first. An element
 stops as soon as its next arrival is later than the latest one kept, so a text costs little more than one
 arrival per shingle. The share of places in which two signatures agree estimates their probability
@@ -97,8 +98,8 @@ def signatures(docs: DataFrame, size: int = SHINGLE_WORDS, bands: int = BANDS, b
         for batch in batches:
             for lo, n in slices(batch.column(3)):
                 part = batch.slice(lo, n)
-                elements, rows, counts = shingle_sets(part.column(3), size)
-                signs = prob_min_hash(elements, rows, 1 + np.log(counts), n, bands * band_rows)
+                elements, rows, _ = shingle_sets(part.column(3), size)
+                signs = prob_min_hash(elements, rows, np.ones(len(elements)), n, bands * band_rows)
                 key = np.zeros((n, bands), U64)
                 for k in range(band_rows):
                     key = mix(key * U64(31) + signs[:, k::band_rows] + U64(k))
