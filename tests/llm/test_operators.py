@@ -269,6 +269,13 @@ def test_contexts_find_more(spark):
     assert got[3] == "phone:19:36"
 
 
+def test_contexts_reach_over_matches(spark):
+    """The words before are those of the text, also where one of them is itself a match."""
+    rows = [(i, f"ref A-1 fax +1 (017) 555-77{i:02d} or write") for i in range(20)] + [(50, "ref A-1 fax 0171-555 now")]
+    got = {r["doc_id"]: r["spans"] for r in personal_data.personal_data(table(spark, rows)).collect()}
+    assert got[50] == "phone:12:20" and got[3] == "phone:12:29"
+
+
 # ---- toxicity -------------------------------------------------------------------------------------
 
 

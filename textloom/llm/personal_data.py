@@ -37,16 +37,17 @@ SPAN = "struct<s:int,e:int,m:string,c:string>"
 
 
 def _spans(text: str, pattern: str, needed: str) -> str:
-    """SQL for the matches' places in code points, with the text just before each."""
+    """SQL for the matches' places in code points, with the text before each, earlier matches included."""
     quoted = "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
     run = f"""aggregate(
         arrays_zip(split({text}, {quoted}, -1), regexp_extract_all({text}, {quoted}, 0)),
-        struct(0 as at, cast(array() as array<{SPAN}>) as out),
+        struct(0 as at, cast(array() as array<{SPAN}>) as out, '' as past),
         (a, x) -> struct(
             a.at + char_length(x.`0`) + coalesce(char_length(x.`1`), 0) as at,
             if(x.`1` is null, a.out, concat(a.out, array(struct(
                 a.at + char_length(x.`0`) as s, a.at + char_length(x.`0`) + char_length(x.`1`) as e,
-                x.`1` as m, right(x.`0`, {CONTEXT_CHARS}) as c)))) as out),
+                x.`1` as m, right(concat(a.past, x.`0`), {CONTEXT_CHARS}) as c)))) as out,
+            right(concat(a.past, x.`0`, coalesce(x.`1`, '')), {CONTEXT_CHARS}) as past),
         a -> a.out)"""
     there = f"contains({text}, '{needed}')" if needed else f"{text} rlike {quoted}"
     return f"if({there}, {run}, cast(array() as array<{SPAN}>))"
