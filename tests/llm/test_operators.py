@@ -254,6 +254,20 @@ def test_assignments(text, found):
     assert [text[a:b] for a, b, _, _ in secret_scan.found_literals(text)] == found
 
 
+def test_long_values_and_names():
+    rnd = random.Random(13)
+    key = "".join(rnd.choice("abcdefgABCDEFG0123456789+/") for _ in range(1600))
+    text = f"<privateKey>{key}</privateKey>"
+    assert [text[a:b] for a, b, _, _ in secret_scan.found_literals(text)] == [key]
+    text = f'{{"{"my " * 40}password": "{key[:30]}"}}'
+    assert [text[a:b] for a, b, _, _ in secret_scan.found_literals(text)] == [key[:30]]
+    lines = [key[i : i + 16] for i in range(0, 1600, 16)]
+    text = "k = " + " + \\\n  ".join(f'"{x}"' for x in lines) + "\npassword = k\n"
+    assert [text[a:b] for a, b, _, _ in secret_scan.found_literals(text)] == lines
+    text = 'a0 = "Zx8$kQ2!pL0v"\n' + "".join(f"a{i + 1} = a{i} + a{i}\n" for i in range(300)) + "password = a300"
+    assert [text[a:b] for a, b, _, _ in secret_scan.found_literals(text)] == ["Zx8$kQ2!pL0v"]
+
+
 def test_personal_data(spark):
     rows = texts_of_parts()
     want = sorted(str((i, *(sum(s[1] == k for s in spans) for k in range(4)), digest)) for i, t in rows for spans, digest in [brute.private(t)])

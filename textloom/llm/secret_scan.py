@@ -37,13 +37,17 @@ PLACEHOLDER = re.compile(r"(?i)^(.)\1*$|example|changeme|change_me|placeholder|y
 MAYBE = re.compile(r"(?i)pass|pwd|secret|token|key|credential|bearer|connection")
 
 STRING = r'"(?:\\.|[^"\\\n])*"|' + r"'(?:\\.|[^'\\\n])*'" + r"|`[^`\n]*`"
-HEAD = re.compile(r"(?<![\w$.-])(?:(?P<name>[A-Za-z_$][\w$.-]*)|(?P<q>[\"'])(?P<quoted>[\w$. -]{1,80})(?P=q))[ \t]*(?:=>|:=|\?=|=(?!=)|:(?![:/]))[ \t]*")
+HEAD = re.compile(r"(?<![\w$.-])(?:(?P<name>[A-Za-z_$][\w$.-]*)|(?P<q>[\"'])(?P<quoted>[\w$. -]++)(?P=q))[ \t]*(?:=>|:=|\?=|=(?!=)|:(?![:/]))[ \t]*")
 TERM = re.compile(rf"(?P<string>{STRING})|(?P<word>[^\s,;()\[\]{{}}+\"'`<>]+)")
 PLUS = re.compile(r"[ \t]*\+[ \t]*(?:\\?\n[ \t]*)?")
-TAG = re.compile(r"<([A-Za-z_][\w.-]*)>([^<>\n]{1,400})</\1>")
+TAG = re.compile(r"<([A-Za-z_][\w.-]*)>([^<>\n]++)</\1>")
 NAME = re.compile(r"[A-Za-z_$][\w$.-]*\Z")
 
 Span = tuple[int, int]
+#: What an expression comes to: spans of literals, and the parts of constants, which are shared and not copied.
+Parts = list["Span | Parts"]
+#: Literals are repeated as often as the expression does, until the value is so much longer than the text.
+REPEATS = 10_000
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -77,9 +81,31 @@ def literal_score(value: str) -> float:
     return min(1.0, entropy / 4 + 0.1 * (classes - 2) + 0.1 * (n >= 20))
 
 
-def pairs(text: str) -> Iterator[tuple[str, list[Span]]]:
-    """Targets' names in order, each with the spans of the literals that its expression comes to."""
-    constants: dict[str, list[Span]] = {}
+def resolved(parts: Parts, most: int) -> list[Span]:
+    """All literals of ``parts`` in order; where these come to more than ``most`` characters, each one once."""
+    for once in (False, True):
+        spans: list[Span] = []
+        seen: set[int | Span] = set()
+        n, stack = 0, parts[::-1]
+        while stack and (once or n <= most):
+            part = stack.pop()
+            mark = id(part) if isinstance(part, list) else part
+            if once and mark in seen:
+                continue
+            seen.add(mark)
+            if isinstance(part, list):
+                stack += part[::-1]
+            else:
+                spans.append(part)
+                n += part[1] - part[0] + 1
+        if once or n <= most:
+            break
+    return spans
+
+
+def pairs(text: str) -> Iterator[tuple[str, Parts]]:
+    """Targets' names in order, each with what its expression comes to."""
+    constants: dict[str, Parts] = {}
     at = 0
     while head := HEAD.search(text, at):
         name, at = head["name"] or head["quoted"], head.end()
@@ -87,14 +113,14 @@ def pairs(text: str) -> Iterator[tuple[str, list[Span]]]:
         if term and term["word"] and (annotated := re.compile(r"[ \t]*=(?!=)[ \t]*").match(text, term.end())):
             at = annotated.end()  # name: type = value
             term = TERM.match(text, at)
-        spans: list[Span] = []
+        spans: Parts = []
         bare = False
         while term:
             at = term.end()
             if term["string"]:
                 spans.append((term.start() + 1, term.end() - 1))
             elif known := constants.get(term["word"]):
-                spans += known
+                spans.append(known)
             elif not NAME.match(term["word"]) or "=" not in text[head.end("name") : head.end()]:
                 spans.append(term.span())
                 bare = True
@@ -102,7 +128,7 @@ def pairs(text: str) -> Iterator[tuple[str, list[Span]]]:
             term = TERM.match(text, plus.end()) if plus else None
         if spans:
             if not bare or len(spans) == 1:
-                constants[name] = spans[:64]
+                constants[name] = spans[0] if len(spans) == 1 and isinstance(spans[0], list) else spans
             yield name, spans
         at = max(at, head.end())
     for tag in TAG.finditer(text):
@@ -114,9 +140,10 @@ def found_literals(text: str) -> list[tuple[int, int, float, str]]:
     if not MAYBE.search(text):
         return []
     out: dict[Span, tuple[float, str]] = {}
-    for name, spans in pairs(text):
+    for name, parts in pairs(text):
         sensitive = name_score(name)
         if sensitive:
+            spans = resolved(parts, len(text) + REPEATS)
             score = sensitive + literal_score("".join(text[a:b] for a, b in spans)) - 0.5
             if score >= SCORE:
                 for span in spans:
