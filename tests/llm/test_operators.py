@@ -119,6 +119,61 @@ def test_large_buckets_compare_all(spark, monkeypatch, block):
     assert got == {i: i - i % 2 if bands[i] & bands[i ^ 1] else i for i in sets}
 
 
+def links_of_all_pairs(rows):
+    """Classes by all pairs: the smallest id that chains of links lead to."""
+    sets, root = {i: shingle_set(t) for i, t in rows}, {i: i for i, _ in rows}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            if j < i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return {i: find(i) for i in sets}
+
+
+@pytest.mark.parametrize("block", [512, 16])
+def test_chains_and_clusters(spark, monkeypatch, block):
+    """Chains in which only neighbours are near, clusters of mutual copies, and outliers near a single text of a large class."""
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "SALTED", block)
+    rnd = random.Random(21)
+    texts = []
+    for c in range(3):  # each drops five words of the one before and takes five more
+        chain = [f"c{c}w{k}" for k in range(100 + 5 * 40)]
+        texts += [" ".join(chain[5 * i : 5 * i + 100]) for i in range(40)]
+    for c in range(2):
+        base = [f"k{c}w{k}" for k in range(200)]
+        for i in range(60):
+            own = list(base)
+            own[rnd.randrange(200)] = f"k{c}x{i}"
+            texts.append(" ".join(own))
+        edge = base[:160] + [f"k{c}e{k}" for k in range(18)]
+        texts += [" ".join(edge), " ".join(edge[20:] + [f"k{c}f{k}" for k in range(20)])]
+    rnd.shuffle(texts)
+    rows = list(enumerate(texts))
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_classes(table(spark, rows)).collect()}
+    assert got == links_of_all_pairs(rows) and len(set(got.values())) < 12
+
+
+def test_similar_in_group():
+    rnd = np.random.default_rng(22)
+    sets = [np.sort(rnd.choice(40, rnd.integers(1, 40), replace=False)) for _ in range(60)]
+    flat, sizes = np.concatenate(sets), np.array([len(x) for x in sets])
+    label = rnd.integers(0, 30, 60)
+    for late in (np.zeros(60, int), np.sort(rnd.integers(0, 2, 60))):
+        want = {
+            (i, j) for i in range(60) for j in range(60)
+            if (late[i] < late[j] if late.any() else i < j) and label[i] != label[j]
+            and len(np.intersect1d(sets[i], sets[j])) >= 0.5 * len(np.union1d(sets[i], sets[j]))
+        }
+        assert {tuple(x) for x in near_dedup._similar_in_group(sizes, flat, label, late, 0.5).tolist()} == want and want
+
+
 def test_repeated_passages_are_near(spark):
     """However often a text repeats a passage, the similarity is that of the sets."""
     rows = []
