@@ -334,7 +334,7 @@ def test_personal_data(spark):
 def test_contexts_find_more(spark):
     rows = [(i, f"please call office +1 (017) 555-77{i:02d} or write") for i in range(20)] + [(50, "please call office 0171-555 now"), (51, "some other words 0171-555 now")]
     got = {r["doc_id"]: r["spans"] for r in personal_data.personal_data(table(spark, rows)).collect()}
-    assert got[50] == "phone:19:27" and got[51] == "" or got[51].startswith("phone")
+    assert got[50] == "phone:19:27" and got[51] == ""
     assert got[3] == "phone:19:36"
 
 
@@ -345,6 +345,51 @@ def test_contexts_reach_over_matches(spark):
     assert got[50] == "phone:12:20" and got[3] == "phone:12:29"
 
 
+def test_contexts_of_long_words_and_lines(spark):
+    """No word before a mention is too long to be a pattern's, and patterns do not reach over lines."""
+    long = "w" * 500
+    rows = [(i, f"{long} tel: +1 (017) 555-77{i:02d} or") for i in range(20)]
+    rows += [(50, f"so {long}\ttel:  0171-555 now"), (51, f"{long}\ntel: 0171-555"), (52, f"{long} tel:\r\n0171-555")]
+    got = {r["doc_id"]: r["spans"] for r in personal_data.personal_data(table(spark, rows)).collect()}
+    assert got[50] == "phone:510:518" and got[51] == got[52] == ""
+
+
+def test_many_matches_in_one_text(spark):
+    """A text of a megabyte with some 60,000 matches takes time in proportion."""
+    text = "".join(f"10.0.{i % 256}.{i // 256 % 256} call 12-{i:06d}\n" for i in range(40_000))
+    row = personal_data.personal_data(table(spark, [(1, text)])).first()
+    spans, digest = brute.private(text)
+    assert row["n_ip"] == 40_000 == len(spans) and row["base_sha256"] == digest
+
+
+def test_precision_and_recall_of_added_spans(spark):
+    """Identifiers of unseen forms: in seeds' contexts they are found, in other contexts they are not."""
+    rnd = random.Random(14)
+    fill = lambda: " ".join(rnd.choice(["alpha", "beta", "gamma", "delta", "omega"]) for _ in range(rnd.randrange(3, 9)))
+    seeds = {
+        "phone": (["office phone", "mobile number"], lambda: f"+1 (0{rnd.randrange(10, 99)}) 555-{rnd.randrange(1000, 9999)}"),
+        "email": (["write to", "mail address"], lambda: f"u{rnd.randrange(9999)}@example.com"),
+        "ip": (["server at", "host address"], lambda: f"10.{rnd.randrange(256)}.{rnd.randrange(256)}.{rnd.randrange(256)}"),
+    }
+    new = {"phone": lambda: f"0{rnd.randrange(100, 999)}/{rnd.randrange(100000, 999999)}", "email": lambda: f"u{rnd.randrange(9999)}@intranet", "ip": lambda: f"fe80::{rnd.randrange(1000, 9999)}:1"}
+    rows, planted = [], set()
+    for i in range(600):
+        kind = rnd.choice(list(seeds))
+        contexts, seed = seeds[kind]
+        if i % 3:
+            rows.append((i, f"{fill()} {rnd.choice(contexts)} {seed()} {fill()}"))
+        elif i % 2:
+            before, value = f"{fill()} {rnd.choice(contexts)} ", new[kind]()
+            rows.append((i, f"{before}{value} {fill()}"))
+            planted.add((i, f"{kind}:{len(before)}:{len(before) + len(value)}"))
+        else:
+            rows.append((i, f"{fill()} {rnd.choice(['order number', 'in year', 'part no'])} {new[kind]()} {fill()}"))
+    got = personal_data.personal_data(table(spark, rows)).collect()
+    base = {i: {f"{brute.PRIVATE[k]}:{a}:{b}" for a, k, b in brute.private(t)[0]} for i, t in rows}
+    added = {(r["doc_id"], x) for r in got for x in r["spans"].split(",") if x and x not in base[r["doc_id"]]}
+    assert len(planted) > 80 and len(added & planted) >= 0.9 * len(planted) and len(added & planted) >= 0.9 * len(added)
+
+
 # ---- toxicity -------------------------------------------------------------------------------------
 
 

@@ -1,7 +1,7 @@
 """Personal data by bootstrapped contextual extraction, with DataFrame functions only.
 
 Fixed patterns give the seeds: e-mail addresses, IP addresses, card numbers and phone numbers. The two
-words before a seed are a lexical pattern of its kind. Patterns and instances form a graph whose edges
+words before a seed, on its line, are a lexical pattern of its kind. Patterns and instances form a graph whose edges
 are scored in rounds: a pattern is as good as the mean of its instances, and an instance is as good as
 its patterns together say. Patterns that several seeds support and whose instances are good on the
 whole then point at identifiers that no fixed pattern knows.
@@ -20,7 +20,10 @@ ROUNDS = 3
 SUPPORT = 3
 #: ... and if its confidence is this high; the same holds for instances.
 CONFIDENT = 0.6
-CONTEXT_CHARS = 80
+#: A word of a pattern is known by so many of its last characters.
+WORD_CHARS = 32
+#: Matches of a text that are gathered into one list before lists are joined.
+GATHERED = 64
 # The base patterns. Possessive repeats keep Java's matcher from recursing on long runs, and
 # "no such character before, or where the last match ended" keeps it from trying each place of a run anew;
 # neither changes a match. A card's run of digits is matched whole, so shorter ones can be left out.
@@ -36,19 +39,31 @@ CANDIDATE = r"(?<![^\s])[^\s0-9@]*+[0-9@]\S*+"
 SPAN = "struct<s:int,e:int,m:string,c:string>"
 
 
+def _last_words(text: str) -> str:
+    """SQL for the end of the last line of ``text``: two words or more, each by its last characters."""
+    line = rf"substring_index(translate({text}, '\r\u000b\u000c', '\n\n\n'), '\n', -1)"
+    words = rf"split(substring_index(regexp_replace({line}, '[ \t]+', ' '), ' ', -3), ' ')"
+    return f"array_join(transform({words}, w -> right(w, {WORD_CHARS})), ' ')"
+
+
 def _spans(text: str, pattern: str, needed: str) -> str:
-    """SQL for the matches' places in code points, with the text before each, earlier matches included."""
+    """SQL for the matches' places in code points, with the words before each, earlier matches included.
+
+    Matches are gathered in lists of ``GATHERED``, and these in one list, as adding to a list copies it. A name is
+    bound to a value by ``transform`` over a list of one.
+    """
     quoted = "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    run = f"""aggregate(
-        arrays_zip(split({text}, {quoted}, -1), regexp_extract_all({text}, {quoted}, 0)),
-        struct(0 as at, cast(array() as array<{SPAN}>) as out, '' as past),
-        (a, x) -> struct(
-            a.at + char_length(x.`0`) + coalesce(char_length(x.`1`), 0) as at,
-            if(x.`1` is null, a.out, concat(a.out, array(struct(
-                a.at + char_length(x.`0`) as s, a.at + char_length(x.`0`) + char_length(x.`1`) as e,
-                x.`1` as m, right(concat(a.past, x.`0`), {CONTEXT_CHARS}) as c)))) as out,
-            right(concat(a.past, x.`0`, coalesce(x.`1`, '')), {CONTEXT_CHARS}) as past),
-        a -> a.out)"""
+    one = f"""transform(array({_last_words("concat(u.past, x.`0`)")}), p -> struct(
+        u.at + char_length(x.`0`) + coalesce(char_length(x.`1`), 0) as at,
+        if(x.`1` is null, u.out, concat(u.out, array(struct(
+            u.at + char_length(x.`0`) as s, u.at + char_length(x.`0`) + char_length(x.`1`) as e, x.`1` as m, p as c)))) as out,
+        concat(p, coalesce(x.`1`, '')) as past))[0]"""
+    some = f"aggregate(part, struct(a.at as at, cast(array() as array<{SPAN}>) as out, a.past as past), (u, x) -> {one})"
+    run = f"""transform(array(arrays_zip(split({text}, {quoted}, -1), regexp_extract_all({text}, {quoted}, 0))), z -> aggregate(
+        transform(sequence(0, (size(z) - 1) div {GATHERED}), b -> slice(z, b * {GATHERED} + 1, {GATHERED})),
+        struct(0 as at, cast(array() as array<array<{SPAN}>>) as out, '' as past),
+        (a, part) -> transform(array({some}), v -> struct(v.at as at, concat(a.out, array(v.out)) as out, v.past as past))[0],
+        a -> flatten(a.out)))[0]"""
     there = f"contains({text}, '{needed}')" if needed else f"{text} rlike {quoted}"
     return f"if({there}, {run}, cast(array() as array<{SPAN}>))"
 
@@ -72,10 +87,9 @@ def _valid(kind: str, m: Column) -> Column:
 
 
 def _context(before: Column) -> Column:
-    """The two words before, on the same line, without case and with digits as 0; null where there are none."""
-    line = F.regexp_extract(before, r"([^\n]*)$", 1)
-    words = F.regexp_extract(line, r"((?:^|\S+[ \t]+)\S+)[ \t]*$", 1)
-    return F.nullif(F.regexp_replace(F.regexp_replace(F.lower(words), "[0-9]", "0"), r"\s+", " "), F.lit(""))
+    """The two words before, or the one that begins the line, without case and with digits as 0; null where there are none."""
+    words = F.substring_index(F.trim(before), " ", -2)
+    return F.nullif(F.regexp_replace(F.lower(words), "[0-9]", "0"), F.lit(""))
 
 
 def _holds(kind: str):
@@ -93,6 +107,19 @@ def _numbered(n: int):
     )
 
 
+def _meets(spans: Column, x: Column) -> Column:
+    """Whether ``x`` meets one of ``spans``, which are in order and apart: the last that begins before ``x`` ends, by halving."""
+    n = F.size(spans)
+    halves = F.sequence(F.floor(F.log2(n)).cast("int"), F.lit(0), F.lit(-1))
+
+    def further(k: Column, i: Column) -> Column:
+        more = k + F.call_function("shiftleft", F.lit(1), i)
+        return F.when((more <= n) & (F.get(spans, more - 1)["s"] < x["e"]), more).otherwise(k)
+
+    before = F.aggregate(halves, F.lit(0), further)
+    return (n > 0) & F.coalesce(F.get(spans, before - 1)["e"] > x["s"], F.lit(False))
+
+
 def _mentions(docs: DataFrame) -> DataFrame:
     """``row, doc_id, base, maybe``: per row of ``docs`` its base spans and the candidates outside of these.
 
@@ -107,8 +134,8 @@ def _mentions(docs: DataFrame) -> DataFrame:
         F.expr(_spans("text", CANDIDATE, "")).alias("maybe"),
     )
     raw = settle(raw, "matches")
-    whole = F.flatten(F.array(*[F.transform(F.filter(k, _holds(k)), _numbered(n)) for n, k in enumerate(KINDS)]))
-    out = settle(raw.select("row", "doc_id", F.array_sort(whole).alias("base"), "maybe"), "base-spans")
+    held = F.array(*[F.transform(F.filter(k, _holds(k)), _numbered(n)) for n, k in enumerate(KINDS)])
+    out = settle(raw.select("row", "doc_id", held.alias("by_kind"), "maybe"), "base-spans")
 
     def trimmed(x: Column) -> Column:
         left = F.regexp_replace(x["m"], r"^[^\p{L}\p{N}@+]++", "")
@@ -118,10 +145,11 @@ def _mentions(docs: DataFrame) -> DataFrame:
 
     def may_be(x: Column) -> Column:
         digits = F.length(F.regexp_replace(x["m"], "[^0-9]", ""))
-        free = ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
+        free = ~F.exists("by_kind", lambda spans: _meets(spans, x))
         return x["c"].isNotNull() & (F.length(x["m"]) >= 6) & ((digits >= 4) | F.contains(x["m"], F.lit("@"))) & free
 
-    return out.withColumn("maybe", F.filter(F.transform("maybe", trimmed), may_be))
+    maybe = F.filter(F.transform("maybe", trimmed), may_be)
+    return out.select("row", "doc_id", F.array_sort(F.flatten("by_kind")).alias("base"), maybe.alias("maybe"))
 
 
 def confident_patterns(mentions: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -161,7 +189,8 @@ def personal_data(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans``.
 
     Counts and digest are of the fixed patterns' spans; ``spans`` also has the identifiers that
-    confident patterns point at, under the pattern's kind. A null text counts as empty and has no spans;
+    confident patterns point at, under the pattern's kind. Work on a text grows with its length, however many
+    matches it has. A null text counts as empty and has no spans;
     repeated rows give repeated results; an empty table gives an empty result; other columns are ignored.
     """
     found = settle(_mentions(docs), "mentions")
