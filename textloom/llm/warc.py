@@ -8,6 +8,7 @@ and each joined range is read with one request.
 
 from __future__ import annotations
 
+import datetime
 import hashlib
 import re
 import uuid
@@ -20,14 +21,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.shared import scratch_path, settle
+from textloom.plans.scratch import scratch_path, settle
 
 SMALLEST_REVISIT = 100
 GAP_BYTES = 1 << 16
 RANGE_BYTES = 8 << 20
 ARCHIVE_BYTES = 1 << 30
+NO_URL = "urn:page:none"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-DATE = "2000-01-01T00:00:00Z"
+#: Bytes of archives that a reading task gets; a small collection is read by all cores, a megabyte each or more.
+TASK_BYTES = 64 << 20
+LEAST_TASK_BYTES = 1 << 20
 INDEX = "page_id long, file string, offset long, length long, url string, digest string, record_type string"
 RECORD = (
     "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long,"
@@ -44,21 +48,25 @@ def _safe(url: str) -> str:
     return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)
 
 
-def _record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def _record(row: dict, name: str, date: str) -> bytes:
+    """A record; ``name`` is unique among all records, whatever the page ids are."""
+    payload, url, page_id, refers_to = row["payload"], row["url"], row["page_id"], row["refers_to"]
     kind = "response" if refers_to is None else "revisit"
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + payload if refers_to is None else http
-    name = "" if page_id is None else page_id
     lines = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:page:{name}>",
-        f"WARC-Date: {DATE}",
-        f"WARC-Target-URI: {_safe(url) if url else f'urn:page:{name}'}",
-        f"WARC-Payload-Digest: sha256:{digest}",
+        f"WARC-Record-ID: <{uuid.uuid5(uuid.NAMESPACE_URL, name).urn}>",
+        f"WARC-Date: {date}",
+        f"WARC-Target-URI: {_safe(url) if url else NO_URL}",
+        f"WARC-Payload-Digest: sha256:{row['digest']}",
     ]
+    if page_id is not None:
+        lines.append(f"Page-ID: {page_id}")
     if refers_to is not None:
-        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        first = row["refers_to_url"]
+        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To-Target-URI: {_safe(first) if first else NO_URL}", f"Refers-To-Page-ID: {refers_to}"]
     lines += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}", "", ""]
     return "\r\n".join(lines).encode() + block + b"\r\n\r\n"
 
@@ -75,20 +83,20 @@ def _parse(data: bytes) -> dict:
     size = int(re.search(rb"Content-Length: (\d+)", http)[1])
     if fields["WARC-Type"] == "response" and (len(payload), hashlib.sha256(payload).hexdigest()) != (size, digest):
         raise ValueError(f"{fields['WARC-Record-ID']}: the payload is not what its digest says")
-    number = lambda x: int(x) if (x := x.removeprefix("<urn:page:").removesuffix(">")) else None
+    number = lambda name: int(fields[name]) if name in fields else None
     return {
-        "page_id": number(fields["WARC-Record-ID"]),
-        "url": None if fields["WARC-Target-URI"].startswith("urn:page:") else fields["WARC-Target-URI"],
+        "page_id": number("Page-ID"),
+        "url": None if fields["WARC-Target-URI"] == NO_URL else fields["WARC-Target-URI"],
         "record_type": fields["WARC-Type"],
         "payload_bytes": size,
         "payload_digest": digest,
-        "refers_to": number(fields["WARC-Refers-To"]) if "WARC-Refers-To" in fields else None,
+        "refers_to": number("Refers-To-Page-ID"),
         "payload": payload if fields["WARC-Type"] == "response" else None,
     }
 
 
 def with_referrals(pages: DataFrame, smallest: int = SMALLEST_REVISIT) -> DataFrame:
-    """``page_id, url, payload, digest, refers_to``: of equal payloads the smallest page_id is referred to.
+    """``page_id, url, payload, digest, refers_to, refers_to_url``: of equal payloads the smallest page_id is referred to.
 
     Only the digests that several rows share are joined back, so the html moves at most once. Null html is
     an empty payload. Payloads below ``smallest`` bytes refer to nothing; rows without an id refer to
@@ -102,45 +110,52 @@ def with_referrals(pages: DataFrame, smallest: int = SMALLEST_REVISIT) -> DataFr
     shared = (
         rows.filter(F.octet_length("payload") >= smallest)
         .groupBy("digest")
-        .agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
+        .agg(F.min("page_id").alias("first"), F.min_by("url", F.struct("page_id", "url")).alias("refers_to_url"), F.count("*").alias("n"))
         .filter("n > 1")
         .drop("n")
     )
     joined = rows.join(settle(shared, "shared-payloads"), "digest", "left")
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    return joined.select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
+    return joined.select("page_id", "url", "payload", "digest", refers.alias("refers_to"), "refers_to_url")
 
 
 def write_archives(records: DataFrame, folder: str) -> DataFrame:
     """Write ``with_referrals``' rows below ``folder`` and return the index, one row per record.
 
     Each task attempt writes files of its own names, and only the index rows of attempts that succeed
-    are kept, so lost executors and speculative copies leave at most files that no index row names.
+    are kept; an attempt that fails takes its open file away, and lost executors and speculative copies leave at
+    most files that no index row names. Records are dated by the time of the call.
     """
+    date = datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root)
         out, name, at = None, "", 0
-        for batch in batches:
-            index = []
-            for row in batch.to_pylist():
-                if out is None or at >= ARCHIVE_BYTES:
-                    if out is not None:
-                        out.close()
-                    name = f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.warc.gz"
-                    out, at = store.open_output_stream(f"{root}/{name}", compression=None), 0
-                packer = zlib.compressobj(4, zlib.DEFLATED, 31)
-                record = _record(row["page_id"], row["url"], row["payload"], row["digest"], row["refers_to"])
-                member = packer.compress(record) + packer.flush()
-                out.write(member)
-                kind = "response" if row["refers_to"] is None else "revisit"
-                index.append((row["page_id"], name, at, len(member), row["url"], row["digest"], kind))
-                at += len(member)
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
-            columns = list(zip(*index, strict=True)) or [[]] * len(kinds)
-            arrays = [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, _names(INDEX))
+        try:
+            for batch in batches:
+                index = []
+                for row in batch.to_pylist():
+                    if out is None or at >= ARCHIVE_BYTES:
+                        if out is not None:
+                            out.close()
+                        name = f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.warc.gz"
+                        out, at = store.open_output_stream(f"{root}/{name}", compression=None), 0
+                    packer = zlib.compressobj(4, zlib.DEFLATED, 31)
+                    member = packer.compress(_record(row, f"{name}/{at}", date)) + packer.flush()
+                    out.write(member)
+                    kind = "response" if row["refers_to"] is None else "revisit"
+                    index.append((row["page_id"], name, at, len(member), row["url"], row["digest"], kind))
+                    at += len(member)
+                kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
+                columns = list(zip(*index, strict=True)) or [[]] * len(kinds)
+                arrays = [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, _names(INDEX))
+        except Exception:
+            if out is not None:
+                out.close()
+                store.delete_file(f"{root}/{name}")
+            raise
         if out is not None:
             out.close()
 
@@ -150,7 +165,7 @@ def write_archives(records: DataFrame, folder: str) -> DataFrame:
 def read_records(index: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
     """The records that the rows of ``index`` name, any part of them in any order: ``RECORD``.
 
-    Rows are dealt by ranges of (file, offset). Ranges closer than ``GAP_BYTES`` are read together, up
+    Rows are dealt by ranges of (file, offset), into as many tasks as the records' bytes ask for. Ranges closer than ``GAP_BYTES`` are read together, up
     to ``RANGE_BYTES`` at once; a single longer record is one range. Payloads are checked against
     their digests. Revisits have no payload. Without ``payloads`` that column stays null.
     """
@@ -189,7 +204,10 @@ def read_records(index: DataFrame, folder: str, payloads: bool = True) -> DataFr
         if source is not None:
             source.close()
 
-    rows = index.select("file", "offset", "length").repartitionByRange("file", "offset")
+    total = index.agg(F.sum("length")).first()[0] or 0
+    cores = index.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, -(-total // TASK_BYTES), min(cores, total // LEAST_TASK_BYTES))
+    rows = index.select("file", "offset", "length").repartitionByRange(tasks, "file", "offset")
     return rows.sortWithinPartitions("file", "offset").mapInArrow(run, RECORD)
 
 
