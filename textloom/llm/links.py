@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.shared import settle
+from textloom.plans.scratch import settle
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -36,12 +36,23 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def free_names(taken: list[str], *wanted: str) -> list[str]:
+    """The ``wanted`` column names, with as many underscores as it takes to differ from all that are ``taken``."""
+    there, out = {x.lower() for x in taken}, []
+    for name in wanted:
+        while name.lower() in there:
+            name += "_"
+        there.add(name.lower())
+        out.append(name)
+    return out
+
+
 def rows_that_stay(docs: DataFrame, verdicts: DataFrame, key: str, key_of: Column) -> DataFrame:
     """The rows of ``docs`` for which ``verdicts (doc_id, <key>, kept)`` says so, their columns as they are.
 
     ``key_of`` is the verdicts' key as an expression over ``docs`` under the alias ``a``; with the id it tells rows apart. Of
     repeated rows, which share both, as many stay as are kept: one. Of these, where other columns
-    differ, the row that sorts first stays.
+    differ, the row whose JSON sorts first stays.
     """
     told = verdicts.groupBy("doc_id", key).agg(F.max("kept").alias("stays"), F.count("*").alias("n"))
     told = settle(told.filter(~F.col("stays") | (F.col("n") > 1)), "leaving-rows")
@@ -51,10 +62,12 @@ def rows_that_stay(docs: DataFrame, verdicts: DataFrame, key: str, key_of: Colum
     repeated = told.filter("stays")
     if repeated.isEmpty():
         return kept
+    whole = F.struct(*[F.col(f"a.`{c}`") for c in docs.columns])
+    # as JSON, since not all types have an order
     one = (
         a.join(repeated.alias("b"), same, "left_semi")
         .groupBy(F.col("a.doc_id").alias("k1"), key_of.alias("k2"))
-        .agg(F.min(F.struct(*[F.col(f"a.`{c}`") for c in docs.columns])).alias("row"))
+        .agg(F.min_by(whole, F.to_json(whole)).alias("row"))
         .select("row.*")
     )
     return kept.unionByName(one)

@@ -13,7 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.shared import settle
+from textloom.llm.links import free_names
+from textloom.plans.scratch import settle
 
 WEIGHTS = (3, 1, 2)
 HASH_BITS = 60
@@ -90,11 +91,15 @@ def thresholds(
         F.lit(0).cast("long").alias("cut"),
     )
     state = settle(state, "mix-state")
+    rows = sized.select("source", "size", "hash")
     for shift in range(HASH_BITS - STEP_BITS, -1, -STEP_BITS):
         looking = state.filter(~F.col("settled")).select(F.col("source").alias("s"), "prefix", "need")
-        inside = sized.join(looking, F.col("source").eqNullSafe(F.col("s"))).filter(
+        inside = rows.join(looking, F.col("source").eqNullSafe(F.col("s"))).filter(
             F.shiftright("hash", shift + STEP_BITS) == F.col("prefix")
         )
+        if shift < HASH_BITS - STEP_BITS:  # finer levels only read the boundary buckets
+            inside = settle(inside, "boundary-buckets")
+            rows = inside.select("source", "size", "hash")
         hist = inside.groupBy("s", "need", F.shiftright("hash", shift).alias("bucket")).agg(
             F.sum("size").alias("sum"), F.min("hash").alias("low"), F.max("hash").alias("high")
         )
@@ -160,13 +165,12 @@ def mix(
 def mixed_documents(
     docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = 1.5, max_repeat: float = 2.0
 ) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them, with their columns as they are."""
+    """The rows of ``docs`` as often as the mix takes them, with their columns as they are, whatever their names."""
+    source, whole, cut, copy = free_names(docs.columns, "mix_source", "mix_whole", "mix_cut", "mix_copy")
     sized = settle(_sized(docs), "mix-sizes")
-    plan = thresholds(sized, weights, share, max_repeat).select(
-        F.col("source").alias("_mix_source"), F.col("whole").alias("_mix_whole"), F.col("cut").alias("_mix_cut")
-    )
+    plan = thresholds(sized, weights, share, max_repeat).toDF(source, "source_size", "target", whole, cut).select(source, whole, cut)
     a = docs.alias("a")
-    times = F.col("_mix_whole") + F.when(doc_hash(F.col("a.doc_id")) < F.col("_mix_cut"), 1).otherwise(0)
-    joined = a.join(plan, F.col("a.source").eqNullSafe(F.col("_mix_source")))
-    taken = joined.filter(times > 0).select("a.*", F.explode(F.sequence(F.lit(1).cast("long"), times)).alias("_mix_copy"))
+    times = F.col(whole) + F.when(doc_hash(F.col("a.doc_id")) < F.col(cut), 1).otherwise(0)
+    joined = a.join(plan, F.col("a.source").eqNullSafe(F.col(source)))
+    taken = joined.filter(times > 0).select("a.*", F.explode(F.sequence(F.lit(1).cast("long"), times)).alias(copy))
     return taken.select(*[F.col(f"`{c}`") for c in docs.columns])
