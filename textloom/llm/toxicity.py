@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from textloom.llm.shared import settle
+from textloom.llm.links import free_names
+from textloom.plans.scratch import settle
 from textloom.llm.words import ALNUM, U64, bytes_of, mix, word_hashes
 
 PLACES_BITS = 20
@@ -87,24 +88,40 @@ class Ftrl:
         self.n[at] = grown
 
 
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``label, h, places`` for rows of ``text, label, h``: the distinct places of each text's features."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 64):
+            part = batch.slice(lo, 64)
+            got: list[list[np.ndarray]] = [[] for _ in range(part.num_rows)]
+            for places, rows in features(part.column(0)):
+                order = np.argsort(rows, kind="stable")
+                cuts = np.searchsorted(rows[order], np.arange(part.num_rows + 1))
+                for i, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                    got[i].append(places[order[x:y]])
+            lists = [np.unique(np.concatenate(x)).astype(np.int32) if x else np.zeros(0, np.int32) for x in got]
+            yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array(lists, pa.list_(pa.int32()))], ["label", "h", "places"])
+
+
 def _fit(batches: Iterator[pa.RecordBatch], rates: Rates) -> Iterator[pa.RecordBatch]:
     examples: list[tuple[int, np.ndarray]] = []
     for batch in batches:
-        texts, labels = batch.column(0), batch.column(1).to_pylist()
-        for lo in range(0, len(labels), 64):
-            got: list[list[np.ndarray]] = [[] for _ in labels[lo : lo + 64]]
-            for places, rows in features(texts.slice(lo, 64)):
-                for i in np.unique(rows):
-                    got[i].append(places[rows == i])
-            for label, parts in zip(labels[lo : lo + 64], got, strict=True):
-                examples.append((label, np.unique(np.concatenate(parts)).astype(np.int32) if parts else np.zeros(0, np.int32)))
+        lists = batch.column(1)
+        at, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+        examples += [(label, flat[x:y]) for label, x, y in zip(batch.column(0).to_pylist(), at[:-1], at[1:], strict=True)]
+    model = fitted(examples, rates)
+    w = model.weights(np.arange((1 << PLACES_BITS) + 1))
+    at = np.flatnonzero(w)
+    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(w[at], pa.float64())], ["place", "weight"])
+
+
+def fitted(examples: list[tuple[int, np.ndarray]], rates: Rates) -> Ftrl:
+    """A model that has seen the examples ``(label, places)`` once an epoch, in a fixed random order."""
     model, order = Ftrl(rates), np.random.default_rng(7)
     for _ in range(rates.epochs):
         for i in order.permutation(len(examples)):
             model.learn(examples[i][1].astype(np.int64), examples[i][0])
-    w = model.weights(np.arange((1 << PLACES_BITS) + 1))
-    at = np.flatnonzero(w)
-    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(w[at], pa.float64())], ["place", "weight"])
+    return model
 
 
 def held_out(doc_id: Column) -> Column:
@@ -136,8 +153,10 @@ def train(docs: DataFrame, labels: DataFrame, rates: Rates = Rates(), per_class:
     # at most 2 * per_class ids of a few bytes each
     sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")
     # several rows of one id are several examples, up to the same bound
-    sample = sample.select("text", "label", F.xxhash64("doc_id", "text").alias("h")).orderBy("h").limit(2 * per_class)
-    sample = sample.select("text", "label").coalesce(1)
+    sample = sample.select("text", "label", F.xxhash64("doc_id", "text").alias("h"))
+    # features are hashed where the texts are; the one task that fits gets their places
+    sample = sample.mapInArrow(_places, "label int, h long, places array<int>").orderBy("h", "label", "places").limit(2 * per_class)
+    sample = sample.select("label", "places").coalesce(1)
     rows = settle(sample.mapInArrow(lambda x: _fit(x, rates), "place long, weight double"), "toxic-weights").collect()
     s0, s1 = min(n0, per_class), min(n1, per_class)
     bias = sum(r["weight"] for r in rows if r["place"] == 1 << PLACES_BITS) + math.log(n1 / n0) - math.log(s1 / s0)
@@ -189,7 +208,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, rates: Rates = Rates(), thresho
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, rates: Rates = Rates(), threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that score below the threshold, with their columns as they are."""
-    name = "_toxicity"
-    while name in docs.columns:
-        name += "_"
+    name = free_names(docs.columns, "toxicity")[0]
     return with_scores(docs, train(docs, labels, rates), score=name).filter(F.col(name) < threshold).drop(name)
