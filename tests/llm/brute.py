@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 
 
@@ -70,3 +71,78 @@ def repeats(rows, length):
         spans = sum(g and (i == 0 or not gone[i - 1]) for i, g in enumerate(gone))
         out.append((len(data), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
     return out
+
+
+def shingle_set(text):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) > 4 else {tuple(w)} if w else set()
+
+
+def links_of_all_pairs(rows):
+    """Classes by all pairs: the smallest id that chains of links lead to."""
+    sets, root = {i: shingle_set(t) for i, t in rows}, {i: i for i, _ in rows}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            if j < i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) > 0:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return {i: find(i) for i in sets}
+
+
+def text_features(text):
+    w = re.findall("[a-z0-9]+", (text or "").lower())
+    return {*w, *zip(w, w[1:]), *((a, None, b) for a, b in zip(w, w[2:]))}
+
+
+def ftrl(examples, rates, order):
+    """FTRL-proximal with dictionaries: examples of (label, features) in the order of ``order``; a function from features to a score."""
+    z, n, bias = {}, {}, object()
+
+    def weight(f):
+        if f not in z or (f is not bias and abs(z[f]) <= rates.l1):
+            return 0.0
+        l1 = 0.0 if f is bias else math.copysign(rates.l1, z[f])
+        return (l1 - z[f]) / ((rates.beta + math.sqrt(n[f])) / rates.alpha + rates.l2)
+
+    def score(features):
+        return 1 / (1 + math.exp(-sum(map(weight, [*features, bias]))))
+
+    for at in order:
+        label, features = examples[at]
+        w = {f: weight(f) for f in [*features, bias]}
+        g = 1 / (1 + math.exp(-max(-35.0, min(35.0, sum(w.values()))))) - label
+        for f in w:
+            grown = n.get(f, 0.0) + g * g
+            z[f] = z.get(f, 0.0) + g - (math.sqrt(grown) - math.sqrt(n.get(f, 0.0))) / rates.alpha * w[f]
+            n[f] = grown
+    return score
+
+
+def mixed(rows, weights=(3, 1, 2), share=1.5, most=2.0):
+    """rows of (doc_id, text, source): how often each is taken."""
+    size = {i: len(re.findall(r"[^ \t\n\v\f\r]+", t or "")) for i, t, _ in rows}
+    names = sorted({s for _, _, s in rows}, key=lambda s: (s is None, s or ""))
+    total = {s: sum(size[i] for i, _, x in rows if x == s) for s in names}
+    left, open_ = share * sum(total.values()), {s: weights[k % len(weights)] for k, s in enumerate(names)}
+    target = {}
+    while open_:
+        level = left / sum(open_.values())
+        full = [s for s in open_ if level * open_[s] > most * total[s]]
+        for s in full or list(open_):
+            target[s] = most * total[s] if full else level * open_[s]
+            left -= target[s] if full else 0
+            del open_[s]
+    times = {}
+    for s in names:
+        whole = int(target[s] // total[s]) if total[s] else 0
+        need, upto = target[s] - whole * total[s], 0
+        for h, i in sorted((int(hashlib.md5(str(i).encode()).hexdigest()[:15], 16), i) for i, _, x in rows if x == s):
+            times[i] = whole + (2 * upto + size[i] <= 2 * need)
+            upto += size[i]
+    return times

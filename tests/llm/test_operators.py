@@ -1,5 +1,6 @@
 """The operators against plain versions, and on null, empty, long, repeated and missing rows."""
 
+import gzip
 import hashlib
 import random
 import zlib
@@ -53,7 +54,7 @@ def test_exact_dedup(spark, block, bits):
 
 
 def test_drop_copies_keeps_columns(spark):
-    docs = table(spark, ODD).withColumn("bucket", F.lit("b")).withColumn("kept", F.lit("k"))
+    docs = table(spark, ODD).withColumn("bucket", F.lit("b")).withColumn("kept", F.lit("k")).withColumn("m", F.create_map(F.lit("k"), F.lit(1)))
     out = exact_dedup.drop_copies(docs)
     assert out.columns == docs.columns
     assert by_row(out, "doc_id", "text") == sorted([(2, ""), (3, "x"), (4, LONG), (4, "other"), (5, "\n \t"), (6, "é😀 ÿ")], key=str)
@@ -63,11 +64,6 @@ def test_drop_copies_keeps_columns(spark):
 # ---- near -----------------------------------------------------------------------------------------
 
 
-def shingle_set(text):
-    w = (text or "").lower().split()
-    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) > 4 else {tuple(w)} if w else set()
-
-
 def test_near_classes(spark):
     rnd = random.Random(3)
     rows = [(i, " ".join(rnd.choice("abcdefghijkl") * 3 for _ in range(60))) for i in range(30)]
@@ -78,7 +74,7 @@ def test_near_classes(spark):
         rows.append((i, " ".join(w)))
     rows += [(i + 100 if i else None, t) for i, t in ODD]
     got = near_dedup.near_classes(table(spark, rows)).collect()
-    sets, root = [shingle_set(t) for _, t in rows], list(range(len(rows)))
+    sets, root = [brute.shingle_set(t) for _, t in rows], list(range(len(rows)))
 
     def find(i):
         while root[i] != i:
@@ -110,7 +106,7 @@ def test_large_buckets_compare_all(spark, monkeypatch, block):
         own = [f"o{i}x{k}" for k in range(40)]
         rows += [(2 * i, " ".join(template + own)), (2 * i + 1, " ".join(template + own[:-2] + [f"z{i}", "z"]))]
     rnd.shuffle(rows)
-    sets = {i: shingle_set(t) for i, t in rows}
+    sets = {i: brute.shingle_set(t) for i, t in rows}
     assert all((len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])) == (i // 2 == j // 2) for i in sets for j in sets)
     docs = table(spark, rows)
     bands = {r["doc_id"]: set(r["bands"]) for r in near_dedup.signatures(docs, bands=2, band_rows=1).collect()}
@@ -119,23 +115,6 @@ def test_large_buckets_compare_all(spark, monkeypatch, block):
     assert got == {i: i - i % 2 if bands[i] & bands[i ^ 1] else i for i in sets}
 
 
-def links_of_all_pairs(rows):
-    """Classes by all pairs: the smallest id that chains of links lead to."""
-    sets, root = {i: shingle_set(t) for i, t in rows}, {i: i for i, _ in rows}
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for i in sets:
-        for j in sets:
-            if j < i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
-                a, b = sorted((find(i), find(j)))
-                root[b] = a
-    return {i: find(i) for i in sets}
-
-
 @pytest.mark.parametrize("block", [512, 16])
 def test_chains_and_clusters(spark, monkeypatch, block):
     """Chains in which only neighbours are near, clusters of mutual copies, and outliers near a single text of a large class."""
@@ -157,7 +136,7 @@ def test_chains_and_clusters(spark, monkeypatch, block):
     rnd.shuffle(texts)
     rows = list(enumerate(texts))
     got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_classes(table(spark, rows)).collect()}
-    assert got == links_of_all_pairs(rows) and len(set(got.values())) < 12
+    assert got == brute.links_of_all_pairs(rows) and len(set(got.values())) < 12
 
 
 def test_similar_in_group():
@@ -222,6 +201,22 @@ def test_mixing(spark):
     assert mixing.mix(table(spark, [])).count() == 0
 
 
+def test_mix_equals_plain_version(spark):
+    rnd = random.Random(15)
+    for sources in (["a", "a", "a", "b", "c", None], ["a", "b"], ["a"]):
+        rows = [(i, "w " * rnd.randrange(30), rnd.choice(sources)) for i in range(300)]
+        times, got = brute.mixed(rows), mixing.mix(table(spark, rows)).collect()
+        assert {r["doc_id"]: r["taken"] for r in got} == {r["doc_id"]: r["size"] * times[r["doc_id"]] for r in got}
+
+
+def test_mixed_documents_keep_clashing_columns(spark):
+    docs = table(spark, [(i, "w " * (i % 9 + 1), f"s{i % 3}") for i in range(60)])
+    for name in ("mix_cut", "MIX_Whole", "mix_source", "mix_copy", "cut", "whole", "target", "source_size"):
+        docs = docs.withColumn(name, F.lit(name))
+    out = mixing.mixed_documents(docs)
+    assert out.columns == docs.columns and out.count() == sum(brute.mixed([(i, "w " * (i % 9 + 1), f"s{i % 3}") for i in range(60)]).values())
+
+
 def test_mix_budgets_are_nested(spark):
     docs = table(spark, [(i, "w " * (i % 9 + 1), f"s{i % 3}") for i in range(300)])
     few, many = ({r["doc_id"]: r["taken"] for r in mixing.mix(docs, share=s).collect()} for s in (0.4, 0.7))
@@ -408,6 +403,33 @@ def test_toxicity(spark):
     assert toxicity.toxicity(table(spark, []), labels).count() == 0
 
 
+def test_toxicity_equals_plain_version(spark):
+    rnd = random.Random(16)
+    vocabulary = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(rnd.choice(vocabulary) for _ in range(25)) + (f" bad{rnd.randrange(3)} thing" if i % 3 == 0 and rnd.random() < 0.9 else "")) for i in range(400)]
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i, _ in rows], "doc_id long, quality int, toxic int")
+    docs, rates = table(spark, rows), toxicity.Rates()
+    known = [r["doc_id"] for r in docs.orderBy(F.xxhash64("doc_id", "text")).collect() if zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1]
+    texts, order = dict(rows), np.random.default_rng(7)
+    steps = [i for _ in range(rates.epochs) for i in order.permutation(len(known)).tolist()]
+    score = brute.ftrl([(int(i % 3 == 0), brute.text_features(texts[i])) for i in known], rates, steps)
+    got = {r["doc_id"]: r["score"] for r in toxicity.toxicity(docs, labels).collect()}
+    assert max(abs(got[i] - score(brute.text_features(t))) for i, t in rows) < 1e-9
+    assert max(got.values()) > 0.7 > 0.3 > min(got.values())
+
+
+def test_toxicity_on_held_out_rows(spark):
+    """Ranks the held-out labelled rows of the real tables, and a text of a megabyte is scored whole."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{x}.parquet") for x in ("documents", "labels"))
+    long = spark.createDataFrame([(-1, "calm words " * 90_000 + "you stupid idiot")], "doc_id long, text string")
+    scores = toxicity.toxicity(docs.select("doc_id", "text").unionByName(long), labels)
+    rows = scores.filter("held_out").join(labels, "doc_id").select("score", "toxic").collect()
+    bad, good = ([r["score"] for r in rows if r["toxic"] == k] for k in (1, 0))
+    wins = np.mean([(x > y) + 0.5 * (x == y) for x in bad for y in good])
+    assert wins > 0.98 and len(bad) > 30 and len(good) > 300
+    assert scores.filter("doc_id = -1").count() == 1
+
+
 def test_word_hashes():
     column = pa.array(["One two", None, "", "two  ONE two", "x"])
     data, at = words.bytes_of(column, lower=True)
@@ -431,6 +453,22 @@ def test_warc(spark, tmp_path):
     assert bytes(some[5]["payload"]).decode() == "é" * 60 and some[9]["url"] == "u" and len(some) == 2 and big
 
 
+def test_warc_of_large_pages(spark, tmp_path):
+    """Records of some megabytes are read by several tasks, and every record has a name of its own."""
+    rnd = random.Random(17)
+    rows = [(i, None if i == 4 else f"u{i}", "".join(rnd.choices("abcdefghé<>", k=1_500_000))) for i in range(8)] + [(3, "v", "x" * 200), (3, "w", "x" * 200), (2, "t", "x" * 200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    folder = f"file://{tmp_path}/w"
+    index = warc.write_archives(warc.with_referrals(pages), folder)
+    read = warc.read_records(index, folder)
+    assert read.rdd.getNumPartitions() == min(spark.sparkContext.defaultParallelism, index.agg(F.sum("length")).first()[0] >> 20) > 1
+    got = sorted((r["page_id"], r["url"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in read.filter("url is not null").collect())
+    assert len(got) == 10 and got[3:5] != got[4:5] and [x[3:] for x in got if x[2] == 200] == [("response", None), ("revisit", 2), ("revisit", 2)]
+    assert sorted(hashlib.sha256(r["payload"]).hexdigest() for r in read.filter("payload_bytes > 200").collect()) == sorted(hashlib.sha256(t.encode()).hexdigest() for _, _, t in rows[:8])
+    heads = [x for f in (tmp_path / "w").iterdir() for x in gzip.decompress(f.read_bytes()).decode(errors="replace").split("\r\n") if x.startswith("WARC-Record-ID: <urn:uuid:")]
+    assert len(heads) == len(set(heads)) == len(rows)
+
+
 # ---- top k ----------------------------------------------------------------------------------------
 
 
@@ -448,6 +486,28 @@ def test_top_k(spark):
     assert [tuple(r) for r in few] == [(0, 1, 1, 64 * 128)]
 
 
+@pytest.mark.parametrize(("group", "block", "pivots"), [(50, 4, 3), (20, 1, 64), (1000, 4, 1)])
+def test_top_k_in_groups(spark, group, block, pivots):
+    """Clusters of vectors, one of them a third of all rows, and several groups and blocks of queries."""
+    rnd = random.Random(19)
+    centres = [[rnd.gauss(0, 1) for _ in range(16)] for _ in range(6)]
+    rows = [(i, [x + rnd.gauss(0, 0.1) for x in rnd.choice(centres)]) for i in range(160)] + [(i, centres[0]) for i in range(160, 240)]
+    rnd.shuffle(rows)
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=7, every=5, group=group, block=block, pivots=pivots).collect()
+    ints = {i: [int(np.floor(64 * x)) for x in v] for i, v in rows}
+    for q in (i for i in ints if i % 5 == 0):
+        scored = sorted((-sum(a * b for a, b in zip(ints[q], ints[c])), c) for c in ints if c != q)[:7]
+        assert [(r["vec_id"], r["score"]) for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == [(c, -s) for s, c in scored]
+    assert len(got) == 48 * 7
+
+
+def test_large_components_are_cut(spark):
+    rows = [(0, [6e13, 1.0]), (20, [6e13, 2.0]), (40, [-6e13, 0.0]), (3, [1e300, 0.0]), (5, [-1e300, 1.0])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).filter("query_id = 0").collect()
+    high, low = (1 << 63) - 1, -(1 << 63)
+    assert [(r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"])] == [(3, high), (20, high), (5, low), (40, low)]
+
+
 # ---- repeated passages ----------------------------------------------------------------------------
 
 
