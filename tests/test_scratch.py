@@ -1,5 +1,7 @@
 from types import SimpleNamespace
 
+import pytest
+
 from textloom.plans import scratch
 
 
@@ -10,7 +12,10 @@ def test_named_folder(spark):
 
 def test_own_folder_only_where_unset():
     told = []
-    context = SimpleNamespace(applicationId="app", setCheckpointDir=told.append)
+    context = SimpleNamespace(applicationId="app", master="local[2]", setCheckpointDir=told.append)
     session = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: None), sparkContext=context)
     assert scratch.shared_dir(session) == scratch.shared_dir(session) == told[0]
     assert len(told) == 1 and told[0].startswith("file:///")
+    context.master = "spark://host:7077"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch.shared_dir(session)

@@ -1,8 +1,12 @@
 import math
+import random
+import shutil
+import statistics
 
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from textloom.operators import index, search, tokenize, zipf
 from textloom.plans import boolean as B
@@ -109,7 +113,54 @@ def test_index_round_trip(spark, docs, tmp_path):
         ("repeated posting", "posting without document", "empty posting", "document count"), 0
     )
     assert ids(search.boolean_search(loaded["postings"], loaded["forward"], "a !b")) == [1, 5]
-    assert {r["term"]: r["postings"] for r in index.inverted(loaded["postings"]).collect()}["a"] == [0, 1, 5]
+    assert {(r["term"], r["block"]): r["postings"] for r in index.inverted(loaded["postings"], 5).collect()}[("a", 1)] == [5]
+    same = [sorted(map(tuple, x.collect())) for x in (index.inverted(loaded["postings"]), index.inverted_documents(docs))]
+    assert same[0] == same[1] and {r[0]: r[3] for r in same[0]}["a"] == [0, 1, 5]
+
+
+def test_unsound_and_other_indexes_are_refused(spark, docs, tmp_path):
+    tokens, path = tokenize.token_stream(docs), f"{tmp_path}/i"
+    took = index.save_index(tokens, docs, path).first()
+    assert took["ms"] > 0 and took["ms_per_doc"] == pytest.approx(took["ms"] / 6)
+    assert index.build_figures(index.index_meta(tokens.limit(0), docs.limit(0)), 0.0).first()["tokens_per_s"] == 0
+    spark.createDataFrame([("a", 99, 1)], "term string, doc_id long, tf long").write.mode("append").parquet(f"{path}/postings")
+    index.load_index(spark, path)
+    with pytest.raises(ValueError, match="posting without document: 1"):
+        index.load_index(spark, path, check=True)
+    spark.read.parquet(f"{path}/meta").withColumn("version", F.lit(7)).write.parquet(f"{path}/next")
+    spark.read.parquet(f"{path}/next").write.mode("overwrite").parquet(f"{path}/meta")
+    with pytest.raises(ValueError, match="version 7"):
+        index.load_index(spark, path)
+
+
+def test_lost_tables_are_built_anew(spark, docs):
+    corpus = Corpus(docs)
+    before = ids(corpus.boolean("a"))
+    shutil.rmtree(corpus._paths["postings"].removeprefix("file://"))
+    assert ids(corpus.boolean("a")) == before
+
+
+@pytest.mark.parametrize("n", [1, 2, 9, 300, 301])
+def test_exact_median(spark, monkeypatch, n):
+    monkeypatch.setattr(zipf, "BUCKETS", 8)
+    rnd = random.Random(n)
+    values = [rnd.choice([rnd.random() * 1e6, 5.0, rnd.random()]) for _ in range(n)] + [None]
+    df = spark.createDataFrame([(x,) for x in values], "x double")
+    assert zipf.exact_median(df, "x") == pytest.approx(statistics.median(values[:-1]))
+    assert zipf.exact_median(df.limit(0), "x") is None
+
+
+def test_result_lines_and_slowest(spark, corpus):
+    listed = spark.createDataFrame([(1,), (2,)], "query_no int")
+    lines = search.result_lines(corpus.ranked(["d-d c1c1 aa", "bb"]), listed).collect()
+    assert [(r["query_no"], r["line"]) for r in lines if r["rank"] is None] == [(n, "(no results)") for n in (1, 2)]
+    timed = spark.createDataFrame([(1, 2.0, 0, "x"), (2, 3.0, 1, "y"), (3, 2.0, 1, "z")], "query_no int, ms double, hits int, query string")
+    assert [tuple(r)[:3] for r in search.slowest(timed, 2).collect()] == [(1, 3.0, 2), (2, 2.0, 1)]
+
+
+def test_progress(docs):
+    watched, seen = tokenize.with_progress(docs)
+    assert tokenize.token_stream(watched).count() > 0 and seen.get == {"docs": 6, "text_bytes": 16}
 
 
 @pytest.mark.parametrize("vocabulary", [0, 1, 5, 30])

@@ -1,10 +1,14 @@
+import random
+import re
+from urllib.parse import parse_qsl, urlencode, urlsplit, urlunsplit
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
-from textloom.functions.urls import normalize_url, page_url, resolve_link, title_from_url
+from textloom.functions.urls import normalize_url, page_url, resolve_link, strip_fragment, title_from_url
 from textloom.operators import tokenize
 
 
@@ -86,6 +90,40 @@ def test_normalize_url(spark):
     assert column(spark, list(URLS), normalize_url) == list(URLS.values())
 
 
+def plain_normal(url):
+    parts = urlsplit(url)
+    pairs = [(k, v) for k, v in parse_qsl(parts.query, keep_blank_values=True) if not re.match("(?i)utm_", k) and k.lower() not in ("gclid", "yclid", "fbclid", "mc_cid", "mc_eid")]
+    path = re.sub("/{2,}", "/", parts.path or "/")
+    path = path[:-1] if path != "/" and path.endswith("/") and not path.endswith(".html/") else path
+    return urlunsplit((parts.scheme.lower() or "https", parts.netloc.lower(), path, urlencode(sorted(pairs)), ""))
+
+
+def test_normalize_url_like_a_library(spark):
+    rnd = random.Random(1)
+    pieces = ["a", "B", "=", "&", "%20", "%D0%A4", "%zz", "+", "~", "*", "/", "//", ".html/", "utm_x=1", "GCLID=2", "é", "-._", ":", "@", "x=1", "#f", "?", ";", "%"]
+    urls = [rnd.choice(["http://H.Ex/", "https://a:80", "HTTPS://b/c", "x/y", "/z"]) + "".join(rnd.choice(pieces) for _ in range(rnd.randrange(14))) for _ in range(2500)]
+    urls = [u for u in urls if not re.search("^[^/]*:[^/]", u)]
+    got = column(spark, urls, normalize_url)
+    assert [(u, g) for u, g in zip(urls, got)] == [(u, plain_normal(u)) for u in urls]
+
+
+def test_ranked_form(spark):
+    words = ["co-op", "A_b!c", "é~Ü", "", None, "".join(map(chr, range(1, 300)))]
+    assert column(spark, words, T.norm_ranked) == [w and re.sub("[A-Z]", lambda m: m[0].lower(), re.sub("[^A-Za-z0-9_\x80-\U0010ffff]", "", w)) for w in words]
+
+
+def test_dirty_bytes(spark):
+    got = column(spark, [bytearray(b"a\xff-b"), bytearray("é".encode()), None], T.repaired_utf8, "binary")
+    assert got == ["a\ufffd-b", "é", None]
+    assert column(spark, [bytearray(b"ab\xc3cd")], lambda c: T.tokens(T.repaired_utf8(c)), "binary") == [["ab", "cd"]]
+
+
+def test_space(spark):
+    assert column(spark, [" a \t\u00a0 b\n", None, ""], T.squeeze_space) == ["a b", None, ""]
+    assert column(spark, ["\x0b a b\u00a0 "], T.trim_ascii_space) == ["a b\u00a0"]
+    assert column(spark, ["http://h/a#b#c", "x"], strip_fragment) == ["http://h/a", "x"]
+
+
 def test_titles(spark):
     urls = ["https://h/wiki/%D0%A4_x", "https://h/a/b_c", "https://h/a/", "https://h/a/100%zz", "https://h/a/x+y"]
     assert column(spark, urls, title_from_url) == ["Ф x", "b c", "https://h/a/", "100%zz", "x y"]

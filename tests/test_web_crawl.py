@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import html as H
 from textloom.operators import crawl, web
+from textloom.plans.config import config_from
 from textloom.sources import files
 
 LONG = "words of a paragraph that is longer than forty characters"
@@ -41,13 +42,26 @@ def test_broken_pages(spark, source):
     assert web.article_records(pages, "news").count() == 1
 
 
-def test_links_and_predicates(spark):
+def test_links(spark):
     pages = spark.createDataFrame([(1, "https://s/q", PAGE)], "page_id long, url string, html string")
     assert {r["link"] for r in web.page_links(pages).collect()} == {"https://s/a", "https://h/b"}
-    urls = ["https://n/football/article-1.html", "https://b/football/blogs/12.html", "https://b/football/blogs/x.html", None]
-    df = spark.createDataFrame([(u,) for u in urls], "u string")
-    got = df.select(web.news_article(F.col("u"), ("n",)).alias("n"), web.blog_article(F.col("u"), "b").alias("b")).collect()
-    assert [(r["n"], r["b"]) for r in got] == [(True, False), (False, True), (False, False), (False, False)]
+
+
+def test_article_urls(spark):
+    urls = ["https://n.x/football/article-1.html", "https://n.x/football/article-1.html?u=/rss/", "https://b/football/blogs/12.html", "https://b/football/blogs/x.html", "https://[", "", None]
+    u = F.col("u")
+    rules = [web.news_article(u, "n.x"), web.news_article_strict(u, "n.x"), web.blog_article(u, "b"), web.blog_article_loose(u, "b")]
+    got = [tuple(r) for r in spark.createDataFrame([(x,) for x in urls], "u string").select(rules).collect()]
+    none = (False,) * 4
+    assert got == [(True, True, False, False), none, (False, False, True, True), (False, False, False, True), none, none, none]
+
+
+def test_pages_of_several_sources(spark):
+    rows = [(1, "w", "https://w/a", PAGE), (2, "n", "https://n/b?utm_x=1", PAGE), (3, "other", "https://o/", PAGE), (4, "n", "https://n/short", "<p>x"), (5, None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, source string, url string, html string")
+    got = {(r["source"], r["url_norm"]): r["parsed_text"] for r in web.fetched_documents(pages, {"w": ("early_news", 1), "n": ("news", 5)}, 7).collect()}
+    assert set(got) == {("w", "https://w/a"), ("n", "https://n/b")}
+    assert got["n", "https://n/b"].split("\n") == [LONG, f"{LONG} one", f"{LONG} two"] and got["w", "https://w/a"].split("\n")[:2] == [LONG, LONG.upper()]
 
 
 def task(url, **more):
@@ -70,6 +84,41 @@ def test_claim_finish_release(spark):
     assert states(crawl.release_expired(tasks, 10))["e"]["state"] == "queued"
 
 
+def test_aliases_queue_their_canonical_page(spark):
+    tasks = spark.createDataFrame([task("a", state="fetching"), task("b", state="fetching"), task("https://h/c", state="done", created_at=3, next_fetch_at=9000)], crawl.TASKS)
+    told = [("s", "a", "alias", "HTTPS://H/c/#x"), ("s", "b", "alias", "https://h/new")]
+    got = states(crawl.finish_and_follow(tasks, spark.createDataFrame(told, "source string, url_norm string, outcome string, detail string"), 50))
+    assert got["a"]["state"] == got["b"]["state"] == "done" and got["a"]["note"] == "alias->canonical HTTPS://H/c/#x"
+    assert (got["https://h/new"]["state"], got["https://h/new"]["next_fetch_at"], got["https://h/new"]["meta"]) == ("queued", 50, {"alias": "b"})
+    assert (got["https://h/c"]["state"], got["https://h/c"]["next_fetch_at"], got["https://h/c"]["created_at"]) == ("done", 50, 3)
+
+
+def test_listing_stops(spark):
+    pages = [("a", p, 404 if p in (2, 3, 5, 6, 7, 9) else 200) for p in range(1, 12)] + [("b", p, 404 if p % 2 else 200) for p in range(1, 9)]
+    df = spark.createDataFrame(pages, "site string, page long, status int")
+    got = crawl.listing_pages_read(df, 3, ("site",)).collect()
+    assert sorted((r["site"], r["page"]) for r in got) == [("a", p) for p in range(1, 8)] + [("b", p) for p in range(1, 9)]
+    assert sorted(r["page"] for r in crawl.listing_pages_read(df.filter("site = 'a'"), 2).collect()) == [1, 2, 3]
+
+
+def test_counters(spark):
+    rows = [("<p>é", "é", 5), ("<p>", None, 1), (None, "x", None)]
+    got = crawl.crawl_counters(spark.createDataFrame(rows, "raw_html string, parsed_text string, word_count int"), 5).first()
+    assert tuple(got) == (3, 1, 2, 8, 5, 5, 2)
+
+
+def test_frontier_resumes(spark):
+    edges = spark.createDataFrame([("a", "списки б"), ("a", "c"), ("c", "d"), ("списки б", "e"), ("d", "a"), ("d", "f")], "parent string, child string")
+    seeds = spark.createDataFrame([("a",)], "node string")
+    whole = [tuple(r) for r in crawl.discover_categories(edges, seeds, 2)[0].orderBy("place").collect()]
+    assert whole == [("a", 0, 0, 1), ("c", 0, 1, 2), ("d", 0, 2, 3), ("списки б", 2, 1, 4), ("e", 0, 2, 5)]
+    done, frontier = None, None
+    for most in (1, 3, 9):
+        done, frontier = crawl.discover_categories(edges, seeds, 2, most, done, frontier)
+        assert done.count() == min(most, 5)
+    assert [tuple(r) for r in done.orderBy("place").collect()] == whole and frontier.isEmpty()
+
+
 def test_upsert_tasks(spark):
     tasks = spark.createDataFrame([task("a", next_fetch_at=5, state="done", priority=1)], crawl.TASKS)
     found = spark.createDataFrame([("s", "a", 9, 7, {"k": "1"}, 1), ("s", "n", 3, 1, {}, 1), ("s", "n", 4, 2, {"k": "2"}, 2)], "source string, url_norm string, next_fetch_at long, priority int, meta map<string,string>, seq int")
@@ -94,3 +143,48 @@ def test_files(spark, tmp_path):
     urls = spark.createDataFrame([("u1",), ("u2",)], "url string")
     got = files.fetch(urls, lambda u: (200, "ok") if u == "u1" else 1 / 0)
     assert {(r["url"], r["status"]) for r in got.collect()} == {("u1", 200), ("u2", None)}
+
+
+def test_fetch_retries_and_waits(spark, tmp_path):
+    log = str(tmp_path / "log")
+
+    def get(link):
+        with open(log, "a") as f:
+            f.write(link + "\n")
+        with open(log) as f:
+            if link == "u2" or f.read().count(link) < 3:
+                raise OSError("down")
+        return 200, "ok"
+
+    def note(seconds):
+        with open(log, "a") as f:
+            f.write(f"{seconds:.1f}\n")
+
+    urls = spark.createDataFrame([("s", "u1"), ("s", "u2")], "site string, url string").coalesce(1)
+    got = {r["url"]: (r["status"], r["body"]) for r in files.fetch(urls, get, tries=3, source="site", sleep=note).collect()}
+    assert got == {"u1": (200, "ok"), "u2": (None, "down")}
+    assert sorted(open(log).read().split()) == sorted(["u1"] * 3 + ["u2"] * 3 + ["0.5", "1.0"] * 2)
+    assert [files.retry_sleep(n) for n in (0, 1, 5)] == [0.5, 1.0, 5.0]
+    waited = files.fetch(urls, lambda u: (200, u), delay=60.0, source="site", sleep=note)
+    assert waited.count() == 2 and float(open(log).read().split()[-1]) > 59
+
+
+def test_states_and_records(spark, tmp_path):
+    path, schema = f"{tmp_path}/state", "node string, depth int"
+    assert [tuple(r) for r in files.read_or_default(spark, path, schema, [("a", 0)]).collect()] == [("a", 0)]
+    for n in (1, 2):
+        files.append_records(spark.createDataFrame([("b", n)], schema), path)
+    assert sorted(tuple(r) for r in files.read_or_default(spark, path, schema).collect()) == [("b", 1), ("b", 2)]
+    lines = tmp_path / "pairs.txt"
+    lines.write_text("-1 a\n4294967296 b\n4294967295 c\n007 d\n")
+    assert {tuple(r) for r in files.token_pairs(spark, str(lines)).collect()} == {(4294967295, "c"), (7, "d")}
+    asked = tmp_path / "q.txt"
+    asked.write_text("a\n\nb && c\n")
+    assert files.query_lines(spark, str(asked)) == ["a", "", "b && c"]
+
+
+def test_config():
+    got = config_from('{"logic": {"max_retries": "7", "delay_seconds": 1}, "sources": {"w": {"kind": "encyclopedia", "min_words": 450, "seed_categories": ["x"]}, "n": null, "off": {"enabled": false}}, "logs": {}}')
+    assert (got.logic.max_retries, got.logic.delay_seconds, got.logic.recrawl_seconds) == (7, 1.0, 86_400)
+    assert got.enabled() == ["w", "n"] and got.sources["w"].seed_categories == ("x",)
+    assert got.sites() == {"w": ("encyclopedia", 450), "n": ("news", 900)} and config_from("").sources == {}

@@ -12,6 +12,7 @@ from urllib.parse import urlsplit
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 BLOCKS = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
@@ -229,22 +230,20 @@ def canonical(root: Element, base: str) -> str | None:
     return None
 
 
-PAGE = "title string, date string, text string, canonical string, links array<string>"
+PAGE = StructType([StructField(c, StringType()) for c in ("title", "date", "text", "canonical")] + [StructField("links", ArrayType(StringType()))])
 
 
-def parse_page(kind: str):
-    """A function (html, url) to the struct ``PAGE`` for a kind of page in ``RULES``. Null html gives empty values."""
-    rule, blog = RULES[kind], "blog" in kind
-
-    @F.pandas_udf(PAGE)
-    def parse(pages: pd.Series, urls: pd.Series) -> pd.DataFrame:
-        rows = []
-        for source, url in zip(pages, urls, strict=True):
-            root = tree(source or "")
-            links = [h for e in root.walk() if e.tag == "a" and (h := e.attrs.get("href", "").strip())]
-            keys = ("datePublished", "dateCreated") if blog else ("datePublished",)
-            found = (title(root, blog), date(root, keys), canonical(root, url or ""), links)
-            rows.append((found[0], found[1], main_text(root, rule), found[2], found[3]))
-        return pd.DataFrame(rows, columns=["title", "date", "text", "canonical", "links"])
-
-    return parse
+@F.pandas_udf(PAGE)
+def parse_page(pages: pd.Series, urls: pd.Series, kinds: pd.Series) -> pd.DataFrame:
+    """The struct ``PAGE`` of (html, url, kind of page in ``RULES``). Null html gives empty values, another kind nulls."""
+    rows = []
+    for source, url, kind in zip(pages, urls, kinds, strict=True):
+        if kind not in RULES:
+            rows.append((None,) * 5)
+            continue
+        root, rule, blog = tree(source or ""), RULES[kind], "blog" in kind
+        links = [h for e in root.walk() if e.tag == "a" and (h := e.attrs.get("href", "").strip())]
+        keys = ("datePublished", "dateCreated") if blog else ("datePublished",)
+        found = (title(root, blog), date(root, keys), canonical(root, url or ""), links)
+        rows.append((found[0], found[1], main_text(root, rule), found[2], found[3]))
+    return pd.DataFrame(rows, columns=["title", "date", "text", "canonical", "links"])

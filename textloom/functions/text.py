@@ -12,6 +12,8 @@ EXTENDED = (
 )
 TOKEN = f"{BASE}{EXTENDED}*+(?:-{BASE}{EXTENDED}*+)*+"
 WORD = r"[A-Za-z\x{0410}-\x{044F}\x{0401}\x{0451}0-9]+(?:-[A-Za-z\x{0410}-\x{044F}\x{0401}\x{0451}0-9]+)?"
+#: ASCII other than letters, digits and ``_``.
+OTHER_ASCII = "".join(chr(i) for i in range(128) if not (chr(i).isalnum() or chr(i) == "_"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 # Suffixes in the order in which they are tried.
@@ -46,7 +48,10 @@ def norm_boolean(token: Column, unicode_fold: bool = False) -> Column:
 
 def norm_ranked(token: Column, unicode_fold: bool = False) -> Column:
     """The ranked index's form: ASCII other than letters, digits and ``_`` goes, hyphens too."""
-    return norm_boolean(F.regexp_replace(token, r"[^A-Za-z0-9_\x{80}-\x{10FFFF}]", ""), unicode_fold)
+    if unicode_fold:
+        return F.lower(F.translate(token, OTHER_ASCII, ""))
+    # letters map to letters, and what has no counterpart goes
+    return F.translate(token, UPPER + OTHER_ASCII, LOWER)
 
 
 def ranked_length_ok(term: Column) -> Column:
@@ -82,6 +87,11 @@ def stem(token: Column, enabled: bool = True) -> Column:
     return F.element_at(F.transform(F.array(norm_ranked(token)), of), 1)
 
 
+def repaired_utf8(data: Column) -> Column:
+    """Text of bytes or of a string that may be no valid UTF-8: each bad sequence is U+FFFD, which separates tokens."""
+    return F.make_valid_utf8(data.cast("string"))
+
+
 def squeeze_space(c: Column) -> Column:
     """Each run of white space, Unicode's included, as one space; none at the ends."""
     return F.trim(F.regexp_replace(c, r"(?U)[\s\x{1C}-\x{1F}]+", " "))

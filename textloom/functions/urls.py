@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import re
-from urllib.parse import parse_qsl, quote, unquote_to_bytes, urlencode, urljoin, urlsplit, urlunsplit
+from urllib.parse import quote, urljoin
 
 import pandas as pd
 from pyspark.sql import Column
@@ -15,40 +14,56 @@ TRACKING_PREFIX = "utm_"
 TRACKING_KEYS = ("gclid", "yclid", "fbclid", "mc_cid", "mc_eid")
 
 
-def _normal(url: str) -> str:
-    parts = urlsplit(url)
-    pairs = parse_qsl(parts.query, keep_blank_values=True)
-    pairs = sorted((k, v) for k, v in pairs if not k.lower().startswith(TRACKING_PREFIX) and k.lower() not in TRACKING_KEYS)
-    path = re.sub("/{2,}", "/", parts.path or "/")
-    if path != "/" and path.endswith("/") and not path.endswith(".html/"):
-        path = path[:-1]
-    return urlunsplit((parts.scheme.lower() or "https", parts.netloc.lower(), path, urlencode(pairs), ""))
+def _escapes_made_whole(text: Column) -> Column:
+    """``%`` that begins no escape as ``%25``, so that decoding leaves it as it is."""
+    return F.regexp_replace(text, "%(?![0-9A-Fa-f]{2})", "%25")
 
 
-@F.pandas_udf(StringType())
-def _normalize_any(urls: pd.Series) -> pd.Series:
-    return urls.map(_normal, na_action="ignore")
+def _form_encoded(text: Column) -> Column:
+    """As forms encode text; ``~`` stays and ``*`` does not."""
+    return F.replace(F.replace(F.url_encode(text), F.lit("%7E"), F.lit("~")), F.lit("*"), F.lit("%2A"))
+
+
+def _sorted_query(query: Column) -> Column:
+    """A query's pairs in order, without those that only track visits, decoded and encoded anew."""
+    decoded = lambda x: F.url_decode(_escapes_made_whole(x))
+
+    def pair(x: Column) -> Column:
+        key = F.substring_index(x, "=", 1)
+        value = F.when(F.contains(x, F.lit("=")), F.substr(x, F.length(key) + 2)).otherwise("")
+        return F.struct(decoded(key).alias("k"), decoded(value).alias("v"))
+
+    def wanted(x: Column) -> Column:
+        key = F.lower(x["k"])
+        return ~(F.startswith(key, F.lit(TRACKING_PREFIX)) | key.isin(*TRACKING_KEYS))
+
+    pairs = F.filter(F.transform(F.filter(F.split(query, "&"), lambda x: x != ""), pair), wanted)
+    return F.array_join(F.transform(F.array_sort(pairs), lambda x: F.concat(_form_encoded(x["k"]), F.lit("="), _form_encoded(x["v"]))), "&")
 
 
 def normalize_url(url: Column) -> Column:
-    """One form for URLs of one page: lower scheme and host, no fragment, no tracking keys, sorted query, single
-    slashes and none at the end. URLs without a query need no Python."""
-    plain = url.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://[\x21-\x7E]+$") & ~url.rlike(r"[?;\[\]\\]")
-    head = F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/#]*)", 1))
-    path = F.regexp_replace(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/#]*([^#]*)", 1), "/{2,}", "/")
-    path = F.when(path == "", "/").otherwise(path)
+    """One form for URLs of one page: lower scheme (``https`` if there is none) and host, no fragment, no tracking
+    keys, sorted query, single slashes and none at the end."""
+    clean = F.regexp_replace(F.regexp_replace(url, r"^[\x00-\x20]+", ""), r"[\t\r\n]", "")
+    part = lambda n: F.regexp_extract(clean, r"(?s)^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?", n)
+    scheme, host = F.lower(part(1)), F.lower(part(2))
+    path = F.regexp_replace(F.when(part(3) == "", "/").otherwise(part(3)), "/{2,}", "/")
     path = F.when((path != "/") & ~path.endswith(".html/"), F.regexp_replace(path, "/$", "")).otherwise(path)
-    return F.when(plain, F.concat(head, path)).otherwise(_normalize_any(F.when(~plain, url)))
+    there = F.when((host != "") & ~path.startswith("/"), F.concat(F.lit("//"), host, F.lit("/"), path)).when(
+        (host != "") | path.startswith("/"), F.concat(F.lit("//"), host, path)
+    )
+    query = _sorted_query(part(4))
+    head = F.concat(F.when(scheme == "", "https").otherwise(scheme), F.lit(":"), there.otherwise(path))
+    return F.when(query == "", head).otherwise(F.concat(head, F.lit("?"), query))
 
 
 def strip_fragment(url: Column) -> Column:
     return F.regexp_replace(url, "#.*$", "")
 
 
-@F.pandas_udf(StringType())
-def percent_decode(text: pd.Series) -> pd.Series:
+def percent_decode(text: Column) -> Column:
     """``%XX`` to bytes and ``+`` to a space; what is no escape stays as it is."""
-    return text.map(lambda x: unquote_to_bytes(x.replace("+", " ")).decode("utf-8", "replace"), na_action="ignore")
+    return F.url_decode(_escapes_made_whole(text))
 
 
 def title_from_url(url: Column) -> Column:
@@ -57,7 +72,7 @@ def title_from_url(url: Column) -> Column:
     tail = F.regexp_extract(url, r"([^/]*)$", 1)
     part = F.when(url.contains("/wiki/"), wiki).when(tail != "", tail).otherwise(url)
     part = F.translate(part, "_", " ")
-    return F.when(part.rlike("[%+]"), percent_decode(F.when(part.rlike("[%+]"), part))).otherwise(part)
+    return percent_decode(part)
 
 
 @F.pandas_udf(StringType())

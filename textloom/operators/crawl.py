@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.text import retry_delay
+from textloom.functions.urls import normalize_url
 from textloom.operators.web import category_priority
 from textloom.plans.scratch import settle
 
@@ -81,6 +82,21 @@ def finish(
     return joined.select(*[F.when(none, F.col(c)).otherwise(new[c]).alias(c) if c in new else c for c in tasks.columns])
 
 
+def canonical_finds(outcomes: DataFrame, now: int, priority: int = 0) -> DataFrame:
+    """What ``upsert_tasks`` takes for the canonical pages that ``alias`` outcomes name: due now, one row a page."""
+    found = outcomes.filter((F.col("outcome") == "alias") & (F.coalesce("detail", F.lit("")) != ""))
+    rows = found.groupBy("source", normalize_url(F.col("detail")).alias("url_norm")).agg(F.min("url_norm").alias("alias"))
+    return rows.select(
+        "source", "url_norm", F.lit(now).cast("long").alias("next_fetch_at"), F.lit(priority).alias("priority"),
+        F.create_map(F.lit("alias"), F.col("alias")).alias("meta"), F.lit(0).alias("seq"),
+    )
+
+
+def finish_and_follow(tasks: DataFrame, outcomes: DataFrame, now: int, **rules) -> DataFrame:
+    """``finish``, and the canonical pages of aliases queued."""
+    return upsert_tasks(finish(tasks, outcomes, now, **rules), canonical_finds(outcomes, now), now)
+
+
 def upsert_tasks(tasks: DataFrame, found: DataFrame, now: int) -> DataFrame:
     """Tasks after ``found (source, url_norm, next_fetch_at, priority, meta, seq)``; of several finds of a key the
     last by ``seq`` sets priority and meta, and the earliest due time stays."""
@@ -120,6 +136,23 @@ def upsert_documents(docs: DataFrame, fetched: DataFrame) -> DataFrame:
     return joined.select(*[out[c].alias(c) if c in out else c for c in docs.columns])
 
 
+def crawl_counters(pages: DataFrame, min_words: int) -> DataFrame:
+    """One row of what was fetched ``(raw_html, parsed_text, word_count)``: downloaded, accepted and skipped pages, and the bytes
+    and words of both."""
+    accepted = F.col("word_count") >= min_words
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    of_accepted = lambda c: total(F.when(accepted, c))
+    return pages.agg(
+        F.count("*").alias("downloaded"),
+        F.count_if(accepted).alias("accepted"),
+        F.count_if(~F.coalesce(accepted, F.lit(False))).alias("skipped_short"),
+        total(F.octet_length("raw_html")).alias("raw_bytes"),
+        of_accepted(F.octet_length("raw_html")).alias("accepted_raw_bytes"),
+        of_accepted(F.col("word_count")).alias("accepted_words"),
+        of_accepted(F.octet_length("parsed_text")).alias("accepted_text_bytes"),
+    )
+
+
 def count_by(df: DataFrame, *columns: str) -> DataFrame:
     """Progress: rows by the columns, most first."""
     return df.groupBy(*columns).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), *columns)
@@ -140,6 +173,7 @@ def breadth_first(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFra
 
     Each round is one join of the last round's nodes, less all seen; rounds are written, so none is computed again.
     """
+    edges = settle(edges.select("parent", "child"), "edges")
     seen = settle(seeds.select("node", F.lit(0).alias("depth")).distinct(), "bfs")
     front = seen
     for depth in range(1, max_depth + 1):
@@ -151,20 +185,54 @@ def breadth_first(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFra
     return seen
 
 
-def discover_categories(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
-    """``node, depth, priority``: categories in rounds, leaving out those that are not to be followed."""
-    followed = edges.filter(category_priority(F.col("child")) < 999)
-    found = breadth_first(followed, seeds.filter(category_priority(F.col("node")) < 999), max_depth)
-    return found.withColumn("priority", category_priority(F.col("node")))
+FRONTIER = "node string, priority int, depth int"
 
 
-def listing_pages_read(pages: DataFrame, misses: int = 3) -> DataFrame:
-    """Of ``pages (page, status)`` those read before the crawl gives up: after ``misses`` 404s in a row.
+def discover_categories(
+    edges: DataFrame, seeds: DataFrame | None, max_depth: int, most: int | None = None, done: DataFrame | None = None, frontier: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """``done (node, priority, depth, place)`` and ``frontier (node, priority, depth)``: categories best first.
 
-    A listing is as long as its site's page numbers; its pages are one window.
+    In each round all open categories of the least (priority, depth) are taken, in the order of their titles, and
+    their children that may be followed are opened. It ends when nothing is open or ``most`` are done; what was returned then
+    goes on where it stopped when it is given again.
+    """
+    spark = edges.sparkSession
+    edges = settle(edges.select("parent", "child").filter(category_priority(F.col("child")) < 999), "category-edges")
+    if done is None:
+        done = spark.createDataFrame([], FRONTIER + ", place long")
+    if frontier is None:
+        frontier = seeds.select("node", category_priority(F.col("node")).cast("int").alias("priority"), F.lit(0).alias("depth")).filter("priority < 999").distinct()
+    done, frontier = settle(done, "done-categories"), settle(frontier, "frontier")
+    count = done.count()
+    while most is None or count < most:
+        best = frontier.agg(F.min(F.struct("priority", "depth")).alias("b")).select("b.*").first()
+        if best["priority"] is None:
+            break
+        now = frontier.filter((F.col("priority") == best["priority"]) & (F.col("depth") == best["depth"]))
+        if most is not None:
+            now = now.orderBy("node").limit(most - count)
+        taken = settle(now.withColumn("place", F.lit(count).cast("long") + F.row_number().over(Window.partitionBy("priority", "depth").orderBy("node"))), "taken")
+        done = settle(done.unionByName(taken), "done-categories")
+        reached = edges.join(taken.select(F.col("node").alias("parent")), "parent").select(F.col("child").alias("node")).distinct()
+        depth = best["depth"] + 1
+        opened = reached.withColumn("priority", category_priority(F.col("node")).cast("int")).withColumn("depth", F.lit(depth))
+        every = frontier.unionByName(opened.filter(F.col("depth") <= max_depth)).join(done.select("node"), "node", "left_anti")
+        frontier = settle(every.groupBy("node", "priority").agg(F.min("depth").alias("depth")), "frontier")
+        count = done.count()
+    return done, frontier
+
+
+def listing_pages_read(pages: DataFrame, misses: int = 3, by: tuple[str, ...] = ()) -> DataFrame:
+    """Of ``pages (page, status)``, of each listing ``by`` which they are told apart, those read before the crawl gives up: after
+    ``misses`` 404s on consecutive page numbers.
+
+    Each 404 speaks for the pages at which a run that it is in may end; the first page for which enough speak ends the
+    listing. So no listing is sorted or held in one task.
     """
-    by_page = Window.orderBy("page")
-    run = F.sum((F.col("status") == 404).cast("int")).over(by_page.rowsBetween(1 - misses, 0))
-    earlier = F.max("stop").over(by_page.rowsBetween(Window.unboundedPreceding, -1))
-    marked = pages.withColumn("stop", run == misses)
-    return marked.withColumn("after", F.coalesce(earlier, F.lit(False))).filter(~F.col("after")).drop("stop", "after")
+    gone = pages.filter(F.col("status") == 404).select(*by, "page").distinct()
+    ends = gone.select(*by, F.explode(F.sequence("page", F.col("page") + misses - 1)).alias("end"))
+    stops = ends.groupBy(*by, "end").agg(F.count("*").alias("n")).filter(F.col("n") == misses)
+    stops = stops.groupBy(*by).agg(F.min("end").alias("end"))
+    joined = pages.join(stops, list(by), "left") if by else pages.join(F.broadcast(stops))
+    return joined.filter(F.col("end").isNull() | (F.col("page") <= F.col("end"))).drop("end")

@@ -6,40 +6,63 @@ whatever a term's document frequency is. The form with one array per term is der
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.functions.text import norm_boolean, norm_ranked, ranked_length_ok, stem_normalised
+from textloom.functions.text import ascii_lower, norm_boolean, norm_ranked, ranked_length_ok, stem_normalised
+from textloom.functions.text import tokens as tokens_of
 from textloom.functions.urls import title_from_url
 
+IDS_A_BLOCK = 1 << 16
+#: The layout of a written index.
+VERSION = 1
+
 
 def boolean_postings(tokens: DataFrame) -> DataFrame:
     """``term, doc_id, tf`` in the Boolean form of terms."""
     return tokens.groupBy(norm_boolean(F.col("token")).alias("term"), "doc_id").agg(F.count("*").alias("tf"))
 
 
+def word_postings(tokens: DataFrame) -> DataFrame:
+    """``term, stem, doc_id, tf``: the ranked form of terms, exact, each with its stem."""
+    counted = tokens.groupBy(norm_ranked(F.col("token")).alias("term"), "doc_id").agg(F.count("*").alias("tf"))
+    kept = counted.filter(ranked_length_ok(F.col("term")))
+    return kept.select("term", stem_normalised(F.col("term")).alias("stem"), "doc_id", "tf")
+
+
 def ranked_postings(tokens: DataFrame, stemmed: bool = True) -> DataFrame:
     """``term, doc_id, tf`` in the ranked form of terms, stemmed or exact.
 
     Stems are taken of what is left when equal terms of a document have been counted.
     """
-    counted = tokens.groupBy(norm_ranked(F.col("token")).alias("term"), "doc_id").agg(F.count("*").alias("tf"))
-    exact = counted.filter(ranked_length_ok(F.col("term")))
-    return stem_postings(exact) if stemmed else exact
-
-
-def stem_postings(exact: DataFrame) -> DataFrame:
-    """Stemmed postings from exact ones."""
-    return exact.groupBy(stem_normalised(F.col("term")).alias("term"), "doc_id").agg(F.sum("tf").alias("tf"))
+    words = word_postings(tokens)
+    return words.groupBy(F.col("stem").alias("term"), "doc_id").agg(F.sum("tf").alias("tf")) if stemmed else words.drop("stem")
 
 
 def document_frequencies(postings: DataFrame) -> DataFrame:
     return postings.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def inverted(postings: DataFrame) -> DataFrame:
-    """``term, df, postings``: one sorted array of documents per term."""
-    return postings.groupBy("term").agg(F.count("*").alias("df"), F.array_sort(F.collect_list("doc_id")).alias("postings"))
+def _in_blocks(pairs: DataFrame, ids_a_block: int) -> DataFrame:
+    block = F.floor(F.col("doc_id") / ids_a_block).alias("block")
+    held = F.array_sort(F.collect_set("doc_id"))
+    return pairs.groupBy("term", block).agg(held.alias("postings")).select("term", "block", F.size("postings").cast("long").alias("df"), "postings")
+
+
+def inverted(postings: DataFrame, ids_a_block: int = IDS_A_BLOCK) -> DataFrame:
+    """``term, block, df, postings``: sorted arrays of a term's documents, one for each range of ids.
+
+    Block n has the ids from ``n * ids_a_block``, so no array is longer than that, however frequent a term is.
+    """
+    return _in_blocks(postings.select("term", "doc_id"), ids_a_block)
+
+
+def inverted_documents(docs: DataFrame, ids_a_block: int = IDS_A_BLOCK) -> DataFrame:
+    """What ``inverted`` makes of the documents' Boolean postings, with one shuffle: a text's terms are made distinct where it is."""
+    terms = F.array_distinct(tokens_of(ascii_lower(F.col("text"))))
+    return _in_blocks(docs.select("doc_id", F.explode(terms).alias("term")), ids_a_block)
 
 
 def forward(docs: DataFrame, url: Column | None = None) -> DataFrame:
@@ -63,17 +86,36 @@ def index_meta(tokens: DataFrame, docs: DataFrame) -> DataFrame:
     return docs.agg(F.count("*").alias("docs_count")).join(F.broadcast(per_term))
 
 
-def save_index(tokens: DataFrame, docs: DataFrame, path: str, url: Column | None = None, mode: str = "errorifexists") -> None:
-    """Write postings, forward table and meta row below ``path``. Postings are sorted by term within files, so a
-    filter on terms skips row groups."""
+def build_figures(meta: DataFrame, milliseconds: float) -> DataFrame:
+    """``index_meta`` with ``ms, tokens_per_s, ms_per_doc``; rates without tokens, time or documents are 0."""
+    took = F.lit(float(milliseconds))
+    rate = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    return meta.select("*", took.alias("ms"), rate(F.col("total_tokens") * 1000.0, took).alias("tokens_per_s"), rate(took, F.col("docs_count")).alias("ms_per_doc"))
+
+
+def save_index(tokens: DataFrame, docs: DataFrame, path: str, url: Column | None = None, mode: str = "errorifexists") -> DataFrame:
+    """Write postings, forward table and meta row below ``path``; returns ``build_figures``. Postings are sorted by term
+    within files, so a filter on terms skips row groups."""
+    began = time.perf_counter()
     postings = boolean_postings(tokens)
     postings.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode(mode).parquet(f"{path}/postings")
     forward(docs, url).write.mode(mode).parquet(f"{path}/forward")
-    index_meta(tokens, docs).write.mode(mode).parquet(f"{path}/meta")
-
-
-def load_index(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(f"{path}/{name}") for name in ("postings", "forward", "meta")}
+    index_meta(tokens, docs).withColumn("version", F.lit(VERSION)).write.mode(mode).parquet(f"{path}/meta")
+    spark = docs.sparkSession
+    return build_figures(spark.read.parquet(f"{path}/meta").drop("version"), (time.perf_counter() - began) * 1000)
+
+
+def load_index(spark: SparkSession, path: str, check: bool = False) -> dict[str, DataFrame]:
+    """The tables of an index. One of another version is refused, and with ``check`` one that is not sound."""
+    index = {name: spark.read.parquet(f"{path}/{name}") for name in ("postings", "forward", "meta")}
+    version = index["meta"].first()["version"]
+    if version != VERSION:
+        raise ValueError(f"{path} has version {version}, not {VERSION}")
+    if check:
+        bad = [f"{r['check']}: {r['bad']}" for r in validate_index(index).collect() if r["bad"]]
+        if bad:
+            raise ValueError(f"{path}: {', '.join(bad)}")
+    return index
 
 
 def validate_index(index: dict[str, DataFrame]) -> DataFrame:

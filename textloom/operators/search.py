@@ -110,52 +110,61 @@ def query_terms(spark: SparkSession, queries: Sequence[str]) -> DataFrame:
 
 
 def ranked_search(
-    queried: DataFrame,
-    index: DataFrame,
-    exact_index: DataFrame,
-    n_docs: DataFrame,
-    topk: int = 10,
-    bonus: float = 0.5,
-    look_up: str = "stem",
+    queried: DataFrame, words: DataFrame, n_docs: DataFrame, topk: int = 10, bonus: float = 0.5, look_up: str = "stem", form: str = "stem"
 ) -> DataFrame:
     """``query_no, query, rank, doc_id, score``: TF-IDF sums over the query's bag of terms.
 
-    Each query term whose exact form is in a document with a score adds ``bonus``. ``look_up`` names the
-    column of ``queried`` that is looked up in ``index``: ``stem`` or ``exact``. Terms that repeat count
-    twice. Scores are rounded to six digits before ties go to the smaller id, so that the order of sums
-    does not decide.
+    ``words`` is the table ``word_postings``; the index is its column ``form``, ``stem`` or ``term``, and ``look_up`` names
+    the column of ``queried`` that is looked up there: ``stem`` or ``exact``. Each query term whose exact form is in a
+    document with a score adds ``bonus``. Terms that repeat count twice. Scores are rounded to six digits before ties go
+    to the smaller id, so that the order of sums does not decide. Weights and bonuses meet in one aggregate.
     """
     # a batch's terms come from the driver's list of queries
+    terms = queried.select(F.col(look_up).alias("term"), "exact").collect()
     asked = F.broadcast(queried.select("query_no", "query", F.col(look_up).alias("term"), F.col("exact").alias("exact_term")))
-    matched = index.join(F.broadcast(queried.select(F.col(look_up).alias("term")).distinct()), "term", "left_semi")
+    found = words.filter(F.col(form).isin(list({r["term"] for r in terms})))
+    matched = found.groupBy(F.col(form).alias("term"), "doc_id").agg(F.sum("tf").alias("tf"))
     df = matched.groupBy("term").agg(F.count("*").alias("df"))
     weights = df.join(F.broadcast(n_docs)).select("term", idf(F.col("n"), F.col("df")).alias("idf"))
-    scored = (
-        matched.join(F.broadcast(weights), "term")
-        .join(asked.select("query_no", "query", "term"), "term")
-        .groupBy("query_no", "query", "doc_id")
-        .agg(F.sum(tf_weight(F.col("tf")) * F.col("idf")).alias("sum"))
-    )
-    exact = exact_index.join(asked.select("query_no", F.col("exact_term").alias("term")), "term")
-    extra = exact.groupBy("query_no", "doc_id").agg((F.count("*") * F.lit(float(bonus))).alias("extra"))
-    total = F.round(F.col("sum") + F.coalesce("extra", F.lit(0.0)), ROUND)
-    scored = scored.join(extra, ["query_no", "doc_id"], "left").select("query_no", "query", "doc_id", total.alias("score"))
+    scored = matched.join(F.broadcast(weights), "term").join(asked.select("query_no", "query", "term"), "term")
+    scored = scored.select("query_no", "query", "doc_id", (tf_weight(F.col("tf")) * F.col("idf")).alias("part"), F.lit(0.0).alias("extra"))
+    exact = words.filter(F.col("term").isin(list({r["exact"] for r in terms})))
+    exact = exact.join(asked.select("query_no", "query", F.col("exact_term").alias("term")), "term")
+    exact = exact.select("query_no", "query", "doc_id", F.lit(None).cast("double").alias("part"), F.lit(float(bonus)).alias("extra"))
+    both = scored.unionByName(exact).groupBy("query_no", "query", "doc_id").agg(F.sum("part").alias("sum"), F.sum("extra").alias("extra"))
+    scored = both.filter(F.col("sum").isNotNull()).select("query_no", "query", "doc_id", F.round(F.col("sum") + F.col("extra"), ROUND).alias("score"))
     best = Window.partitionBy("query_no").orderBy(F.col("score").desc(), "doc_id")
     ranked = scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= max(1, topk))
     return ranked.select("query_no", "query", "rank", "doc_id", "score")
 
 
-def documents_with_terms(exact_index: DataFrame) -> DataFrame:
+def documents_with_terms(words: DataFrame) -> DataFrame:
     """One row ``n``: documents with at least one term that was kept."""
-    return exact_index.agg(F.count_distinct("doc_id").alias("n"))
+    return words.agg(F.count_distinct("doc_id").alias("n"))
 
 
-def compare_stemming(queried: DataFrame, stem_index: DataFrame, exact_index: DataFrame, topk: int = 10, bonus: float = 0.5) -> DataFrame:
+def compare_stemming(queried: DataFrame, words: DataFrame, n_docs: DataFrame, topk: int = 10, bonus: float = 0.5) -> DataFrame:
     """``query_no, query, mode, rank, doc, score``: unstemmed terms (``no_stem``) and stems against the stemmed index."""
-    n = documents_with_terms(exact_index)
     out = None
     for mode, column in (("no_stem", "exact"), ("stem", "stem")):
-        hits = ranked_search(queried, stem_index, exact_index, n, topk, bonus, column)
+        hits = ranked_search(queried, words, n_docs, topk, bonus, column)
         hits = hits.select("query_no", "query", F.lit(mode).alias("mode"), "rank", F.col("doc_id").alias("doc"), "score")
         out = hits if out is None else out.unionByName(hits)
     return out
+
+
+# ---- reports --------------------------------------------------------------------------------------
+
+
+def result_lines(ranked: DataFrame, queries: DataFrame) -> DataFrame:
+    """``query_no, rank, line``: ranked hits as they are shown; a query of ``queries (query_no)`` without any says so."""
+    shown = F.concat(F.col("rank").cast("string"), F.lit(". doc="), F.col("doc_id").cast("string"), F.lit("\tscore="), F.format_string("%.6f", "score"))
+    lines = queries.select("query_no").join(ranked, "query_no", "left")
+    return lines.select("query_no", "rank", F.coalesce(shown, F.lit("(no results)")).alias("line"))
+
+
+def slowest(timings: DataFrame, n: int = 10) -> DataFrame:
+    """``rank, ms, query_no, hits, query``: the ``n`` slowest of timed queries; of equal ones the earlier query first."""
+    by_time = Window.orderBy(F.col("ms").desc(), "query_no")
+    top = timings.orderBy(F.col("ms").desc(), "query_no").limit(n)
+    return top.select(F.row_number().over(by_time).alias("rank"), "ms", "query_no", "hits", "query")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from textloom.functions.text import EXTENDED, tokens, word_count
@@ -45,3 +45,9 @@ def with_word_count(docs: DataFrame, text: str = "text") -> DataFrame:
 def long_enough(docs: DataFrame, min_words: int, text: str = "text") -> DataFrame:
     """Documents of at least ``min_words`` words by the crawler's rule."""
     return with_word_count(docs, text).filter(F.col("word_count") >= min_words)
+
+
+def with_progress(docs: DataFrame, name: str = "progress", text: str = "text") -> tuple[DataFrame, Observation]:
+    """The documents, and an observation of how many and how many bytes an action on them has read, with no pass of its own."""
+    seen = Observation(name)
+    return docs.observe(seen, F.count(F.lit(1)).alias("docs"), F.sum(F.octet_length(text)).alias("text_bytes")), seen

@@ -10,21 +10,30 @@ from textloom.functions.text import content_hash, short_url_id, word_count
 from textloom.functions.urls import normalize_url, resolve_link
 
 
-def article_records(pages: DataFrame, kind: str = "news") -> DataFrame:
-    """``page_id, url, doc_id, title, date, text, approx_words, canonical, links`` of each page."""
-    page = parse_page(kind)(F.col("html"), F.col("url"))
-    parsed = pages.select("page_id", "url", page.alias("p"))
+def article_records(pages: DataFrame, kind: str | Column = "news", also: tuple[str, ...] = ()) -> DataFrame:
+    """``page_id, url, doc_id, title, date, text, approx_words, canonical, links`` of each page.
+
+    ``kind`` names the rule for all pages or is a column that names it for each; pages of no known kind are left out. Columns
+    named in ``also`` are kept.
+    """
+    page = parse_page(F.col("html"), F.col("url"), F.lit(kind) if isinstance(kind, str) else kind)
+    parsed = pages.select("page_id", "url", *also, page.alias("p")).filter(F.col("p.text").isNotNull())
     return parsed.select(
         "page_id", "url", short_url_id(F.col("url")).alias("doc_id"), "p.title", "p.date", "p.text",
-        word_count(F.col("p.text")).alias("approx_words"), "p.canonical", "p.links",
+        word_count(F.col("p.text")).alias("approx_words"), "p.canonical", "p.links", *also,
     )
 
 
-def fetched_documents(pages: DataFrame, source: str, kind: str, min_words: int, fetched_at: int) -> DataFrame:
-    """Pages in the shape of documents: normal URL, text, hash and word count; short ones left out."""
-    rows = article_records(pages, kind).filter(F.col("approx_words") >= min_words)
+def fetched_documents(pages: DataFrame, sites: dict[str, tuple[str, int]], fetched_at: int) -> DataFrame:
+    """Pages ``(page_id, source, url, html)`` of several sources in the shape of documents, in one pass.
+
+    ``sites`` has the kind of page and the least number of words of each source; pages of other sources and
+    shorter ones are left out.
+    """
+    by = lambda n, kind: F.create_map(*[F.lit(x) for k, v in sites.items() for x in (k, v[n])])[F.col("source")].cast(kind)
+    rows = article_records(pages, by(0, "string"), ("source",)).filter(F.col("approx_words") >= by(1, "int"))
     return rows.select(
-        F.lit(source).alias("source"), normalize_url(F.col("url")).alias("url_norm"), F.col("text").alias("parsed_text"),
+        "source", normalize_url(F.col("url")).alias("url_norm"), F.col("text").alias("parsed_text"),
         content_hash(F.col("text")).alias("content_hash"), F.col("approx_words").alias("word_count"),
         F.lit(fetched_at).cast("long").alias("fetched_at"),
     )
@@ -37,17 +46,37 @@ def page_links(pages: DataFrame, kind: str = "news", keep: Column | None = None)
     return (links if keep is None else links.filter(keep)).distinct()
 
 
-# Which URLs are articles, by kind of site. Hosts are parameters.
-def news_article(url: Column, hosts: tuple[str, ...]) -> Column:
-    """``/football/article-`` pages of the hosts."""
-    host = F.lower(F.coalesce(F.try_parse_url(url, F.lit("HOST")), F.lit("")))
-    path = F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit(""))
-    return host.isin(*hosts) & path.contains("/football/article-") & path.endswith(".html")
+# Which URLs are articles, by kind of site and crawler. Hosts are parameters.
+BANNED_SEGMENTS = ("/rss/", "/video/", "/photo/", "/auth/", "/social/", "/forum/")
+
+
+def _host_and_path(url: Column) -> tuple[Column, Column]:
+    parts = (F.coalesce(F.try_parse_url(url, F.lit(x)), F.lit("")) for x in ("HOST", "PATH"))
+    return next(parts), next(parts)
+
+
+def news_article(url: Column, host: str) -> Column:
+    """``/football/article-`` pages of hosts that contain ``host``, without a banned segment anywhere in the URL."""
+    at, path = _host_and_path(url)
+    banned = F.exists(F.array(*map(F.lit, BANNED_SEGMENTS)), lambda x: F.contains(url, x))
+    return F.contains(at, F.lit(host)) & path.contains("/football/article-") & path.endswith(".html") & ~F.coalesce(banned, F.lit(True))
+
+
+def news_article_strict(url: Column, host: str) -> Column:
+    """The robot's rule: a numbered article of the host, with or without ``www.``, in any case, and no query."""
+    name = host.replace(".", r"\.")
+    return F.coalesce(url.rlike(rf"(?i)^https?://(www\.)?{name}/football/article-\d+.*\.html$"), F.lit(False))
 
 
 def blog_article(url: Column, host: str) -> Column:
-    path = F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit(""))
-    return (F.lower(F.coalesce(F.try_parse_url(url, F.lit("HOST")), F.lit(""))) == host) & path.rlike(r"^/football/blogs/\d+\.html$")
+    """Numbered blog pages of the host."""
+    at, path = _host_and_path(url)
+    return (F.lower(at) == host) & path.rlike(r"^/football/blogs/\d+\.html$")
+
+
+def blog_article_loose(url: Column, host: str) -> Column:
+    """The robot's rule: the host's name and the blogs' path somewhere in the URL."""
+    return F.coalesce(F.contains(url, F.lit(host)) & F.contains(url, F.lit("/football/blogs/")), F.lit(False))
 
 
 def category_priority(title: Column) -> Column:

@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.text import ascii_lower
+from textloom.plans.scratch import settle
+
+RANKS_A_ROW = 1 << 14
+BUCKETS = 1 << 12
 
 
 def term_frequencies(tokens: DataFrame) -> DataFrame:
@@ -27,7 +31,38 @@ def frequency_ranges(freqs: DataFrame) -> DataFrame:
 
 
 def _ranked(ranges: DataFrame) -> DataFrame:
-    return ranges.select(F.explode(F.sequence("first", "last")).alias("rank"), "freq")
+    """``rank, freq``. Half of a vocabulary may have one frequency, so ranges are cut and dealt before they become rows."""
+    ends = F.explode(F.sequence("first", "last", F.lit(RANKS_A_ROW).cast("long"))).alias("at")
+    pieces = ranges.select("freq", "last", ends).repartition(int(ranges.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return pieces.select(F.explode(F.sequence("at", F.least(F.col("at") + RANKS_A_ROW - 1, "last"))).alias("rank"), "freq")
+
+
+def exact_median(values: DataFrame, column: str) -> float | None:
+    """The median of a column by histograms: the bucket that holds the middle is looked at closer until it is small.
+
+    ``values`` is read several times and should be a written table. The driver gets the counts of ``BUCKETS`` buckets, and
+    at the end the values of one.
+    """
+    x = F.col(column).cast("double")
+    whole = values.filter(x.isNotNull()).agg(F.count("*"), F.min(x), F.max(x)).first()
+
+    def at(place: int) -> float:
+        n, low, high = whole
+        while n > BUCKETS and low < high:
+            part = F.least(F.floor((x - low) / (high - low) * BUCKETS), F.lit(BUCKETS - 1)).alias("bucket")
+            rows = values.filter(x.between(low, high)).groupBy(part).agg(F.count("*").alias("n"), F.min(x).alias("low"), F.max(x).alias("high"))
+            for row in sorted(rows.collect()):
+                if place < row["n"]:
+                    break
+                place -= row["n"]
+            n, low, high = row["n"], row["low"], row["high"]
+        if low == high:
+            return low
+        return sorted(r[0] for r in values.filter(x.between(low, high)).select(x).collect())[place]
+
+    if not whole[0]:
+        return None
+    return (at((whole[0] - 1) // 2) + at(whole[0] // 2)) / 2
 
 
 def zipf_fit(freqs: DataFrame) -> DataFrame:
@@ -36,29 +71,28 @@ def zipf_fit(freqs: DataFrame) -> DataFrame:
     The slope is fitted on ranks r1 = max(10, V/100) to r2 = max(r1 + 10, V/2), cut at V; s outside of
     (0.1, 3) counts as 1, and c is the median of ``freq * rank ** s`` there, or the top frequency.
     """
-    ranges = frequency_ranges(freqs)
-    size = ranges.agg(
-        F.max("last").alias("vocabulary"),
-        F.sum(F.col("freq") * (F.col("last") - F.col("first") + 1)).alias("tokens"),
-        F.max("freq").alias("top"),
-    )
-    r1 = F.greatest(F.lit(10), F.floor(F.col("vocabulary") / 100))
-    size = size.withColumn("r1", r1)
-    size = size.withColumn("r2", F.least("vocabulary", F.greatest(F.col("r1") + 10, F.floor(F.col("vocabulary") / 2))))
-    # one row of figures, joined to rows of ranks
-    inside = _ranked(ranges).join(F.broadcast(size), F.col("rank").between(F.col("r1"), F.col("r2")))
-    slope = inside.agg(F.regr_slope(F.log(F.col("freq").cast("double")), F.log(F.col("rank").cast("double"))).alias("slope"))
-    s = -F.coalesce("slope", F.lit(0.0))
-    slope = slope.select(F.when((s > 0.1) & (s < 3.0), s).otherwise(1.0).alias("s"))
-    level = inside.join(F.broadcast(slope)).agg(F.median(F.col("freq") * F.pow("rank", "s")).alias("level"))
-    return size.join(F.broadcast(slope)).join(F.broadcast(level)).select(
-        "vocabulary", "tokens", "top", "r1", "r2", "s", F.coalesce("level", F.col("top").cast("double")).alias("c")
-    )
+    ranges = settle(frequency_ranges(freqs), "frequency-ranges")
+    vocabulary, tokens, top = ranges.agg(
+        F.max("last"), F.sum(F.col("freq") * (F.col("last") - F.col("first") + 1)), F.max("freq")
+    ).first()
+    schema = "vocabulary long, tokens long, top long, r1 long, r2 long, s double, c double"
+    if not vocabulary:
+        return ranges.sparkSession.createDataFrame([(None,) * 5 + (1.0, None)], schema)
+    r1 = max(10, vocabulary // 100)
+    r2 = min(vocabulary, max(r1 + 10, vocabulary // 2))
+    cut = ranges.filter((F.col("last") >= r1) & (F.col("first") <= r2))
+    cut = cut.select("freq", F.greatest("first", F.lit(r1)).alias("first"), F.least("last", F.lit(r2)).alias("last"))
+    inside = settle(_ranked(cut), "ranks-of-fit")
+    slope = inside.agg(F.regr_slope(F.log(F.col("freq").cast("double")), F.log(F.col("rank").cast("double")))).first()[0]
+    s = -(slope or 0.0)
+    s = s if 0.1 < s < 3.0 else 1.0
+    level = exact_median(inside.withColumn("level", F.col("freq") * F.pow("rank", F.lit(s))), "level")
+    row = (vocabulary, tokens, top, r1, r2, s, float(top) if level is None else level)
+    return ranges.sparkSession.createDataFrame([row], schema)
 
 
 def zipf_table(freqs: DataFrame) -> DataFrame:
     """``rank, freq, zipf_fit`` for every rank."""
-    fit = zipf_fit(freqs).select("s", "c")
-    return _ranked(frequency_ranges(freqs)).join(F.broadcast(fit)).select(
-        "rank", "freq", (F.col("c") / F.pow("rank", "s")).alias("zipf_fit")
-    )
+    freqs = settle(freqs, "frequencies")
+    s, c = zipf_fit(freqs).select("s", "c").first()
+    return _ranked(frequency_ranges(freqs)).select("rank", "freq", (F.lit(c) / F.pow("rank", F.lit(s))).alias("zipf_fit"))

@@ -48,52 +48,48 @@ def with_implied_and(items: list[tuple[str, str]]) -> list[tuple[str, str]]:
 def parse(query: str) -> Node | None:
     """The query's tree; None where it has no term at all, which finds nothing and is no error.
 
-    ``not`` binds closest, then ``and``, then ``or``. Operators are taken by precedence from a stack and
-    applied to operands as they come, so an operator that lacks an operand is noticed when it is applied.
+    ``not`` binds closest, then ``and``, then ``or``. Operators wait until one that binds less closely, a bracket
+    or the end makes them take their operands. Brackets that do not match are told before operands that lack.
     """
     items = with_implied_and(lex(query))
     if not any(kind == "term" for kind, _ in items):
         return None
     binding = {"or": 1, "and": 2, "not": 3}
-    operands: list[Node] = []
+    made: list[Node] = []
     waiting: list[str] = []
-    postfix: list[tuple[str, str]] = []
+    faults: list[str] = []
+
+    def apply_until(stop: Callable[[str], bool]) -> None:
+        while waiting and not stop(waiting[-1]):
+            sign = waiting.pop()
+            if sign == "(":
+                raise QueryError("Unmatched '('")
+            need = 1 if sign == "not" else 2
+            if len(made) < need:
+                faults.append("NOT without operand" if sign == "not" else "Binary operator without 2 operands")
+                continue
+            parts = tuple(made[-need:])
+            del made[-need:]
+            made.append(Node(sign, parts=parts))
+
     for kind, text in items:
         if kind == "term":
-            postfix.append((kind, text))
+            made.append(Node("term", text))
         elif kind == "(":
             waiting.append(kind)
         elif kind == ")":
-            while waiting and waiting[-1] != "(":
-                postfix.append((waiting.pop(), ""))
+            apply_until(lambda x: x == "(")
             if not waiting:
                 raise QueryError("Unmatched ')'")
             waiting.pop()
         else:
-            while waiting and waiting[-1] != "(" and (
-                binding[waiting[-1]] > binding[kind] or binding[waiting[-1]] == binding[kind] and kind != "not"
-            ):
-                postfix.append((waiting.pop(), ""))
+            # of two equal ones the earlier goes first, but for ``not``, which stands before its operand
+            apply_until(lambda x: x == "(" or binding[x] < binding[kind] + (kind == "not"))  # noqa: B023
             waiting.append(kind)
-    while waiting:
-        if (sign := waiting.pop()) == "(":
-            raise QueryError("Unmatched '('")
-        postfix.append((sign, ""))
-    for kind, text in postfix:
-        if kind == "term":
-            operands.append(Node("term", text))
-        elif kind == "not":
-            if not operands:
-                raise QueryError("NOT without operand")
-            operands.append(Node("not", parts=(operands.pop(),)))
-        else:
-            if len(operands) < 2:
-                raise QueryError("Binary operator without 2 operands")
-            right, left = operands.pop(), operands.pop()
-            operands.append(Node(kind, parts=(left, right)))
-    if len(operands) != 1:
-        raise QueryError("Bad expression")
-    return operands[0]
+    apply_until(lambda _: False)
+    if faults or len(made) != 1:
+        raise QueryError(faults[0] if faults else "Bad expression")
+    return made[0]
 
 
 def terms(node: Node) -> list[str]:

@@ -4,25 +4,34 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 
 from textloom.operators import index, search, tokenize
-from textloom.plans.scratch import settle
+from textloom.plans.scratch import scratch_path
 
 
 class Corpus:
     """Documents ``(doc_id, text)`` with the indexes that queries need, each built once when first used.
 
-    Indexes are written to the shared folder, so later queries read tables instead of tokenising again.
+    Indexes are written to the shared folder, so later queries read tables instead of tokenising again. A table whose
+    files are gone is built anew.
     """
 
     def __init__(self, docs: DataFrame, url: Column | None = None):
-        self.docs, self._url, self._tables = docs, url, {}
+        self.docs, self._url, self._paths = docs, url, {}
 
     def _table(self, name: str, make) -> DataFrame:
-        if name not in self._tables:
-            self._tables[name] = settle(make(), name)
-        return self._tables[name]
+        spark = self.docs.sparkSession
+        if name in self._paths:
+            try:
+                return spark.read.parquet(self._paths[name])
+            except AnalysisException:
+                del self._paths[name]
+        path = scratch_path(spark, name)
+        make().write.parquet(path)
+        self._paths[name] = path
+        return spark.read.parquet(path)
 
     @property
     def tokens(self) -> DataFrame:
@@ -30,15 +39,17 @@ class Corpus:
 
     @property
     def postings(self) -> DataFrame:
+        """Boolean postings, in ranges of terms."""
         return self._table("postings", lambda: index.boolean_postings(self.tokens).repartitionByRange("term").sortWithinPartitions("term"))
 
     @property
-    def stems(self) -> DataFrame:
-        return self._table("stems", lambda: index.stem_postings(self.exact).repartitionByRange("term").sortWithinPartitions("term"))
+    def words(self) -> DataFrame:
+        """Ranked postings, exact terms with their stems, in ranges of stems."""
+        return self._table("words", lambda: index.word_postings(self.tokens).repartitionByRange("stem", "term").sortWithinPartitions("stem", "term"))
 
     @property
-    def exact(self) -> DataFrame:
-        return self._table("exact", lambda: index.ranked_postings(self.tokens, False).repartitionByRange("term").sortWithinPartitions("term"))
+    def n_docs(self) -> DataFrame:
+        return self._table("documents-with-terms", lambda: search.documents_with_terms(self.words))
 
     @property
     def forward(self) -> DataFrame:
@@ -52,9 +63,9 @@ class Corpus:
 
     def ranked(self, queries: Sequence[str], topk: int = 10, bonus: float = 0.5, stem: bool = True) -> DataFrame:
         asked = search.query_terms(self.docs.sparkSession, queries)
-        looked_in, column = (self.stems, "stem") if stem else (self.exact, "exact")
-        return search.ranked_search(asked, looked_in, self.exact, search.documents_with_terms(self.exact), topk, bonus, column)
+        look_up, form = ("stem", "stem") if stem else ("exact", "term")
+        return search.ranked_search(asked, self.words, self.n_docs, topk, bonus, look_up, form)
 
     def compare(self, queries: Sequence[str], topk: int = 10, bonus: float = 0.5) -> DataFrame:
         asked = search.query_terms(self.docs.sparkSession, queries)
-        return search.compare_stemming(asked, self.stems, self.exact, topk, bonus)
+        return search.compare_stemming(asked, self.words, self.n_docs, topk, bonus)

@@ -14,9 +14,11 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; only where it is unset, as in tests, a temporary one."""
+    """The folder named in ``spark.checkpoint.dir``; only where it is unset and all work is local, as in tests, a temporary one."""
     found = spark.conf.get(CHECKPOINT_DIR, None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{CHECKPOINT_DIR} names no folder, and this machine's own are not shared by the cluster")
         app = spark.sparkContext.applicationId
         if app not in _own:
             _own[app] = "file://" + tempfile.mkdtemp(prefix="textloom-")

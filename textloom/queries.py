@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
-from textloom.functions.urls import normalize_url, title_from_url
+from textloom.functions.urls import listing_urls, normalize_url, page_url, strip_fragment, title_from_url
 from textloom.operators import crawl, index, search, tokenize, web, zipf
 from textloom.plans.lakehouse import Corpus
+from textloom.plans.scratch import scratch_path
+from textloom.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -207,10 +210,11 @@ def df_idf(spark, sf_dir):
 
 @query(
     f"""WITH {_TOKENS}, {_TERMS}, one AS (SELECT DISTINCT term, doc_id FROM terms)
-    SELECT term, count(*) AS df, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS postings FROM one GROUP BY term"""
+    SELECT term, doc_id // 65536 AS block, count(*) AS df, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS postings
+    FROM one GROUP BY term, block"""
 )
 def inverted_index(spark, sf_dir):
-    found = index.inverted(index.boolean_postings(_tokens(spark, sf_dir)))
+    found = index.inverted_documents(_docs(spark, sf_dir))
     return found.withColumn("postings", F.array_join("postings", ","))
 
 
@@ -238,23 +242,38 @@ def forward_index(spark, sf_dir):
 # ---- Boolean search -------------------------------------------------------------------------------
 
 
+#: The indexes of a table, written once in a session and used by all its queries.
+_corpora: dict[tuple[str, str], Corpus] = {}
+
+
+def _corpus(spark: SparkSession, sf_dir: str) -> Corpus:
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _corpora:
+        _corpora[key] = Corpus(_docs(spark, sf_dir))
+    return _corpora[key]
+
+
 def _boolean(text: str, k: int = 0) -> Query:
     def run(spark, sf_dir):
-        docs = _docs(spark, sf_dir)
-        return search.boolean_search(index.boolean_postings(tokenize.token_stream(docs)), docs, text, k)
+        return _corpus(spark, sf_dir).boolean(text, k)
 
     return run
 
 
-_HAS = "(SELECT doc_id FROM terms WHERE term = '{}')"
-
-
 def _bool_sql(rest: str) -> str:
-    return f"WITH {_TOKENS}, {_TERMS} SELECT doc_id FROM documents d WHERE " + rest
+    """``rest`` with ``[term]`` for a document that has the term."""
+    names = list(dict.fromkeys(re.findall(r"\[(.*?)\]", rest)))
+    flags = ", ".join(f"bool_or(term = '{t}') AS t{i}" for i, t in enumerate(names)) or "false AS t"
+    listed = ", ".join(f"'{t}'" for t in names) or "''"
+    for i, t in enumerate(names):
+        rest = rest.replace(f"[{t}]", f"coalesce(t{i}, false)")
+    return f"""WITH {_TOKENS}, {_TERMS.replace(' AS (', ' AS MATERIALIZED (')[:-1]} WHERE {_LOWER.format('token')} IN ({listed})),
+    flags AS (SELECT doc_id, {flags} FROM terms GROUP BY doc_id)
+    SELECT d.doc_id FROM documents d LEFT JOIN flags USING (doc_id) WHERE {rest}"""
 
 
 def _in(term: str) -> str:
-    return f"d.doc_id IN (SELECT doc_id FROM terms WHERE term = '{term}')"
+    return f"[{term}]"
 
 
 for _name, _text, _rest in (
@@ -272,22 +291,42 @@ for _name, _text, _rest in (
 
 _limited = _boolean("the !zzz", k=25)
 _limited.__name__ = "bool_limit_k"
-query(_bool_sql(_in("the")) + " ORDER BY doc_id LIMIT 25")(_limited)
+query(_bool_sql(_in("the")) + " ORDER BY d.doc_id LIMIT 25")(_limited)
 
 _BATCH = ["the && of", "", "the &&", "(und", "die )", "!the", "nosuchterm", "!", "los las"]
 
 
+_BATCH_SQL = f"""{_TOKENS}, {_TERMS.replace(' AS (', ' AS MATERIALIZED (')[:-1]} WHERE {_LOWER.format('token')} IN ('the', 'of', 'los', 'las')),
+    flags AS (SELECT doc_id, bool_or(term = 'the') AS the, bool_or(term = 'of') AS of_, bool_or(term = 'los') AS los, bool_or(term = 'las') AS las FROM terms GROUP BY doc_id),
+    q(query_no, query, error) AS (VALUES (1, 'the && of', NULL), (3, 'the &&', 'Binary operator without 2 operands'),
+        (4, '(und', 'Unmatched ' || chr(39) || '(' || chr(39)), (5, 'die )', 'Unmatched ' || chr(39) || ')' || chr(39)), (6, '!the', NULL), (7, 'nosuchterm', NULL), (8, '!', NULL), (9, 'los las', NULL)),
+    hits AS (SELECT 1 AS query_no, doc_id FROM flags WHERE the AND of_
+        UNION ALL SELECT 6, d.doc_id FROM documents d LEFT JOIN flags USING (doc_id) WHERE NOT coalesce(the, false)
+        UNION ALL SELECT 9, doc_id FROM flags WHERE los AND las)"""
+
+
+@query(f"WITH {_BATCH_SQL} SELECT q.query_no, query, error, doc_id FROM q LEFT JOIN hits ON q.query_no = hits.query_no")
+def bool_batch(spark, sf_dir):
+    return _corpus(spark, sf_dir).boolean_batch(_BATCH)
+
+
 @query(
-    f"""WITH {_TOKENS}, {_TERMS}, q(query_no, query, error) AS (VALUES (1, 'the && of', NULL), (3, 'the &&', 'Binary operator without 2 operands'),
-        (4, '(und', 'Unmatched ''('''), (5, 'die )', 'Unmatched '')'''), (6, '!the', NULL), (7, 'nosuchterm', NULL), (8, '!', NULL), (9, 'los las', NULL)),
-    hits AS (SELECT 1 AS query_no, doc_id FROM documents d WHERE {_in('the')} AND {_in('of')}
-        UNION ALL SELECT 6, doc_id FROM documents d WHERE NOT {_in('the')}
-        UNION ALL SELECT 9, doc_id FROM documents d WHERE {_in('los')} AND {_in('las')})
-    SELECT q.query_no, query, error, doc_id FROM q LEFT JOIN hits ON q.query_no = hits.query_no"""
+    f"""WITH {_BATCH_SQL}, ranked AS (
+        SELECT q.query_no, query, error, doc_id, row_number() OVER (PARTITION BY q.query_no ORDER BY doc_id) AS rank, count(doc_id) OVER (PARTITION BY q.query_no) AS hits
+        FROM q LEFT JOIN hits ON q.query_no = hits.query_no)
+    SELECT query_no, query, error, hits, CAST(CASE WHEN doc_id IS NOT NULL THEN rank END AS INTEGER) AS rank, doc_id,
+           'Document ' || doc_id AS title, CASE WHEN doc_id IS NOT NULL THEN '' END AS url
+    FROM ranked WHERE rank <= 5"""
 )
-def bool_batch(spark, sf_dir):
-    docs = _docs(spark, sf_dir)
-    return search.boolean_batch(index.boolean_postings(tokenize.token_stream(docs)), docs, _BATCH)
+def bool_report(spark, sf_dir):
+    corpus = _corpus(spark, sf_dir)
+    return search.boolean_report(corpus.boolean_batch(_BATCH), corpus.forward, 5)
+
+
+@query(_bool_sql("[the] AND NOT [of]").replace("SELECT d.doc_id FROM", "SELECT d.doc_id, 'Document ' || d.doc_id AS title, '' AS url FROM"))
+def bool_titles(spark, sf_dir):
+    corpus = _corpus(spark, sf_dir)
+    return search.with_titles(corpus.boolean("the !of"), corpus.forward).select("doc_id", "title", "url")
 
 
 # ---- ranked search --------------------------------------------------------------------------------
@@ -316,7 +355,7 @@ _MANY = (["the nation", "und die", "los las que", "leading"], [[("the", "the"),
 
 
 def _ranked(spark, sf_dir, texts, stemmed=True, topk=10):
-    return Corpus(_docs(spark, sf_dir)).ranked(texts, topk, stem=stemmed)
+    return _corpus(spark, sf_dir).ranked(texts, topk, stem=stemmed)
 
 
 @query(f"WITH {_RANKED}, " + _rank_sql(_ONE[1], _ONE[0], "stem", "stem", 10))
@@ -344,7 +383,23 @@ def ranked_batch(spark, sf_dir):
     f" SELECT * FROM (WITH {_rank_sql(_ONE[1], _ONE[0], 'stem', 'stem', 10, mode='stem').lstrip()})"
 )
 def compare_stem(spark, sf_dir):
-    return Corpus(_docs(spark, sf_dir)).compare(_ONE[0])
+    return _corpus(spark, sf_dir).compare(_ONE[0])
+
+
+@query(
+    "SELECT CAST(n AS INTEGER) AS query_no, rank, coalesce(rank || '. doc=' || doc_id || chr(9) || 'score=' || printf('%.6f', score), '(no results)') AS line FROM range(1, 6) q(n)"
+    + f" LEFT JOIN (WITH {_RANKED}, " + _rank_sql(_MANY[1], _MANY[0], "stem", "stem", 3) + ") ON n = query_no"
+)
+def ranked_lines(spark, sf_dir):
+    asked = _MANY[0] + ["zzznone"]
+    listed = spark.createDataFrame([(n,) for n in range(1, len(asked) + 1)], "query_no int")
+    return search.result_lines(_ranked(spark, sf_dir, asked, topk=3), listed)
+
+
+@query("SELECT rank, CAST(ms AS DOUBLE) AS ms, query_no, hits, query FROM (VALUES (1, 9.5, 4, 0, 'd'), (2, 7.0, 1, 3, 'a'), (3, 7.0, 3, 1, 'c')) v(rank, ms, query_no, hits, query)")
+def slow_queries(spark, sf_dir):
+    timed = [(1, 7.0, 3, "a"), (2, 1.5, 9, "b"), (3, 7.0, 1, "c"), (4, 9.5, 0, "d")]
+    return search.slowest(spark.createDataFrame(timed, "query_no int, ms double, hits int, query string"), 3)
 
 
 # ---- documents and URLs ---------------------------------------------------------------------------
@@ -385,10 +440,38 @@ def url_dedupe(spark, sf_dir):
     return url_normalize(spark, sf_dir).groupBy("url_norm").agg(F.count("*").alias("n"), F.min("page_id").alias("first_page"))
 
 
-@query()
+_TITLES = {"https://h/wiki/%D0%A4_x": "Ф x", "https://h/a/b_c": "b c", "https://h/a/": "https://h/a/", "https://h/a/100%zz": "100%zz", "https://h/a/x+y": "x y"}
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{u}', '{t}')" for u, t in _TITLES.items()) + ") v(url, title)")
 def title_literals(spark, sf_dir):
-    urls = ["https://h/wiki/%D0%A4_x", "https://h/a/b_c", "https://h/a/", "https://h/a/100%zz", "https://h/a/x+y"]
-    return spark.createDataFrame([(u,) for u in urls], "url string").withColumn("title", title_from_url(F.col("url")))
+    return spark.createDataFrame([(u,) for u in _TITLES], "url string").withColumn("title", title_from_url(F.col("url")))
+
+
+def _clean_sql(x: str, squeezed: bool = True) -> str:
+    """A block's text: tags go, entities are resolved, white space is one space or only goes at the ends."""
+    text = f"replace(regexp_replace(regexp_replace({x}, '<[^>]*>', ' ', 'g'), '&quot;', '\"', 'g'), '&copy;', '©')"
+    text = f"regexp_replace({text}, '&amp;?', '&', 'g')"
+    return f"trim(regexp_replace({text}, '\\s+', ' ', 'g'))" if squeezed else f"regexp_replace({text}, '^\\s+|\\s+$', '', 'g')"
+
+
+def _html_sql(heads: bool, items: bool, least: int, least_items: int, fold: bool, squeezed: bool, whole: bool) -> str:
+    """The rules of a kind of page, for the markup that the test pages have."""
+    region = "html" if whole else "regexp_extract(html, '<article>(.*)</article>', 1, 's')"
+    parts = ["list_transform(string_split(region, '<p>')[2:], lambda x: {'tag': 'p', 'raw': regexp_extract(x, '^(.*?)(</p>|</article>|$)', 1, 's')})"]
+    if heads:
+        parts.insert(0, "list_transform(regexp_extract_all(region, '(?s)<h1>(.*?)</h1>', 1), lambda x: {'tag': 'h1', 'raw': x})")
+    if items:
+        parts.insert(0, "list_transform(regexp_extract_all(region, '(?s)<li>(.*?)</li>', 1), lambda x: {'tag': 'li', 'raw': x})")
+    return f"""WITH cut AS (SELECT page_id, {region} AS region FROM pages),
+    raw AS (SELECT page_id, {' || '.join(parts)} AS blocks FROM cut),
+    each AS (SELECT page_id, unnest(blocks) AS b, generate_subscripts(blocks, 1) AS i FROM raw),
+    texts AS (SELECT page_id, i, b.tag AS tag, {_clean_sql('b.raw', squeezed)} AS t FROM each),
+    kept AS (SELECT *, row_number() OVER (PARTITION BY page_id, {'lower(t)' if fold else 't'} ORDER BY i) AS n FROM texts
+             WHERE t <> '' AND length(t) >= CASE WHEN tag = 'p' THEN {least} ELSE {least_items} END),
+    joined AS (SELECT page_id, string_agg(t, chr(10) ORDER BY i) AS text FROM kept WHERE n = 1 GROUP BY page_id),
+    done AS (SELECT page_id, coalesce(text, '') AS text FROM pages LEFT JOIN joined USING (page_id))
+    SELECT page_id, text, CAST(len(regexp_extract_all(text, '{T.WORD}')) AS INTEGER) AS approx_words FROM done"""
 
 
 def _html(kind: str) -> Query:
@@ -398,17 +481,190 @@ def _html(kind: str) -> Query:
     return run
 
 
-for _kind in ("encyclopedia", "news", "blog", "early_news", "early_blog"):
+for _kind, _sql in (
+    ("encyclopedia", _html_sql(False, True, 40, 40, True, True, True)),
+    ("news", _html_sql(True, False, 40, 40, True, True, False)),
+    ("blog", _html_sql(True, False, 30, 30, True, True, False)),
+    ("early_news", _html_sql(False, False, 40, 40, False, False, False)),
+    ("early_blog", _html_sql(False, False, 40, 0, False, True, False)),
+):
     _f = _html(_kind)
     _f.__name__ = f"html_text_{_kind}"
-    query()(_f)
+    query(_sql)(_f)
 
 
-@query()
+@query(
+    f"""SELECT page_id, left(sha1(url), 16) AS doc_id, {_clean_sql("regexp_extract(html, '<h1>(.*?)</h1>', 1, 's')")} AS title,
+           '' AS date, CAST(NULL AS VARCHAR) AS canonical FROM pages"""
+)
 def html_meta(spark, sf_dir):
     return web.article_records(_pages(spark, sf_dir), "blog").select("page_id", "doc_id", "title", "date", "canonical")
 
 
+_MARKED = """<head><title> T &amp; t </title><meta property="og:title" content="OG  x"><link rel="canonical" href="{c}"><meta name="date" content=" {d} ">
+<script type="application/ld+json">{{"datePublished": "2020"}}</script></head><body><p>Подписка на телеграм-канал, не пропустите ничего нового</p>
+<p>words of a paragraph that is longer than forty characters</p><P>WORDS of a paragraph that is longer than forty characters</p><p>short</p></body>"""
+
+
+@query(
+    """SELECT * FROM (VALUES (1, 'OG x', '2024-01-02', 'words of a paragraph that is longer than forty characters', 'https://h.example/c'),
+        (2, 'OG x', '2020', 'words of a paragraph that is longer than forty characters', 'https://x/y')) v(page_id, title, date, text, canonical)"""
+)
+def html_literals(spark, sf_dir):
+    """Titles, dates, canonical links and promotional lines, which the test pages lack."""
+    rows = [(1, "https://h.example/a", _MARKED.format(c="/c", d="2024-01-02")), (2, "https://h.example/b", _MARKED.format(c="//x/y", d=""))]
+    pages = spark.createDataFrame(rows, "page_id int, url string, html string")
+    return web.article_records(pages, "blog").select("page_id", "title", "date", "text", "canonical")
+
+
+_SITES = {"s0": ("news", 250), "s1": ("blog", 100)}
+
+
+@query(
+    "WITH news AS (" + _html_sql(True, False, 40, 40, True, True, False) + "), blog AS (" + _html_sql(True, False, 30, 30, True, True, False) + """),
+    every AS (SELECT 's0' AS source, * FROM news WHERE page_id % 3 = 0 AND approx_words >= 250 UNION ALL SELECT 's1', * FROM blog WHERE page_id % 3 = 1 AND approx_words >= 100)
+    SELECT source, count(*) AS n, CAST(sum(approx_words) AS BIGINT) AS words, min(sha256(text)) AS least_hash FROM every GROUP BY source"""
+)
+def fetched_by_source(spark, sf_dir):
+    pages = _pages(spark, sf_dir).withColumn("source", F.concat(F.lit("s"), (F.col("page_id") % 3).cast("string")))
+    found = web.fetched_documents(pages, _SITES, 10)
+    return found.groupBy("source").agg(F.count("*").alias("n"), F.sum("word_count").alias("words"), F.min("content_hash").alias("least_hash"))
+
+
+_ARTICLES = {
+    # URL: news, news of the robot, blog, blog of the robot
+    "https://www.n.example/football/article-1-x.html": (True, True, False, False),
+    "HTTP://N.EXAMPLE/football/article-2.html": (False, True, False, False),
+    "https://n.example/football/article-x.html": (True, False, False, False),
+    "https://n.example/video/football/article-3.html": (False, False, False, False),
+    "https://b.example/football/blogs/12.html": (False, False, True, True),
+    "https://m.b.example/football/blogs/12.html?x=1": (False, False, False, True),
+    "https://b.example/tennis/blogs/12.html": (False, False, False, False),
+    "": (False, False, False, False),
+}
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{u}', {', '.join(map(str, v))})" for u, v in _ARTICLES.items()) + ") v(url, news, news_strict, blog, blog_loose)")
+def article_urls(spark, sf_dir):
+    u = F.col("url")
+    rules = {"news": web.news_article(u, "n.example"), "news_strict": web.news_article_strict(u, "n.example"), "blog": web.blog_article(u, "b.example"), "blog_loose": web.blog_article_loose(u, "b.example")}
+    return spark.createDataFrame([(x,) for x in _ARTICLES], "url string").withColumns(rules)
+
+
+@query("SELECT page_id, regexp_replace(url, '#.*$', '') AS url, 'https://w/' || replace(regexp_extract(url, '//([^/]+)', 1), '_', ' ') AS link FROM pages")
+def page_urls(spark, sf_dir):
+    host = F.regexp_extract("url", "//([^/]+)", 1)
+    return _pages(spark, sf_dir).select("page_id", strip_fragment(F.col("url")).alias("url"), page_url(host, F.lit("https://w/")).alias("link"))
+
+
+@query("SELECT range AS page, CASE WHEN range = 1 THEN 'https://n/all' ELSE 'https://n/page-' || range || '.html' END AS url FROM range(1, 41)")
+def listing_page_urls(spark, sf_dir):
+    return listing_urls(spark, 1, 40, "https://n/page-{}.html", "https://n/all")
+
+
+_SPACES = [" a \t b\u00a0\u2003c\n", "", "\x0b x \f", "A-b C", None]
+
+
+@query("SELECT * FROM (VALUES ('a b c', 'a \t b\u00a0\u2003c', 'a_b_c'), ('', '', 'source'), ('x', 'x', 'x'), ('A-b C', 'A-b C', 'a_b_c'), (NULL, NULL, 'source')) v(squeezed, trimmed, name)")
+def space_literals(spark, sf_dir):
+    c = F.col("c")
+    rows = spark.createDataFrame([(x,) for x in _SPACES], "c string")
+    return rows.select(T.squeeze_space(c).alias("squeezed"), T.trim_ascii_space(c).alias("trimmed"), T.source_name(c).alias("name"))
+
+
+@query("SELECT source, CASE WHEN n = '' THEN 'source' ELSE n END AS name FROM (SELECT DISTINCT source, trim(regexp_replace(lower(coalesce(source, '')), '[^a-z0-9_]+', '_', 'g'), '_') AS n FROM documents)")
+def source_names(spark, sf_dir):
+    return _docs(spark, sf_dir).select("source").distinct().withColumn("name", T.source_name(F.col("source")))
+
+
+_BYTES = {"ok é": b"ok \xc3\xa9", "a\ufffdb": b"a\xffb", "x\ufffd": b"x\xc3", "\ufffdz": b"\x80z", "f 😀": b"f \xf0\x9f\x98\x80"}
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{b.hex()}', '{t}')" for t, b in _BYTES.items()) + ") v(hex, text)")
+def utf8_repair(spark, sf_dir):
+    rows = spark.createDataFrame([(b.hex(), bytearray(b)) for b in _BYTES.values()], "hex string, data binary")
+    return rows.select("hex", T.repaired_utf8(F.col("data")).alias("text"))
+
+
+# ---- files ----------------------------------------------------------------------------------------
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS url_norm, text AS parsed_text, sha256(text) AS content_hash FROM documents WHERE text IS NOT NULL")
+def export_documents(spark, sf_dir):
+    """An export of documents as JSON lines, read back with its schema."""
+    path = scratch_path(spark, "export")
+    text = F.col("text")
+    rows = _docs(spark, sf_dir).filter(text.isNotNull())
+    rows.select("source", F.col("doc_id").cast("string").alias("url_norm"), text.alias("parsed_text"), F.lit(1).alias("fetched_at"), T.content_hash(text).alias("content_hash")).write.json(path)
+    return files.documents_json(spark, path).select("url_norm", "parsed_text", "content_hash")
+
+
+@query("SELECT sha256(text) AS content_hash, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY ALL")
+def export_fields(spark, sf_dir):
+    """The same, by a scan for the string field alone."""
+    path = scratch_path(spark, "export")
+    _docs(spark, sf_dir).filter("text IS NOT NULL").select(F.col("text").alias("parsed_text"), F.struct("n_chars").alias("more")).write.json(path)
+    found = files.json_string_field(spark, path)
+    return found.groupBy(T.content_hash(F.col("value")).alias("content_hash")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_TOKENS} SELECT doc_id, token, count(*) AS n FROM tok GROUP BY ALL")
+def token_file(spark, sf_dir):
+    """Token lines, written and read back."""
+    path = scratch_path(spark, "tokens")
+    files.write_token_pairs(_tokens(spark, sf_dir), path)
+    return files.token_pairs(spark, path).groupBy("doc_id", "token").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_TOKENS} SELECT token, count(*) AS n FROM tok GROUP BY ALL")
+def token_word_file(spark, sf_dir):
+    path = scratch_path(spark, "words")
+    _tokens(spark, sf_dir).select("token").write.text(path)
+    return files.token_words(spark, path).groupBy("token").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_FIT} SELECT rank, freq, round(round(c / pow(rank, s), 6), 1) AS zipf_fit FROM ranks, slope, level")
+def zipf_file(spark, sf_dir):
+    """A rank table, written with six decimals and read back."""
+    path = scratch_path(spark, "zipf")
+    files.write_zipf(zipf.zipf_table(zipf.term_frequencies(_tokens(spark, sf_dir))), path)
+    read = spark.read.schema("rank long, freq long, zipf_fit double").option("sep", "\t").option("header", True).csv(path)
+    return read.withColumn("zipf_fit", F.round("zipf_fit", 1))
+
+
+@query(
+    f"""WITH {_TOKENS}, {_TERMS} SELECT (SELECT count(*) FROM (SELECT DISTINCT term, doc_id FROM terms)) AS postings, (SELECT count(*) FROM documents) AS documents,
+        0 AS bad, count(*) AS tokens, true AS rates FROM terms"""
+)
+def index_round_trip(spark, sf_dir):
+    """An index, written, checked and read back, with the figures of its making."""
+    path, docs = scratch_path(spark, "index"), _docs(spark, sf_dir)
+    figures = index.save_index(tokenize.token_stream(docs), docs, path)
+    tables = index.load_index(spark, path, check=True)
+    bad = index.validate_index(tables).agg(F.sum("bad").cast("int").alias("bad"))
+    counts = tables["postings"].agg(F.count("*").alias("postings")).join(F.broadcast(tables["forward"].agg(F.count("*").alias("documents"))))
+    took = figures.select(F.col("total_tokens").alias("tokens"), ((F.col("ms") > 0) & (F.col("tokens_per_s") > 0) & (F.col("ms_per_doc") > 0)).alias("rates"))
+    return counts.join(F.broadcast(bad)).join(F.broadcast(took))
+
+
+@query("SELECT page_id AS doc_id, strlen(html) AS n FROM pages")
+def raw_pages(spark, sf_dir):
+    path = scratch_path(spark, "raw")
+    files.write_raw_pages(_pages(spark, sf_dir).select(F.col("page_id").alias("doc_id"), F.col("html").alias("raw_html")), path)
+    return spark.read.parquet(path).select("doc_id", F.octet_length("raw_html").cast("long").alias("n"))
+
+
+@query("SELECT page_id, url, CAST(page_id % 2 AS INTEGER) AS part FROM pages UNION ALL SELECT -1, 'none', 0")
+def record_file(spark, sf_dir):
+    """Records appended twice, and a state that is not there yet."""
+    path, schema = scratch_path(spark, "records"), "page_id long, url string, part int"
+    rows = _pages(spark, sf_dir).select("page_id", "url", (F.col("page_id") % 2).cast("int").alias("part"))
+    for n in (0, 1):
+        files.append_records(rows.filter(F.col("part") == n), path)
+    missing = files.read_or_default(spark, path + "-none", schema, [(-1, "none", 0)])
+    return files.read_or_default(spark, path, schema).unionByName(missing)
+
+
 @query(
     r"""SELECT DISTINCT page_id, CASE WHEN h LIKE '/%' THEN regexp_extract(url, '^([a-z]+://[^/]+)', 1) || h ELSE h END AS link
     FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS h FROM pages)
@@ -513,6 +769,20 @@ def task_transitions(spark, sf_dir):
     return done.select(*crawl.KEY, "state", "next_fetch_at", "retries", "note", "last_error")
 
 
+@query(
+    f"""WITH {_TASK_SQL}, aliases AS (SELECT DISTINCT source, 'https://c.example/' || source AS url_norm FROM tasks WHERE state = 'fetching' AND priority = 3)
+    SELECT source, url_norm, CASE WHEN state = 'fetching' THEN CASE WHEN priority = 3 THEN 'done' ELSE 'fetching' END ELSE state END AS state, FALSE AS new FROM tasks
+    UNION ALL SELECT source, url_norm, 'queued', TRUE FROM aliases"""
+)
+def alias_follow(spark, sf_dir):
+    """Aliases are done, and their canonical pages queued once."""
+    tasks = _tasks(spark, sf_dir)
+    told = tasks.filter("state = 'fetching' AND priority = 3")
+    told = told.select(*crawl.KEY, F.lit("alias").alias("outcome"), F.concat(F.lit("HTTPS://c.example/"), "source", F.lit("#x")).alias("detail"))
+    after = crawl.finish_and_follow(tasks, told, 1000)
+    return after.select(*crawl.KEY, "state", (F.col("created_at") == 1000).alias("new"))
+
+
 @query(
     f"""WITH {_TASK_SQL}, found AS (
         SELECT source, CASE WHEN created_at % 2 = 0 THEN url_norm ELSE url_norm || '/new' END AS url_norm, 950 AS next_fetch_at, 9 AS priority FROM tasks)
@@ -532,7 +802,7 @@ def task_upsert(spark, sf_dir):
 @query(
     """WITH old AS (SELECT source, CAST(doc_id AS VARCHAR) AS url_norm, sha256(text) AS content_hash, text FROM documents WHERE doc_id % 3 <> 0),
     new AS (SELECT source, CAST(doc_id AS VARCHAR) AS url_norm, CASE WHEN doc_id % 2 = 0 THEN text ELSE text || '!' END AS text, doc_id % 7 = 0 AS same
-            FROM documents WHERE doc_id % 5 <> 0)
+            FROM documents WHERE doc_id % 5 <> 0 OR doc_id % 3 = 0)
     SELECT coalesce(o.source, n.source) AS source, coalesce(o.url_norm, n.url_norm) AS url_norm,
            CASE WHEN n.text IS NULL OR n.same THEN o.content_hash ELSE sha256(n.text) END AS content_hash,
            CAST(CASE WHEN o.text IS NULL THEN 20 ELSE 10 END AS BIGINT) AS created_at,
@@ -554,7 +824,7 @@ def doc_upsert_changed(spark, sf_dir):
 
     old = rows(i % 3 != 0, text, 10, F.lit(200))
     changed = F.when(i % 2 == 0, text).otherwise(F.concat(text, F.lit("!")))
-    new = rows(i % 5 != 0, changed, 20, F.when(i % 7 == 0, 304).otherwise(200)).drop("created_at", "updated_at")
+    new = rows((i % 5 != 0) | (i % 3 == 0), changed, 20, F.when(i % 7 == 0, 304).otherwise(200)).drop("created_at", "updated_at")
     return crawl.upsert_documents(old, new).select(*crawl.KEY, "content_hash", "created_at", "updated_at", "fetched_at")
 
 
@@ -582,16 +852,49 @@ def bfs_levels(spark, sf_dir):
 
 
 @query(
-    """WITH p AS (SELECT event_id AS page, CASE WHEN event_id % 97 IN (95, 96) OR event_id BETWEEN 480 AND 490 THEN 404 ELSE 200 END AS status FROM events WHERE event_id < 1000),
-    r AS (SELECT *, sum(CASE WHEN status = 404 THEN 1 ELSE 0 END) OVER (ORDER BY page ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) = 3 AS stop FROM p)
-    SELECT page, CAST(status AS INTEGER) AS status FROM r WHERE page <= (SELECT coalesce(min(page), 1000) FROM r WHERE stop)"""
+    """WITH p AS (SELECT event_id // 1000 AS listing, event_id % 1000 AS page,
+                  CASE WHEN event_id % 1000 % 97 IN (95, 96) OR event_id % 1000 BETWEEN 480 + event_id // 1000 % 15 AND 490 THEN 404 ELSE 200 END AS status FROM events),
+    r AS (SELECT *, sum(CASE WHEN status = 404 THEN 1 ELSE 0 END) OVER (PARTITION BY listing ORDER BY page ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) = 3 AS stop FROM p),
+    s AS (SELECT listing, min(page) AS stop FROM r WHERE stop GROUP BY listing)
+    SELECT listing, page, CAST(status AS INTEGER) AS status FROM p LEFT JOIN s USING (listing) WHERE s.stop IS NULL OR page <= s.stop"""
 )
 def listing_stops(spark, sf_dir):
-    # a listing's page numbers; the range is the listing itself
+    """Each thousand of events is the pages of a listing; some end early."""
     i = F.col("event_id")
-    missing = (i % 97).isin(95, 96) | i.between(480, 490)
-    pages = spark.read.parquet(f"{sf_dir}/events.parquet").filter(i < 1000).select(i.alias("page"), F.when(missing, 404).otherwise(200).alias("status"))
-    return crawl.listing_pages_read(pages)
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.floor(i / 1000).alias("listing"), (i % 1000).alias("page"))
+    missing = (F.col("page") % 97).isin(95, 96) | F.col("page").between(480 + F.col("listing") % 15, 490)
+    return crawl.listing_pages_read(events.withColumn("status", F.when(missing, 404).otherwise(200)), by=("listing",))
+
+
+_TREE = [("Категория:Футбол", "Категория:Тренеры"), ("Категория:Футбол", "Категория:Списки игроков"), ("Категория:Футбол", "Категория:По годам"), ("Категория:Футбол", "Категория:Игроки по годам"),
+         ("Категория:Списки игроков", "Категория:А"), ("Категория:Тренеры", "Категория:Б"), ("Категория:Б", "Категория:Футбол"), ("Категория:Б", "Категория:В"), ("Категория:В", "Категория:Г")]
+
+
+@query(
+    """SELECT * FROM (VALUES ('Категория:Футбол', 0, 0, 1), ('Категория:Тренеры', 0, 1, 2), ('Категория:Б', 0, 2, 3), ('Категория:В', 0, 3, 4),
+        ('Категория:Списки игроков', 2, 1, 5), ('Категория:А', 0, 2, 6)) v(node, priority, depth, place)"""
+)
+def category_frontier(spark, sf_dir):
+    """Best first to depth 3, stopped after two and resumed."""
+    edges = spark.createDataFrame(_TREE, "parent string, child string")
+    seeds = spark.createDataFrame([("Категория:Футбол",)], "node string")
+    done, frontier = crawl.discover_categories(edges, seeds, 3, most=2)
+    done, _ = crawl.discover_categories(edges, None, 3, done=done, frontier=frontier)
+    return done.withColumn("place", F.col("place").cast("int"))
+
+
+@query(
+    f"""SELECT count(*) AS downloaded, count(*) FILTER (w >= 250) AS accepted, count(*) FILTER (w < 250) AS skipped_short, CAST(sum(strlen(text)) AS BIGINT) AS raw_bytes,
+           CAST(coalesce(sum(strlen(text)) FILTER (w >= 250), 0) AS BIGINT) AS accepted_raw_bytes, CAST(coalesce(sum(w) FILTER (w >= 250), 0) AS BIGINT) AS accepted_words,
+           CAST(coalesce(sum(strlen(text)) FILTER (w >= 250), 0) AS BIGINT) AS accepted_text_bytes, round(avg(strlen(text)), 6) AS avg_raw_bytes, round(avg(w), 6) AS avg_words
+    FROM (SELECT coalesce(text, '') AS text, len(regexp_extract_all(coalesce(text, ''), '{T.WORD}')) AS w FROM documents)"""
+)
+def crawl_figures(spark, sf_dir):
+    """Counters and averages of a crawl."""
+    body = F.coalesce("text", F.lit(""))
+    fetched = _docs(spark, sf_dir).select(body.alias("raw_html"), body.alias("parsed_text"), T.word_count(body).alias("word_count"))
+    means = crawl.crawl_averages(fetched).select(F.round("avg_raw_bytes", 6).alias("avg_raw_bytes"), F.round("avg_words", 6).alias("avg_words"))
+    return crawl.crawl_counters(fetched, 250).join(F.broadcast(means))
 
 
 @query(

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,11 +31,12 @@ def documents_json(spark: SparkSession, path: str, multi_line: bool = False) ->
 
 
 def token_pairs(spark: SparkSession, path: str) -> DataFrame:
-    """``doc_id, token`` of lines ``id token``; other lines are left out."""
+    """``doc_id, token`` of lines ``id token``; other lines, and ids that do not fit 32 bits without sign, are left out."""
     line = F.col("value")
-    pair = r"^\s*(-?\d+)\s+(\S+)"
+    pair = r"^\s*(\d+)\s+(\S+)"
     rows = spark.read.text(path).filter(line.rlike(pair))
-    return rows.select(F.regexp_extract(line, pair, 1).try_cast("long").alias("doc_id"), F.regexp_extract(line, pair, 2).alias("token"))
+    rows = rows.select(F.regexp_extract(line, pair, 1).try_cast("long").alias("doc_id"), F.regexp_extract(line, pair, 2).alias("token"))
+    return rows.filter(F.col("doc_id") < 1 << 32)
 
 
 def token_words(spark: SparkSession, path: str) -> DataFrame:
@@ -61,21 +64,58 @@ def query_lines(spark: SparkSession, path: str) -> list[str]:
     return [line for row in spark.read.text(path, wholetext=True).collect() for line in row["value"].splitlines()]
 
 
-def fetch(urls: DataFrame, get: Callable[[str], tuple[int, str]], url: str = "url") -> DataFrame:
-    """``url, status, body`` by a fetcher that executors call; an exception gives status null and its text.
+def append_records(records: DataFrame, path: str) -> None:
+    """Adds records to a table of JSON lines."""
+    records.write.mode("append").json(path)
 
-    ``get`` is any function that can be sent to executors, a table look-up as well as a client.
+
+def write_raw_pages(pages: DataFrame, path: str, mode: str = "append") -> None:
+    """``doc_id, raw_html`` of pages. A table instead of a file for each page, which no large store bears."""
+    pages.select("doc_id", "raw_html").write.mode(mode).parquet(path)
+
+
+def read_or_default(spark: SparkSession, path: str, schema: str, default: list[tuple] = ()) -> DataFrame:
+    """A state written as JSON lines, or ``default`` where there is none yet."""
+    try:
+        return spark.read.schema(schema).json(path)
+    except AnalysisException:
+        return spark.createDataFrame(list(default), schema)
+
+
+def retry_sleep(attempt: int) -> float:
+    """Seconds to wait after a failed attempt, numbered from 0."""
+    return min(5.0, 0.5 * 2**attempt)
+
+
+def fetch(
+    urls: DataFrame, get: Callable[[str], tuple[int, str]], url: str = "url", tries: int = 1, delay: float = 0.0, source: str | None = None,
+    sleep: Callable[[float], None] = time.sleep,
+) -> DataFrame:
+    """``url, status, body`` by a fetcher that executors call; after ``tries`` exceptions status is null and the body the last one's text.
+
+    ``get`` is any function that can be sent to executors, a table look-up as well as a client. Between the requests of a task
+    there are ``delay`` seconds or more; where ``source`` names a column, each source's requests are one task's, so
+    that the delay holds for the source.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        due = 0.0
         for batch in batches:
             rows = []
             for link in batch["url"]:
-                try:
-                    rows.append((link, *get(link)))
-                except Exception as e:  # noqa: BLE001  the fetcher's own errors are results here
-                    rows.append((link, None, str(e)))
+                for attempt in range(tries):
+                    if (wait := due - time.monotonic()) > 0:
+                        sleep(wait)
+                    due = time.monotonic() + delay
+                    try:
+                        rows.append((link, *get(link)))
+                        break
+                    except Exception as e:  # noqa: BLE001  the fetcher's own errors are results here
+                        if attempt == tries - 1:
+                            rows.append((link, None, str(e)))
+                        else:
+                            sleep(retry_sleep(attempt))
             yield pd.DataFrame(rows, columns=["url", "status", "body"]).astype({"status": "Int64"})
 
-    return urls.select(F.col(url).alias("url")).mapInPandas(run, "url string, status long, body string")
-
+    rows = urls if source is None else urls.repartition(source)
+    return rows.select(F.col(url).alias("url")).mapInPandas(run, "url string, status long, body string")
