@@ -7,7 +7,9 @@ common prefixes by Kasai's observation that the next suffix shares at most one b
 id alone. What a shard keeps is then compared across shards. The bytes are not sent for that: every string
 of ``LENGTH`` bytes has a smallest hashed k-gram, its anchor. Shards first exchange the hashes of their
 anchors, and then only the strings around anchors that two shards have. A bucket of anchors merges the
-shards' sorted keys pairwise by binary search and compares the bytes behind equal keys.
+shards' sorted keys pairwise by binary search and compares the bytes behind equal keys. Strings around an anchor
+that very many shards have, as those of a licence line, do not meet in one bucket: the smallest owner of each is an
+aggregate that every partition begins, and copies of its row go to the shards that ask.
 
 Long documents are cut into pieces that overlap by ``LENGTH - 1`` bytes, so that each string starts in
 exactly one piece, whatever a text's length. The texts are shuffled once; the three steps on shards read the
@@ -20,6 +22,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +35,9 @@ SHARD_BYTES = 2 << 20
 PIECE_BYTES = 1 << 20
 SEPARATOR = 0xFF  # in no UTF-8 text
 LAST_ID = (1 << 63) - 1
+#: An anchor of more shards is hot; and the copies of a hot string's answer.
+HOT_SHARDS = 1024
+SALTS = 64
 _BLOCK = 1 << 19
 _value = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64)
 
@@ -196,7 +202,7 @@ def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 ROUTED = "to_key int, kind int, shard int, a binary, b binary, c binary, d binary"
 _KINDS = [pa.int32(), pa.int32(), pa.int32(), *[pa.binary()] * 4]
 _NAMES = ["to_key", "kind", "shard", "a", "b", "c", "d"]
-DROPPED, SHARED, MARKS, STRINGS = range(4)
+DROPPED, SHARED, MARKS, STRINGS, HOT_STRINGS = range(5)
 
 
 def _routed(rows: list[tuple]) -> pa.Table:
@@ -296,7 +302,9 @@ def later_strings(runs: list[tuple[np.ndarray, np.ndarray, bytes]], length: int)
 # ---- the job --------------------------------------------------------------------------------------
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_BYTES, piece_bytes: int = PIECE_BYTES) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_BYTES, piece_bytes: int = PIECE_BYTES, hot_shards: int = HOT_SHARDS
+) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``.
 
     Every byte goes that is covered by a string of ``length`` bytes which also starts in a document with a
@@ -357,8 +365,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHA
     def find_shared(side: pa.Table) -> pa.Table:
         shards = side.column("shard").to_pylist()
         runs = [np.frombuffer(x, U64) for x in side.column("a").to_pylist()]
-        every = np.sort(np.concatenate(runs))
-        several = np.unique(every[1:][every[1:] == every[:-1]])
+        every, shards_of = np.unique(np.concatenate(runs), return_counts=True)
+        several, hot = every[shards_of > 1], every[shards_of > hot_shards]
         if not len(several):
             return _routed([])
         out = []
@@ -366,7 +374,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHA
             at = np.minimum(np.searchsorted(several, run), len(several) - 1)
             mine = run[several[at] == run]
             if len(mine):
-                out.append((shard, SHARED, shard, mine.tobytes(), None, None, None))
+                out.append((shard, SHARED, shard, mine.tobytes(), np.intersect1d(mine, hot).tobytes(), None, None))
         return _routed(out)
 
     def tell_strings(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -377,7 +385,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHA
         at, count = _runs(later)
         # its marks travel by way of some bucket, as buckets' answers do
         out = [(me % n_buckets, MARKS, me, at.astype(np.int32).tobytes(), count.astype(np.int32).tobytes(), None, None)]
-        wanted = np.sort(_blobs(right, SHARED, "a", np.uint64))
+        wanted, hot = (np.sort(_blobs(right, SHARED, c, np.uint64)) for c in "ab")
         found = anchors(shard.data, length, k)
         if len(wanted) and len(found):
             hit = first[: len(found)] & (wanted[np.minimum(np.searchsorted(wanted, found), len(wanted) - 1)] == found)
@@ -391,11 +399,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHA
             by = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[by], np.arange(n_buckets + 1))
             whole = shard.data.tobytes()
-            for b, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                if y > x:
-                    own = by[x:y]
+            is_hot = np.isin(found[begin[by]], hot)
+            parts = [(b, kind, by[x:y][is_hot[x:y] == (kind == HOT_STRINGS)]) for b, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) for kind in (STRINGS, HOT_STRINGS)]
+            for b, kind, own in parts:
+                if len(own):
                     strings = b"".join([whole[s : s + c + length - 1] for s, c in zip(begin[own].tolist(), count[own].tolist(), strict=True)])
-                    out.append((b, STRINGS, me, begin[own].astype(np.int32).tobytes(), count[own].astype(np.int32).tobytes(), owner[own].tobytes(), strings))
+                    out.append((b, kind, me, begin[own].astype(np.int32).tobytes(), count[own].astype(np.int32).tobytes(), owner[own].tobytes(), strings))
         return _routed(out)
 
     def settle_strings(side: pa.Table) -> pa.Table:
@@ -412,6 +421,31 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHA
                 out.append((r["shard"], MARKS, r["shard"], place.tobytes(), ones.tobytes(), None, None))
         return _routed(out)
 
+    def hot_strings(side: pa.Table) -> pa.Table:
+        columns: list[list] = [[], [], [], []]
+        for r in side.filter(pc.equal(side.column("kind"), HOT_STRINGS)).to_pylist():
+            begin, count = np.frombuffer(r["a"], np.int32), np.frombuffer(r["b"], np.int32)
+            at = np.concatenate([[0], np.cumsum(count + length - 1)])
+            for k, (owner, place, n) in enumerate(zip(np.frombuffer(r["c"], np.int64).tolist(), begin.tolist(), count.tolist(), strict=True)):
+                for i in range(n):
+                    values = (r["d"][at[k] + i : at[k] + i + length], owner, r["shard"], place + i)
+                    for column, value in zip(columns, values, strict=True):
+                        column.append(value)
+        kinds = (pa.binary(), pa.int64(), pa.int32(), pa.int32())
+        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["string", "owner", "shard", "place"])
+
+    def packed_marks(side: pa.Table) -> pa.Table:
+        place = side.column("place").to_numpy().astype(np.int32)
+        shard = side.column("shard")[0].as_py()
+        return _routed([(shard, MARKS, shard, place.tobytes(), np.ones(len(place), np.int32).tobytes(), None, None)])
+
+    def settle_hot(strings: DataFrame) -> DataFrame:
+        hot = strings.groupBy("to_key").applyInArrow(hot_strings, "string binary, owner long, shard int, place int")
+        least = hot.groupBy("string").agg(F.min("owner").alias("least"), F.max("owner").alias("most")).filter("most > least")
+        least = least.select("string", "least", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        asked = hot.withColumn("salt", F.pmod("shard", F.lit(SALTS))).join(least, ["string", "salt"]).filter(F.col("owner") > F.col("least"))
+        return asked.select("shard", "place").groupBy("shard").applyInArrow(packed_marks, ROUTED)
+
     result = "doc_id long, h long, n_bytes long, start long, n_removed long, n_spans long, kept_sha256 string, cut binary"
 
     def take_out(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -446,6 +480,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHA
     shared = told.groupBy("to_key").applyInArrow(find_shared, ROUTED)
     strings = sharded.cogroup(shared.unionByName(dropped).groupBy("to_key")).applyInArrow(tell_strings, ROUTED)
     marks = strings.groupBy("to_key").applyInArrow(settle_strings, ROUTED)
+    if n_shards > hot_shards:  # else no anchor can be hot
+        marks = marks.unionByName(settle_hot(strings))
     out = sharded.cogroup(marks.unionByName(dropped).groupBy("to_key")).applyInArrow(take_out, result)
     final = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     if longest <= piece_bytes + length - 1:
