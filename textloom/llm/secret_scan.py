@@ -34,11 +34,14 @@ SENSITIVE = {
 }
 HARMLESS = re.compile(r"(?i)(url|uri|path|file|name|length|size|count|type|expir\w*|ttl|hint|policy|regex|pattern)$")
 PLACEHOLDER = re.compile(r"(?i)^(.)\1*$|example|changeme|change_me|placeholder|your[-_ ]|dummy|sample|\$\{|\{\{|^<.*>$|^%\w+%$|xxxx|\*{3}")
+#: Words and file names joined by signs, and addresses without a user's part.
+WORDS = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+)(?:[._/-]+(?:[A-Z]?[a-z]+|[A-Z]+))*|[a-z][a-z0-9+.-]*://[^@]*")
 MAYBE = re.compile(r"(?i)pass|pwd|secret|token|key|credential|bearer|connection")
 
 STRING = r'"(?:\\.|[^"\\\n])*"|' + r"'(?:\\.|[^'\\\n])*'" + r"|`[^`\n]*`"
 HEAD = re.compile(r"(?<![\w$.-])(?:(?P<name>[A-Za-z_$][\w$.-]*)|(?P<q>[\"'])(?P<quoted>[\w$. -]++)(?P=q))[ \t]*(?:=>|:=|\?=|=(?!=)|:(?![:/]))[ \t]*")
 TERM = re.compile(rf"(?P<string>{STRING})|(?P<word>[^\s,;()\[\]{{}}+\"'`<>]+)")
+ANNOTATED = re.compile(r"[ \t]*=(?!=)[ \t]*")
 PLUS = re.compile(r"[ \t]*\+[ \t]*(?:\\?\n[ \t]*)?")
 TAG = re.compile(r"<([A-Za-z_][\w.-]*)>([^<>\n]++)</\1>")
 NAME = re.compile(r"[A-Za-z_$][\w$.-]*\Z")
@@ -72,7 +75,7 @@ def name_score(name: str) -> float:
 def literal_score(value: str) -> float:
     """From 0 to 1: long, mixed and without order is high; words, numbers and placeholders are 0."""
     n = len(value)
-    if n < 8 or PLACEHOLDER.search(value) or re.search(r"\s", value):
+    if n < 8 or PLACEHOLDER.search(value) or WORDS.fullmatch(value) or re.search(r"\s", value):
         return 0.0
     entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
     classes = sum(bool(re.search(x, value)) for x in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
@@ -110,7 +113,7 @@ def pairs(text: str) -> Iterator[tuple[str, Parts]]:
     while head := HEAD.search(text, at):
         name, at = head["name"] or head["quoted"], head.end()
         term = TERM.match(text, at)
-        if term and term["word"] and (annotated := re.compile(r"[ \t]*=(?!=)[ \t]*").match(text, term.end())):
+        if term and term["word"] and (annotated := ANNOTATED.match(text, term.end())):
             at = annotated.end()  # name: type = value
             term = TERM.match(text, at)
         spans: Parts = []
