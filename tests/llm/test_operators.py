@@ -240,7 +240,9 @@ def reference(lines):
 
 def test_encoder(lines, reference):
     coder, rnd = bpe.Encoder(lines, public_tokenizers.PATTERN), random.Random(5)
-    texts = ["", "Hello world's  end\n\n x", "a" * 5000, "😀é  \x1c x\x85", "<|endoftext|>"]
+    texts = ["".join(rnd.choice("ab éÿ\x1c\x85\xa0.,1'\n") for _ in range(50)) for _ in range(200)]  # Latin-1 alone
+    texts += [rnd.choice(["", " "]) + "".join(rnd.choice("abcdeé") for _ in range(n)) for n in range(bpe.LONG_PIECE - 4, bpe.LONG_PIECE + 5) for _ in range(4)]
+    texts += ["", "Hello world's  end\n\n x", "a" * 5000, "😀é  \x1c x\x85", "<|endoftext|>"]
     texts += ["".join(chr(rnd.choice([rnd.randrange(32, 127), rnd.randrange(1, 0x500), 32, 10, 0x1F600])) for _ in range(60)) for _ in range(300)]
     for text in texts:
         ids = coder.encode(text)
@@ -304,6 +306,26 @@ def test_assignments(text, found):
     assert [text[a:b] for a, b, _, _ in secret_scan.found_literals(text)] == found
 
 
+def test_precision_and_recall_of_literals():
+    """Keys assigned in several syntaxes, directly or by way of constants, among harmless assignments."""
+    rnd = random.Random(20)
+    key = lambda: "".join(rnd.choices("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789", k=20)) + "9$"
+    word = lambda: rnd.choice(["ready", "main_page", "https://a.b/c", "12345678", "changeme", "the quick fox", "%d items", "index.html"])
+    sensitive, plain = ["db_pwd", "privateKey", "client.credential", "signing-key", "SECRET_KEY_BASE"], ["title", "color", "token_count", "password_hint", "retries", "key_file"]
+    hit = missed = extra = 0
+    for _ in range(400):
+        name, lines, planted = rnd.choice(sensitive), [f'{rnd.choice(plain)} = "{rnd.choice([word, key])()}"', f'{rnd.choice(sensitive)} = "{word()}"'], key()
+        if rnd.random() < 0.5:
+            lines += rnd.choice([[f'{name} = "{planted}"'], [f"{name}: '{planted}'"], [f'"{name}": "{planted}",'], [f"<{name}>{planted}</{name}>"], [f'v = "{planted}"', f"{name} = v"], [f'{name}: str = "{planted[:9]}" + "{planted[9:]}"']])
+        else:
+            planted = None
+        rnd.shuffle(lines) if planted is None else None
+        text = "\n".join(lines)
+        got = "".join(text[a:b] for a, b, _, _ in secret_scan.found_literals(text))
+        hit, missed, extra = hit + bool(planted and planted in got), missed + bool(planted and planted not in got), extra + (got not in ("", planted))
+    assert hit > 150 and hit / (hit + missed) >= 0.95 and hit / (hit + extra) >= 0.95, (hit, missed, extra)
+
+
 def test_long_values_and_names():
     rnd = random.Random(13)
     key = "".join(rnd.choice("abcdefgABCDEFG0123456789+/") for _ in range(1600))
@@ -511,7 +533,7 @@ def test_large_components_are_cut(spark):
 # ---- repeated passages ----------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("options", [{"shard_bytes": 700}, {"shard_bytes": 700, "piece_bytes": 60}, {}])
+@pytest.mark.parametrize("options", [{"shard_bytes": 700}, {"shard_bytes": 700, "piece_bytes": 60}, {}, {"shard_bytes": 700, "hot_shards": 1}, {"shard_bytes": 500, "hot_shards": 3}])
 def test_remove_repeats(spark, options):
     rnd = random.Random(10)
     words_, rows = ["alpha ", "beta ", "é ", "gamma", "x", "zz "], [(i, t if t != LONG else "word " * 60) for i, t in ODD]
