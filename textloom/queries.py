@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from textloom.functions import text as T
 from textloom.functions.urls import listing_urls, normalize_url, page_url, strip_fragment, title_from_url
 from textloom.operators import crawl, index, search, tokenize, web, zipf
+from textloom.plans.config import config_from
 from textloom.plans.lakehouse import Corpus
 from textloom.plans.scratch import scratch_path
 from textloom.sources import files
@@ -647,6 +648,56 @@ def index_round_trip(spark, sf_dir):
     return counts.join(F.broadcast(bad)).join(F.broadcast(took))
 
 
+@query(_bool_sql("[the] AND [of]").replace("SELECT d.doc_id FROM", "SELECT 1 AS query_no, d.doc_id FROM") + " UNION ALL SELECT 3, NULL")
+def query_file(spark, sf_dir):
+    """Queries of a file, blank lines counted, their hits written as a tab-separated table and read back."""
+    asked, hits = scratch_path(spark, "queries"), scratch_path(spark, "hits")
+    spark.createDataFrame([("the && of\n\nnosuchterm",)], "value string").coalesce(1).write.text(asked)
+    lines = files.query_lines(spark, asked)
+    files.write_table(_corpus(spark, sf_dir).boolean_batch(lines).select("query_no", "doc_id"), hits)
+    return spark.read.schema("query_no int, doc_id long").option("sep", "\t").option("header", True).csv(hits)
+
+
+@query("SELECT page_id, CASE WHEN page_id % 3 > 0 THEN 200 END AS status, CASE WHEN page_id % 3 > 0 THEN strlen(url) ELSE -1 END AS n FROM pages")
+def fetch_statuses(spark, sf_dir):
+    """A fetcher that fails for some pages, each tried twice."""
+
+    def get(link: str) -> tuple[int, str]:
+        number, _, url = link.partition(" ")
+        if int(number) % 3 == 0:
+            raise OSError("down")
+        return 200, url
+
+    links = _pages(spark, sf_dir).select(F.concat_ws(" ", F.col("page_id").cast("string"), "url").alias("url"))
+    got = files.fetch(links, get, tries=2, sleep=_no_sleep)
+    size = F.when(F.col("status").isNull(), F.lit(-1).cast("long")).otherwise(F.octet_length("body").cast("long"))
+    return got.select(F.split("url", " ")[0].cast("long").alias("page_id"), F.col("status").cast("int").alias("status"), size.alias("n"))
+
+
+def _no_sleep(seconds: float) -> None:
+    return None
+
+
+@query("SELECT range AS attempt, least(5.0::DOUBLE, 0.5::DOUBLE * pow(2, range)) AS seconds FROM range(0, 8)")
+def retry_waits(spark, sf_dir):
+    return spark.createDataFrame([(n, files.retry_sleep(n)) for n in range(8)], "attempt long, seconds double")
+
+
+@query("SELECT count(*) AS docs, CAST(sum(strlen(text)) AS BIGINT) AS text_bytes FROM documents")
+def progress_counts(spark, sf_dir):
+    """What an action on the documents has read, observed while it ran."""
+    docs, seen = tokenize.with_progress(_docs(spark, sf_dir), "progress")
+    tokenize.token_stream(docs).write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([(seen.get["docs"], seen.get["text_bytes"])], "docs long, text_bytes long")
+
+
+@query("SELECT * FROM (VALUES ('n', 'news', 900, 60), ('w', 'encyclopedia', 450, 60)) v(source, kind, min_words, last_page)")
+def settings(spark, sf_dir):
+    given = config_from('{"sources": {"w": {"kind": "encyclopedia", "min_words": "450"}, "n": null, "off": {"enabled": false}}}')
+    rows = [(name, given.sources[name].kind, given.sources[name].min_words, given.sources[name].listing_pages_to) for name in given.enabled()]
+    return spark.createDataFrame(rows, "source string, kind string, min_words int, last_page int")
+
+
 @query("SELECT page_id AS doc_id, strlen(html) AS n FROM pages")
 def raw_pages(spark, sf_dir):
     path = scratch_path(spark, "raw")
