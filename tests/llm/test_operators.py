@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import brute
 import numpy as np
@@ -139,6 +140,26 @@ def test_chains_and_clusters(spark, monkeypatch, block):
     assert got == brute.links_of_all_pairs(rows) and len(set(got.values())) < 12
 
 
+def test_recall_on_the_real_table(spark):
+    """Of the pairs of rows whose id is divisible by 100 with all rows, those at 0.8 or more are in one class."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    rows = [tuple(r) for r in docs.collect()]
+    asked = {i: brute.shingle_set(t) for i, t in rows if i % 100 == 0}
+    have = {}
+    for i, shingles in asked.items():
+        for x in shingles:
+            have.setdefault(x, []).append(i)
+    label = {r["doc_id"]: r["class_id"] for r in near_dedup.near_classes(docs).collect()}
+    near = found = 0
+    for j, t in rows:
+        own = brute.shingle_set(t)
+        both = Counter(i for x in own for i in have.get(x, ()) if i != j)
+        for i, n in both.items():
+            if n >= 0.8 * (len(own) + len(asked[i]) - n):
+                near, found = near + 1, found + (label[i] == label[j])
+    assert near > 20 and found >= 0.99 * near, (found, near)
+
+
 def test_similar_in_group():
     rnd = np.random.default_rng(22)
     sets = [np.sort(rnd.choice(40, rnd.integers(1, 40), replace=False)) for _ in range(60)]
@@ -268,6 +289,8 @@ def test_digests(spark, reference):
         want = (i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest())
         assert want in {tuple(x) for x in got}
     ids = bpe.encode(table(spark, ODD), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    again = bpe.encode(ids, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    assert again.columns[-1] == "token_ids_" and again.filter("token_ids <> token_ids_").count() == 0
     assert ids.columns[-1] == "token_ids" and ids.filter("text is null").first()["token_ids"] == []
 
 

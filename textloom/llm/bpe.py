@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
+from textloom.llm.links import free_names
+
 #: Unicode's White_Space property, which the pattern's \s stands for; Python's \s has four controls more.
 WHITE_SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 PIECE_CACHE = 300_000
@@ -262,21 +264,21 @@ def _rank_file(df: DataFrame, ranks_path: str):
 
 
 def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text") -> DataFrame:
-    """The rows of ``df`` with ``token_ids ARRAY<INT>`` for the column ``text`` added.
+    """The rows of ``df`` with ``token_ids ARRAY<INT>`` for the column ``text`` added as the last column.
 
-    A null text counts as empty and has no tokens. Rows stay in their partitions.
+    Where there is such a column already, the new one's name ends in an underscore. A null text counts as empty and has no
+    tokens. Rows stay in their partitions.
     """
-    if "token_ids" in df.columns:
-        raise ValueError("there is a column token_ids already")
+    name = free_names(df.columns, "token_ids")[0]
     lines, at = _rank_file(df, ranks_path), df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _encoder(lines.value, pattern)
         for batch in batches:
             ids = pa.array([coder.encode(x.as_py() or "") for x in batch.column(at)], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, "token_ids"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, name])
 
-    return df.mapInArrow(run, StructType([*df.schema.fields, StructField("token_ids", ArrayType(IntegerType()))]))
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(name, ArrayType(IntegerType()))]))
 
 
 def encoding_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:

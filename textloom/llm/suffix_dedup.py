@@ -308,8 +308,8 @@ def remove_repeats(
     """One row per row of ``docs``: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``.
 
     Every byte goes that is covered by a string of ``length`` bytes which also starts in a document with a
-    smaller doc_id; all strings are judged on the input. Null texts are empty. A null id counts as larger
-    than all others, and rows with one id do not take from each other. An empty table gives an empty
+    smaller doc_id; all strings are judged on the input. Null texts are empty. A null id counts as the
+    largest number of 64 bits, and rows with one id do not take from each other. An empty table gives an empty
     result; other columns are ignored, whatever their names.
     """
     k = min(ANCHOR_BYTES, length)

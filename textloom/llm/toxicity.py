@@ -167,10 +167,10 @@ def train(docs: DataFrame, labels: DataFrame, rates: Rates = Rates(), per_class:
 def with_scores(df: DataFrame, weights: Weights, text: str = "text", score: str = "score") -> DataFrame:
     """The rows of ``df`` with a column ``score`` from 0 to 1 for each whole text; higher is likelier toxic.
 
-    A null text is an empty text, whose score is the share of toxic texts. Rows stay in their partitions.
+    A null text is an empty text, whose score is the share of toxic texts. Where there is such a column already, the new one,
+    which is the last, has underscores at its name's end. Rows stay in their partitions.
     """
-    if score in df.columns:
-        raise ValueError(f"there is a column {score} already")
+    score = free_names(df.columns, score)[0]
     small, at = df.sparkSession.sparkContext.broadcast(weights), df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
