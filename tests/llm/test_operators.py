@@ -184,6 +184,20 @@ def test_repeated_passages_are_near(spark):
     assert got == {i: i - i % 2 for i in range(16)}
 
 
+def test_repeats_can_weigh(spark):
+    """With ``repeats`` the similarity is that of the shingles counted as often as they occur."""
+    rnd, rows = random.Random(23), []
+    for i in range(6):
+        own, passage = [f"o{i}x{k}" for k in range(60)], [f"p{i}x{k}" for k in range(10)]
+        rows += [(i * 10 + n, " ".join(own + passage * n)) for n in (1, 2, 3, 8, 9)]
+    rnd.shuffle(rows)
+    bags = {i: Counter(zip(*(t.split()[k:] for k in range(5)))) for i, t in rows}
+    want = {i: min(j for j in bags if j // 10 == i // 10 and (bags[i] & bags[j]).total() >= 0.8 * (bags[i] | bags[j]).total()) for i in bags}
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_classes(table(spark, rows), repeats=True).collect()}
+    assert {i % 10: want[i] % 10 for i in range(1, 10) if i in want} == {1: 1, 2: 1, 3: 2, 8: 8, 9: 8}
+    assert got == {i: i // 10 * 10 + (1 if i % 10 < 4 else 8) for i in bags}
+
+
 def test_prob_min_hash_estimates():
     rnd = np.random.default_rng(2)
     a, b = rnd.integers(1, 1 << 62, 400, dtype=np.uint64), rnd.integers(1, 1 << 62, 100, dtype=np.uint64)

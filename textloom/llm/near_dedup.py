@@ -1,7 +1,8 @@
 """Near-duplicates by ProbMinHash over word shingles, with banding and verification.
 
 Each distinct shingle of five words is an element. All have the same weight, as the similarity that decides
-is that of the sets, however often a text repeats a passage. An element arrives at the signature's places
+is that of the sets, however often a text repeats a passage; with ``repeats`` a shingle weighs as often as it occurs, for
+the signatures and for the decision alike: its n-th occurrence is then an element of its own. An element arrives at the signature's places
 in a Poisson process whose rate is the weight; a place keeps the element that arrives first. An element
 stops as soon as its next arrival is later than the latest one kept, so a text costs little more than one
 arrival per shingle. The share of places in which two signatures agree estimates their probability
@@ -42,17 +43,20 @@ CELLS = 1 << 21
 _SALT = np.random.default_rng(5).integers(1, 1 << 63, 4, dtype=np.uint64)
 
 
-def shingle_sets(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``elements, rows, counts``: the distinct shingles of each row in order, and how often each occurs."""
+def shingle_sets(column: pa.Array, size: int, repeats: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """``elements, rows``: the distinct shingles of each row, or with ``repeats`` each row's shingles with the number of the occurrence."""
     data, at = bytes_of(column, lower=True)
     words, counts = word_hashes(data, at, NOT_SPACE)
     found, row = shingles(words, counts, size)
     if not len(found):
-        return found, row, row
+        return found, row
     order = np.lexsort((found, row))
     found, row = found[order], row[order]
     first = np.flatnonzero(np.concatenate([[True], (found[1:] != found[:-1]) | (row[1:] != row[:-1])]))
-    return found[first], row[first], np.diff(np.append(first, len(found)))
+    if not repeats:
+        return found[first], row[first]
+    number = np.arange(len(found)) - np.repeat(first, np.diff(np.append(first, len(found))))
+    return np.where(number > 0, mix(found ^ mix(number.astype(U64) + _SALT[1])), found), row
 
 
 def prob_min_hash(elements: np.ndarray, rows: np.ndarray, weights: np.ndarray, n_rows: int, places: int) -> np.ndarray:
@@ -87,7 +91,9 @@ def _fingerprints(elements: np.ndarray, rows: np.ndarray, n_rows: int) -> list[b
     return [x.tobytes() for x in out]
 
 
-def signatures(docs: DataFrame, size: int = SHINGLE_WORDS, bands: int = BANDS, band_rows: int = BAND_ROWS) -> DataFrame:
+def signatures(
+    docs: DataFrame, size: int = SHINGLE_WORDS, bands: int = BANDS, band_rows: int = BAND_ROWS, repeats: bool = False
+) -> DataFrame:
     """``row, doc_id, h, node, size, bands`` per row: ``node`` names the shingle set, ``h`` the text; no words: null.
 
     ``size`` counts the distinct shingles.
@@ -98,7 +104,7 @@ def signatures(docs: DataFrame, size: int = SHINGLE_WORDS, bands: int = BANDS, b
         for batch in batches:
             for lo, n in slices(batch.column(3)):
                 part = batch.slice(lo, n)
-                elements, rows, _ = shingle_sets(part.column(3), size)
+                elements, rows = shingle_sets(part.column(3), size, repeats)
                 signs = prob_min_hash(elements, rows, np.ones(len(elements)), n, bands * band_rows)
                 key = np.zeros((n, bands), U64)
                 for k in range(band_rows):
@@ -116,13 +122,13 @@ def signatures(docs: DataFrame, size: int = SHINGLE_WORDS, bands: int = BANDS, b
     return rows.mapInArrow(run, f"row long, doc_id {kind}, h long, node binary, size int, bands array<long>")
 
 
-def _sets(texts: DataFrame, size: int) -> DataFrame:
-    """``node, elements`` for rows of ``text``: 64-bit hashes of the distinct shingles, in order."""
+def _sets(texts: DataFrame, size: int, repeats: bool) -> DataFrame:
+    """``node, elements`` for rows of ``text``: 64-bit hashes of the elements."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, n in slices(batch.column(0)):
-                elements, rows, _ = shingle_sets(batch.column(0).slice(lo, n), size)
+                elements, rows = shingle_sets(batch.column(0).slice(lo, n), size, repeats)
                 at = np.searchsorted(rows, np.arange(n + 1)).astype(np.int32)
                 lists = pa.ListArray.from_arrays(at, elements.view(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(_fingerprints(elements, rows, n), pa.binary()), lists], ["node", "elements"])
@@ -295,18 +301,18 @@ def _apart(known: DataFrame, split: DataFrame, sets: DataFrame, similar: float)
 
 
 def near_classes(
-    docs: DataFrame, similar: float = SIMILAR, size: int = SHINGLE_WORDS, bands: int = BANDS, band_rows: int = BAND_ROWS
+    docs: DataFrame, similar: float = SIMILAR, size: int = SHINGLE_WORDS, bands: int = BANDS, band_rows: int = BAND_ROWS, repeats: bool = False
 ) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, h, class_id, kept``.
 
     A class is all texts that chains of links join, a link being a similarity of ``similar`` or more of
     the sets of ``size``-word shingles (words are what white space separates, without case; a text of
-    fewer words is one shingle). ``class_id`` is the class's smallest doc_id, and one row of that id is
+    fewer words is one shingle), or with ``repeats`` of the shingles as often as they occur. ``class_id`` is the class's smallest doc_id, and one row of that id is
     kept. Rows with equal sets are in one class without comparison. Null texts are empty ones; a text
     without words is a class of its own, and so is a row whose id is null unless others are in its class.
     An empty table gives an empty result; other columns are ignored.
     """
-    sign = settle(signatures(docs, size, bands, band_rows), "signatures")
+    sign = settle(signatures(docs, size, bands, band_rows, repeats), "signatures")
     nodes = sign.filter(F.col("node").isNotNull()).groupBy("node").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h", "row")).alias("rep"), F.min(F.struct("size", "bands")).alias("s")
     ).select("node", "rep", "s.size", "s.bands")
@@ -325,7 +331,7 @@ def near_classes(
     # both sides grow with the corpus, so they are merged at every size
     texts = a.join(b.hint("merge"), same, "left_semi").select(F.coalesce(F.col("a.text").cast("string"), F.lit("")).alias("text"))
     # repeated rows of an id are one set
-    sets = settle(_sets(texts.distinct(), size), "sets")
+    sets = settle(_sets(texts.distinct(), size, repeats), "sets")
 
     links = settle(_verified(pairs, sets, similar), "links")
     labels = components(links)
