@@ -4,7 +4,6 @@ import zlib
 from collections import Counter
 
 import brute
-import numpy as np
 import public_tokenizers
 import tiktoken
 from pyspark.sql import functions as F
@@ -43,10 +42,9 @@ def test_stages_equal_plain_versions(spark, tmp_path):
     sf = f"file://{tmp_path}"
 
     known = [r["doc_id"] for r in docs.orderBy(F.xxhash64("doc_id", "text")).collect() if r["doc_id"] in labels and zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1]
-    text, rates, order = {i: t for i, t, _ in rows}, toxicity.Rates(), np.random.default_rng(7)
+    text, rates = {i: t for i, t, _ in rows}, toxicity.Rates()
     known = [i for i in known if text[i] is not None] + [i for i in known if text[i] is None]
-    steps = [i for _ in range(rates.epochs) for i in order.permutation(len(known)).tolist()]
-    score = brute.ftrl([(labels[i], brute.text_features(text[i])) for i in known], rates, steps)
+    score = brute.calibrated_ftrl([(labels[i], brute.text_features(text[i])) for i in known], rates)
     calm = [r for r in rows if score(brute.text_features(r[1])) < 0.7]
     last = {}
     for i, t, _ in calm:

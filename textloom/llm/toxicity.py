@@ -4,6 +4,10 @@ Features are the words, pairs of adjacent words and pairs with one word between
 text, hashed to 2**20 places. FTRL-proximal keeps a learning rate per coordinate, and its L1 term
 leaves weights at exactly zero until enough examples speak for them; the few that are not zero go to
 the executors. Their number is bounded by the number of places, whatever the corpus is.
+
+Weights fit the texts that they were learnt from better than others. So a second model, which leaves out
+each fourth text, scores those it left out, and a slope and an offset by which its scores agree with their labels
+go into the weights: a score is then a probability for unseen texts, and a threshold means what it says.
 """
 
 from __future__ import annotations
@@ -26,6 +30,8 @@ PLACES_BITS = 20
 #: Bound on the labelled rows of each class that training reads, whatever the table's size.
 SAMPLE_PER_CLASS = 6000
 THRESHOLD = 0.7
+#: One example of so many is spared to calibrate scores.
+SPARED = 4
 CHUNK_WORDS = 1 << 19
 
 
@@ -103,14 +109,17 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array(lists, pa.list_(pa.int32()))], ["label", "h", "places"])
 
 
-def _fit(batches: Iterator[pa.RecordBatch], rates: Rates) -> Iterator[pa.RecordBatch]:
+def _fit(batches: Iterator[pa.RecordBatch], rates: Rates, shift: float) -> Iterator[pa.RecordBatch]:
     examples: list[tuple[int, np.ndarray]] = []
     for batch in batches:
         lists = batch.column(1)
         at, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
         examples += [(label, flat[x:y]) for label, x, y in zip(batch.column(0).to_pylist(), at[:-1], at[1:], strict=True)]
-    model = fitted(examples, rates)
-    w = model.weights(np.arange((1 << PLACES_BITS) + 1))
+    w = fitted(examples, rates).weights(np.arange((1 << PLACES_BITS) + 1))
+    w[-1] += shift
+    slope, offset = calibration(examples, rates, shift)
+    w *= slope
+    w[-1] += offset
     at = np.flatnonzero(w)
     yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(w[at], pa.float64())], ["place", "weight"])
 
@@ -124,6 +133,39 @@ def fitted(examples: list[tuple[int, np.ndarray]], rates: Rates) -> Ftrl:
     return model
 
 
+def calibration(examples: list[tuple[int, np.ndarray]], rates: Rates, shift: float) -> tuple[float, float]:
+    """``slope, offset`` by which log-odds of texts that a model has not seen agree best with their labels.
+
+    ``shift`` is what the log-odds of the classes in the table exceed those in the sample by; it also weighs the labels.
+    Few examples move the slope little from 1 and the offset little from 0.
+    """
+    spared = examples[::SPARED]
+    model = fitted([x for i, x in enumerate(examples) if i % SPARED], rates)
+    label = np.array([x[0] for x in spared], float)
+    if not 0 < label.sum() < len(label):
+        return 1.0, 0.0
+    odds = np.array([model.weights(np.append(x[1], 1 << PLACES_BITS)).sum() for x in spared]) + shift
+    share = np.where(label == 1, math.exp(shift), 1.0)
+    share *= len(share) / share.sum()
+    x, start = np.stack([odds, np.ones(len(odds))], axis=1), np.array([1.0, 0.0])
+
+    def loss(at: np.ndarray) -> float:
+        value = x @ at
+        return float((share * (np.logaddexp(0, value) - label * value)).sum() + ((at - start) ** 2).sum() / 2)
+
+    at = start
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ at, -500, 500)))
+        slope = x.T @ (share * (p - label)) + at - start
+        step = np.linalg.solve((x * (share * p * (1 - p))[:, None]).T @ x + np.eye(2), slope)
+        while np.abs(step).max() > 1e-12 and loss(at - step) > loss(at):
+            step = step / 2
+        at = at - step
+        if np.abs(step).max() <= 1e-12:
+            break
+    return float(at[0]), float(at[1])
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the rows that training never sees: crc32 of the id as text has remainder 1 by 3."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3 == 1
@@ -133,7 +175,8 @@ def train(docs: DataFrame, labels: DataFrame, rates: Rates = Rates(), per_class:
     """Fit on at most ``per_class`` labelled texts of each class, those with the smallest hashes of ids.
 
     Held-out rows and rows without a label or an id are left out; of several labels of an id the
-    largest counts. The intercept is shifted from the sample's class shares to those of all labels.
+    largest counts. The intercept is shifted from the sample's class shares to those of all labels,
+    and scores are calibrated on examples spared for it.
     Without labels of both classes every score is the share of the class that there is, or a half.
     """
     known = (
@@ -157,9 +200,9 @@ def train(docs: DataFrame, labels: DataFrame, rates: Rates = Rates(), per_class:
     # features are hashed where the texts are; the one task that fits gets their places
     sample = sample.mapInArrow(_places, "label int, h long, places array<int>").orderBy("h", "label", "places").limit(2 * per_class)
     sample = sample.select("label", "places").coalesce(1)
-    rows = settle(sample.mapInArrow(lambda x: _fit(x, rates), "place long, weight double"), "toxic-weights").collect()
-    s0, s1 = min(n0, per_class), min(n1, per_class)
-    bias = sum(r["weight"] for r in rows if r["place"] == 1 << PLACES_BITS) + math.log(n1 / n0) - math.log(s1 / s0)
+    shift = math.log(n1 / n0) - math.log(min(n1, per_class) / min(n0, per_class))
+    rows = settle(sample.mapInArrow(lambda x: _fit(x, rates, shift), "place long, weight double"), "toxic-weights").collect()
+    bias = sum(r["weight"] for r in rows if r["place"] == 1 << PLACES_BITS)
     rows = sorted((r["place"], r["weight"]) for r in rows if r["place"] < 1 << PLACES_BITS)
     return Weights(np.array([p for p, _ in rows], np.int64), np.array([w for _, w in rows], float), bias)
 
@@ -167,7 +210,7 @@ def train(docs: DataFrame, labels: DataFrame, rates: Rates = Rates(), per_class:
 def with_scores(df: DataFrame, weights: Weights, text: str = "text", score: str = "score") -> DataFrame:
     """The rows of ``df`` with a column ``score`` from 0 to 1 for each whole text; higher is likelier toxic.
 
-    A null text is an empty text, whose score is the share of toxic texts. Where there is such a column already, the new one,
+    A null text is an empty text, whose score is the intercept's alone. Where there is such a column already, the new one,
     which is the last, has underscores at its name's end. Rows stay in their partitions.
     """
     score = free_names(df.columns, score)[0]
