@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from textloom.llm.links import free_names
+from textloom.llm.workers import handing_back
 
 #: Unicode's White_Space property, which the pattern's \s stands for; Python's \s has four controls more.
 WHITE_SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -278,7 +279,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text") ->
             ids = pa.array([coder.encode(x.as_py() or "") for x in batch.column(at)], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, name])
 
-    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(name, ArrayType(IntegerType()))]))
+    return df.mapInArrow(handing_back(run), StructType([*df.schema.fields, StructField(name, ArrayType(IntegerType()))]))
 
 
 def encoding_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -304,4 +305,4 @@ def encoding_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFram
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     kinds = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, kinds)
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(handing_back(run), kinds)

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from textloom.llm.links import components, rows_that_stay
 from textloom.plans.scratch import settle
 from textloom.llm.words import NOT_SPACE, U64, bytes_of, mix, shingles, slices, word_hashes
+from textloom.llm.workers import handing_back
 
 SHINGLE_WORDS = 5
 SIMILAR = 0.8
@@ -119,7 +120,7 @@ def signatures(
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text"))
     rows = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("h"), "text")
-    return rows.mapInArrow(run, f"row long, doc_id {kind}, h long, node binary, size int, bands array<long>")
+    return rows.mapInArrow(handing_back(run), f"row long, doc_id {kind}, h long, node binary, size int, bands array<long>")
 
 
 def _sets(texts: DataFrame, size: int, repeats: bool) -> DataFrame:
@@ -133,7 +134,7 @@ def _sets(texts: DataFrame, size: int, repeats: bool) -> DataFrame:
                 lists = pa.ListArray.from_arrays(at, elements.view(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(_fingerprints(elements, rows, n), pa.binary()), lists], ["node", "elements"])
 
-    return texts.mapInArrow(run, "node binary, elements array<long>")
+    return texts.mapInArrow(handing_back(run), "node binary, elements array<long>")
 
 
 def _salted(pairs: DataFrame) -> DataFrame:
@@ -296,7 +297,7 @@ def _apart(known: DataFrame, split: DataFrame, sets: DataFrame, similar: float)
         if held is not None and len(held):
             yield from _links_in_blocks(held, similar)
 
-    found = rows.mapInArrow(run, "x binary, y binary")
+    found = rows.mapInArrow(handing_back(run), "x binary, y binary")
     return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 

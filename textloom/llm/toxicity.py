@@ -25,6 +25,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from textloom.llm.links import free_names
 from textloom.plans.scratch import settle
 from textloom.llm.words import ALNUM, U64, bytes_of, mix, word_hashes
+from textloom.llm.workers import handing_back
 
 PLACES_BITS = 20
 #: Bound on the labelled rows of each class that training reads, whatever the table's size.
@@ -198,10 +199,10 @@ def train(docs: DataFrame, labels: DataFrame, rates: Rates = Rates(), per_class:
     # several rows of one id are several examples, up to the same bound
     sample = sample.select("text", "label", F.xxhash64("doc_id", "text").alias("h"))
     # features are hashed where the texts are; the one task that fits gets their places
-    sample = sample.mapInArrow(_places, "label int, h long, places array<int>").orderBy("h", "label", "places").limit(2 * per_class)
+    sample = sample.mapInArrow(handing_back(_places), "label int, h long, places array<int>").orderBy("h", "label", "places").limit(2 * per_class)
     sample = sample.select("label", "places").coalesce(1)
     shift = math.log(n1 / n0) - math.log(min(n1, per_class) / min(n0, per_class))
-    rows = settle(sample.mapInArrow(lambda x: _fit(x, rates, shift), "place long, weight double"), "toxic-weights").collect()
+    rows = settle(sample.mapInArrow(handing_back(lambda x: _fit(x, rates, shift)), "place long, weight double"), "toxic-weights").collect()
     bias = sum(r["weight"] for r in rows if r["place"] == 1 << PLACES_BITS)
     rows = sorted((r["place"], r["weight"]) for r in rows if r["place"] < 1 << PLACES_BITS)
     return Weights(np.array([p for p, _ in rows], np.int64), np.array([w for _, w in rows], float), bias)
@@ -235,7 +236,7 @@ def with_scores(df: DataFrame, weights: Weights, text: str = "text", score: str
             scores = pa.array(1 / (1 + np.exp(-np.clip(total, -500, 500))), pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, scores], [*batch.schema.names, score])
 
-    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(score, DoubleType())]))
+    return df.mapInArrow(handing_back(run), StructType([*df.schema.fields, StructField(score, DoubleType())]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, rates: Rates = Rates(), threshold: float = THRESHOLD) -> DataFrame:
