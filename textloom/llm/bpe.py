@@ -27,7 +27,7 @@ from textloom.llm.workers import handing_back
 
 #: Unicode's White_Space property, which the pattern's \s stands for; Python's \s has four controls more.
 WHITE_SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-PIECE_CACHE = 300_000
+PIECE_CACHE = 200_000
 PAIR_CACHE = 400_000
 STEM_CACHE = 300_000
 LONG_PIECE = 200
