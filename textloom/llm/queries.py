@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import bpe, exact_dedup, mixing, near_dedup, packing, personal_data, secret_scan, suffix_dedup, topk, toxicity, warc
+from textloom.llm import bpe, clustering, conversations, exact_dedup, mixing, near_dedup, packing, personal_data, secret_scan, suffix_dedup, topk, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -64,6 +64,46 @@ def op11_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_damaged(_table(spark, sf_dir, "conversations"))
+
+
+def op13_dual_tree_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(_table(spark, sf_dir, "embeddings"))
+
+
+def _rounds_sql(rounds: int = clustering.ROUNDS) -> str:
+    """Lloyd's rounds, each vector against each centroid."""
+    width, n = clustering.WIDTH, clustering.CLUSTERS
+    parts = [f"""
+        WITH v AS (
+            SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 64) AS BIGINT)) AS v
+            FROM embeddings
+            WHERE len(embedding) = {width} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        c0 AS (
+            SELECT row_number() OVER (ORDER BY h, v) - 1 AS k, v
+            FROM (SELECT sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h, v FROM v ORDER BY h, v LIMIT {n}))"""]
+    for i in range(rounds + 1):
+        parts.append(f"""
+        a{i} AS (
+            SELECT r, any_value(vec_id) AS vec_id, any_value(v) AS v, min(d * {n} + k) % {n} AS k, min(d) AS d
+            FROM (SELECT v.r, v.vec_id, v.v, c.k,
+                         CAST(list_sum(list_transform(list_zip(v.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d
+                  FROM v, c{i} c) GROUP BY r)""")
+        if i < rounds:
+            parts.append(f"""
+        m{i} AS (
+            SELECT k, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY j) AS v
+            FROM (SELECT k, j, sum(x) AS s, count(*) AS n
+                  FROM (SELECT k, unnest(v) AS x, generate_subscripts(v, 1) AS j FROM a{i}) GROUP BY k, j) GROUP BY k)""")
+            parts.append(f"""
+        c{i + 1} AS (SELECT c.k, coalesce(m.v, c.v) AS v FROM c{i} c LEFT JOIN m{i} m USING (k))""")
+    return ",".join(parts) + f"""
+        SELECT vec_id, CAST(a.k AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY a.k) AS BIGINT) AS cluster_inertia,
+               CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+        FROM a{rounds} a JOIN c{rounds} c USING (k)"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -76,6 +116,8 @@ QUERIES: dict[str, Query] = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_mix_sources": op10_mix_sources,
     "op11_best_fit": op11_best_fit,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_dual_tree_clusters": op13_dual_tree_clusters,
 }
 
 ORACLES: dict[str, str] = {
@@ -142,4 +184,80 @@ ORACLES: dict[str, str] = {
             FROM groups g JOIN targets t ON g.source IS NOT DISTINCT FROM t.source)
         SELECT s.doc_id, s.size, p.source_size, p.target, CAST(s.size * (p.whole + p.extra) AS BIGINT) AS taken
         FROM sized s JOIN plan p ON s.source IS NOT DISTINCT FROM p.source AND s.hash = p.hash""",
+    "op12_conversation_repair": r"""
+        WITH RECURSIVE
+        remainders AS (
+            SELECT list(v ORDER BY n) AS t
+            FROM (SELECT n, list_reduce(list_prepend(n, CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])), lambda a, x:
+                             CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v FROM range(256) r(n))),
+        keyed AS (
+            SELECT conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                   xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(
+                           coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''),
+                           lambda c: CAST(ord(c) AS BIGINT))), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) % 20 AS h
+            FROM conversations, remainders),
+        damaged AS (
+            SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+                   CASE WHEN h = 1 THEN '' WHEN h = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+            FROM keyed, (VALUES (0), (1)) c(copy) WHERE h <> 0 AND (copy = 0 OR h = 3)),
+        placed AS (
+            SELECT *, row_number() OVER w AS i, left(role, 1) AS ini, lag(left(role, 1)) OVER w AS ini_before,
+                   right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS ending
+            FROM damaged WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+        faulted AS (
+            SELECT *, CASE WHEN ending = '' THEN 'b'
+                           WHEN i > min(i) OVER (PARTITION BY conv_id, role, text) THEN 'd'
+                           WHEN ending NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault
+            FROM placed),
+        grammar(p, ini, q) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+        inserts(p, q, n) AS (VALUES (0, 0, 0), (0, 2, 1), (0, 3, 2), (1, 1, 0), (1, 2, 1), (1, 3, 2), (2, 2, 0), (2, 3, 1), (3, 3, 0), (3, 2, 1)),
+        edits AS (
+            SELECT f.conv_id, f.i, 'K' AS label, g.p, g.q, CASE WHEN fault = 't' THEN 5 ELSE 0 END AS cost
+            FROM faulted f JOIN grammar g ON g.ini = f.ini WHERE fault NOT IN ('b', 'd')
+            UNION ALL
+            SELECT f.conv_id, f.i, 'R', g.p, g.q, CASE WHEN fault = 't' THEN 6 ELSE 1 END
+            FROM faulted f JOIN grammar g ON g.ini IN ('u', 'a') WHERE fault NOT IN ('b', 'd')
+            UNION ALL
+            SELECT f.conv_id, f.i, 'D', p, p, 2 FROM faulted f, (VALUES (0), (1), (2), (3)) s(p)),
+        best AS (
+            SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, 0 AS q, '000000000000' AS w FROM damaged
+            UNION ALL
+            SELECT b.conv_id, e.i, e.q, min(lpad(CAST(CAST(left(b.w, 12) AS BIGINT) + 5 * s.n + e.cost AS VARCHAR), 12, '0')
+                                            || substr(b.w, 13) || repeat('I', s.n) || e.label)
+            FROM best b JOIN inserts s ON s.p = b.q
+            JOIN edits e ON e.conv_id IS NOT DISTINCT FROM b.conv_id AND e.i = b.i + 1 AND e.p = s.q
+            GROUP BY b.conv_id, e.i, e.q),
+        done AS (
+            SELECT b.conv_id, min(lpad(CAST(CAST(left(b.w, 12) AS BIGINT) + 5 * s.n AS VARCHAR), 12, '0')
+                                  || substr(b.w, 13) || repeat('I', s.n)) AS w
+            FROM best b JOIN inserts s ON s.p = b.q AND s.q IN (0, 3)
+            JOIN (SELECT conv_id, count(*) AS n FROM faulted GROUP BY conv_id) t ON t.conv_id IS NOT DISTINCT FROM b.conv_id AND t.n = b.i
+            GROUP BY b.conv_id),
+        audited AS (SELECT conv_id, CAST(left(w, 12) AS BIGINT) AS cost, substr(w, 13) AS audit FROM done),
+        labels AS (
+            SELECT conv_id, j, substr(audit, CAST(j AS INTEGER), 1) AS label
+            FROM (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS j FROM audited)),
+        steps AS (
+            SELECT *, sum(CASE WHEN label <> 'I' THEN 1 ELSE 0 END) OVER w AS i, sum(CASE WHEN label <> 'D' THEN 1 ELSE 0 END) OVER w AS e
+            FROM labels WINDOW w AS (PARTITION BY conv_id ORDER BY j)),
+        shown AS (
+            SELECT s.*, f.role, f.text, bool_or(s.e = 1 AND s.label = 'K' AND f.ini = 's') OVER (PARTITION BY s.conv_id) AS has_system
+            FROM steps s LEFT JOIN faulted f ON f.conv_id IS NOT DISTINCT FROM s.conv_id AND f.i = s.i WHERE s.label <> 'D'),
+        repaired AS (
+            SELECT conv_id, string_agg(CASE WHEN label = 'K' THEN role WHEN (e - CAST(has_system AS INTEGER)) % 2 = 1 THEN 'user' ELSE 'assistant' END
+                                       || ':' || CASE WHEN label = 'I' THEN '' ELSE text END, chr(10) ORDER BY j) AS whole
+            FROM shown GROUP BY conv_id),
+        counted AS (
+            SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+                   count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+                   count(*) FILTER (i > 1 AND ini_before || ini NOT IN ('su', 'ua', 'au')) AS illegal
+            FROM faulted GROUP BY conv_id)
+        SELECT c.conv_id, coalesce(n.gaps, 0) AS gaps, coalesce(n.blank, 0) AS blank, coalesce(n.duplicate, 0) AS duplicate,
+               coalesce(n.truncated, 0) AS truncated, coalesce(n.illegal, 0) AS illegal, coalesce(a.cost, 0) AS cost,
+               coalesce(a.audit, '') AS audit, sha256(coalesce(r.whole, '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) c
+        LEFT JOIN counted n ON n.conv_id IS NOT DISTINCT FROM c.conv_id
+        LEFT JOIN audited a ON a.conv_id IS NOT DISTINCT FROM c.conv_id
+        LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM c.conv_id""",
+    "op13_dual_tree_clusters": _rounds_sql(),
 }
