@@ -41,7 +41,7 @@ def boolean_batch(postings: DataFrame, universe: DataFrame, queries: Sequence[st
     """``query_no, query, error, doc_id``: hits of each query, numbered from 1 with blank ones counted.
 
     A query without hits, or with an error, has one row whose doc_id is null. Queries are worked on in groups, one pass
-    over the postings for each.
+    over the postings for each. The list is the driver's; ``query_tables.answers`` takes a table of any length.
     """
     spark = postings.sparkSession
     rows, trees = [], {}
@@ -59,7 +59,9 @@ def boolean_batch(postings: DataFrame, universe: DataFrame, queries: Sequence[st
     numbers, hits = list(trees), spark.createDataFrame([], "query_no int, doc_id long")
     for lo in range(0, len(numbers), at_once):
         hits = hits.unionByName(_matches(postings, universe, {n: trees[n] for n in numbers[lo : lo + at_once]}))
-    return listed.join(hits, "query_no", "left")
+    hits = hits.join(F.broadcast(listed), "query_no").select("query_no", "query", "error", "doc_id")  # the driver's list
+    none = listed.join(hits.select("query_no").distinct(), "query_no", "left_anti").withColumn("doc_id", F.lit(None).cast("long"))
+    return hits.unionByName(none)
 
 
 def boolean_report(batch: DataFrame, forward: DataFrame, topres: int = 10) -> DataFrame:

@@ -6,8 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from textloom.operators import index, search, tokenize
+from textloom.operators import bitmaps, index, query_tables, search, tokenize
 from textloom.plans.scratch import scratch_path
 
 
@@ -55,12 +56,32 @@ class Corpus:
     def forward(self) -> DataFrame:
         return self._table("forward", lambda: index.forward(self.docs, self._url))
 
+    @property
+    def term_words(self) -> DataFrame:
+        """Bitmaps of the Boolean terms' documents, in ranges of terms."""
+        return self._table("term-words", lambda: bitmaps.bitmap(self.postings, "term").repartitionByRange("term", "word").sortWithinPartitions("term", "word"))
+
+    @property
+    def universe(self) -> DataFrame:
+        """The bitmap of all documents."""
+        return self._table("universe", lambda: bitmaps.bitmap(self.docs))
+
+    def bitmap_of(self, term: str) -> DataFrame:
+        return self.term_words.filter(F.col("term") == term).select("word", "bits")
+
     def boolean(self, query: str, k: int = 0) -> DataFrame:
         return search.boolean_search(self.postings, self.docs, query, k)
 
     def boolean_batch(self, queries: Sequence[str]) -> DataFrame:
         return search.boolean_batch(self.postings, self.docs, queries)
 
+    def boolean_many(self, queries: DataFrame) -> DataFrame:
+        """Hits of a table of queries ``(query_no, query)``."""
+        return query_tables.answers(self.term_words, self.universe, queries)
+
+    def boolean_counts(self, queries: DataFrame) -> DataFrame:
+        return query_tables.hit_counts(self.term_words, self.universe, queries)
+
     def ranked(self, queries: Sequence[str], topk: int = 10, bonus: float = 0.5, stem: bool = True) -> DataFrame:
         asked = search.query_terms(self.docs.sparkSession, queries)
         look_up, form = ("stem", "stem") if stem else ("exact", "term")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 from textloom.functions.urls import listing_urls, normalize_url, page_url, strip_fragment, title_from_url
-from textloom.operators import crawl, index, search, tokenize, web, zipf
+from textloom.operators import bitmaps, crawl, index, search, tokenize, web, zipf
 from textloom.plans.config import config_from
 from textloom.plans.lakehouse import Corpus
 from textloom.plans.scratch import scratch_path
@@ -311,6 +311,62 @@ def bool_batch(spark, sf_dir):
     return _corpus(spark, sf_dir).boolean_batch(_BATCH)
 
 
+def _many_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five queries for each document, of its first, middle and last word of five letters or more; some cannot be read, some are blank."""
+    lower = F.filter(T.tokens(T.ascii_lower(F.col("text"))), lambda x: F.length(x) >= 5)
+    w = _docs(spark, sf_dir).select("doc_id", lower.alias("w")).filter(F.size("w") >= 3)
+    w = w.select("doc_id", F.get("w", F.lit(0)).alias("a"), F.get("w", F.floor(F.size("w") / 2).cast("int")).alias("b"), F.element_at("w", -1).alias("c"))
+    form = lambda text: F.format_string(text.replace("a", "%1$s").replace("b", "%2$s").replace("c", "%3$s"), "a", "b", "c")
+    kind = F.col("doc_id") % 100
+    odd = F.when(kind == 0, form("!(a || b)")).when(kind == 1, form("a && (b")).when(kind == 2, F.lit(" ")).otherwise(form("!a && b && c"))
+    texts = F.array(form("a b"), form("a || b c"), form("(a||b) && !c"), odd, form("!!a !b"))
+    return w.select("doc_id", F.posexplode(texts).alias("k", "query")).select((F.col("doc_id") * 5 + F.col("k") + 1).alias("query_no"), "query")
+
+
+_MANY_SQL = f"""words AS (
+        SELECT doc_id, list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '{_RX}'), lambda x: {_LOWER.format('x')}), lambda x: length(x) >= 5) AS w
+        FROM documents),
+    abc AS (SELECT doc_id, w[1] AS a, w[len(w) // 2 + 1] AS b, w[len(w)] AS c FROM words WHERE len(w) >= 3),
+    q AS (
+        SELECT doc_id * 5 + k + 1 AS query_no, a, b, c, CASE WHEN k <> 3 THEN k WHEN doc_id % 100 < 3 THEN 10 + doc_id % 100 ELSE 3 END AS kind,
+               CASE WHEN k = 0 THEN a || ' ' || b WHEN k = 1 THEN a || ' || ' || b || ' ' || c WHEN k = 2 THEN '(' || a || '||' || b || ') && !' || c
+                    WHEN k = 4 THEN '!!' || a || ' !' || b WHEN doc_id % 100 = 0 THEN '!(' || a || ' || ' || b || ')'
+                    WHEN doc_id % 100 = 1 THEN a || ' && (' || b WHEN doc_id % 100 = 2 THEN ' ' ELSE '!' || a || ' && ' || b || ' && ' || c END AS query,
+               CASE WHEN k = 3 AND doc_id % 100 = 1 THEN 'Unmatched ' || chr(39) || '(' || chr(39) END AS error
+        FROM abc, range(5) r(k)),
+    posted AS MATERIALIZED (SELECT DISTINCT {_LOWER.format('token')} AS term, doc_id FROM tok),
+    asked AS (SELECT DISTINCT query_no, a, b, c, kind, unnest([a, b, c]) AS term FROM q),
+    met AS (
+        SELECT query_no, kind, doc_id, bool_or(term = a) AS fa, bool_or(term = b) AS fb, bool_or(term = c) AS fc
+        FROM asked JOIN posted USING (term) GROUP BY ALL),
+    hits AS (
+        SELECT query_no, doc_id FROM met
+        WHERE CASE kind WHEN 0 THEN fa AND fb WHEN 1 THEN fa OR fb AND fc WHEN 2 THEN (fa OR fb) AND NOT fc WHEN 3 THEN NOT fa AND fb AND fc
+              WHEN 4 THEN fa AND NOT fb ELSE false END
+        UNION ALL
+        SELECT q.query_no, d.doc_id FROM q CROSS JOIN documents d LEFT JOIN met m ON m.query_no = q.query_no AND m.doc_id = d.doc_id
+        WHERE q.kind = 10 AND NOT coalesce(fa OR fb, false))"""
+
+
+@query(f"WITH {_TOKENS}, {_MANY_SQL} SELECT q.query_no, query, error, doc_id FROM q LEFT JOIN hits USING (query_no) WHERE kind <> 12")
+def bool_many(spark, sf_dir):
+    return _corpus(spark, sf_dir).boolean_many(_many_queries(spark, sf_dir))
+
+
+@query(f"""WITH {_TOKENS}, {_MANY_SQL}
+    SELECT q.query_no, query, any_value(error) AS error, count(doc_id) AS hits FROM q LEFT JOIN hits USING (query_no) WHERE kind <> 12 GROUP BY ALL""")
+def bool_bitmap_counts(spark, sf_dir):
+    return _corpus(spark, sf_dir).boolean_counts(_many_queries(spark, sf_dir))
+
+
+@query(_bool_sql("([the] OR [und]) AND NOT ([of] AND [and]) OR NOT [in]"))
+def bool_bitmap_hits(spark, sf_dir):
+    corpus = _corpus(spark, sf_dir)
+    of = corpus.bitmap_of
+    some = bitmaps.without(bitmaps.either(of("the"), of("und")), bitmaps.both(of("of"), of("and")))
+    return bitmaps.documents(bitmaps.either(some, bitmaps.without(corpus.universe, of("in"))))
+
+
 @query(
     f"""WITH {_BATCH_SQL}, ranked AS (
         SELECT q.query_no, query, error, doc_id, row_number() OVER (PARTITION BY q.query_no ORDER BY doc_id) AS rank, count(doc_id) OVER (PARTITION BY q.query_no) AS hits
