@@ -183,6 +183,6 @@ def mixed(rows, weights=(3, 1, 2), share=1.5, most=2.0):
         whole = int(target[s] // total[s]) if total[s] else 0
         need, upto = target[s] - whole * total[s], 0
         for h, i in sorted((int(hashlib.md5(str(i).encode()).hexdigest()[:15], 16), i) for i, _, x in rows if x == s):
-            times[i] = whole + (2 * upto + size[i] <= 2 * need)
+            times[i] = min(int(most), whole + (2 * upto + size[i] <= 2 * need))
             upto += size[i]
     return times

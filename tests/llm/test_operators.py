@@ -244,6 +244,13 @@ def test_mix_equals_plain_version(spark):
         assert {r["doc_id"]: r["taken"] for r in got} == {r["doc_id"]: r["size"] * times[r["doc_id"]] for r in got}
 
 
+def test_mixed_documents_repeat_no_empty_text_more_than_twice(spark):
+    rows = [(i, "" if i < 40 else "w " * 9, "a") for i in range(60)] + [(100 + i, "w " * 400, "b") for i in range(9)]
+    out = Counter(r["doc_id"] for r in mixing.mixed_documents(table(spark, rows)).collect())
+    assert max(out.values()) == 2 and out == {i: n for i, n in brute.mixed(rows).items() if n}
+    assert mixing.mixed_documents(table(spark, [])).count() == 0
+
+
 def test_mixed_documents_keep_clashing_columns(spark):
     docs = table(spark, [(i, "w " * (i % 9 + 1), f"s{i % 3}") for i in range(60)])
     for name in ("mix_cut", "MIX_Whole", "mix_source", "mix_copy", "cut", "whole", "target", "source_size"):

@@ -165,12 +165,14 @@ def mix(
 def mixed_documents(
     docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = 1.5, max_repeat: float = 2.0
 ) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them, with their columns as they are, whatever their names."""
+    """The rows of ``docs`` as often as the mix takes them, ``max_repeat`` times at most, with their columns as they are, whatever
+    their names. Null and empty texts and null sources are as in ``mix``; an empty table gives an empty result."""
     source, whole, cut, copy = free_names(docs.columns, "mix_source", "mix_whole", "mix_cut", "mix_copy")
     sized = settle(_sized(docs), "mix-sizes")
     plan = thresholds(sized, weights, share, max_repeat).toDF(source, "source_size", "target", whole, cut).select(source, whole, cut)
     a = docs.alias("a")
     times = F.col(whole) + F.when(doc_hash(F.col("a.doc_id")) < F.col(cut), 1).otherwise(0)
+    times = F.least(times, F.lit(int(max_repeat)).cast("long"))  # texts of size 0 would come once more where nothing is needed
     joined = a.join(plan, F.col("a.source").eqNullSafe(F.col(source)))
     taken = joined.filter(times > 0).select("a.*", F.explode(F.sequence(F.lit(1).cast("long"), times)).alias(copy))
     return taken.select(*[F.col(f"`{c}`") for c in docs.columns])
