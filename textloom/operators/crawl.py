@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions.text import retry_delay
 from textloom.functions.urls import normalize_url
+from textloom.operators.numbering import until_total
 from textloom.operators.web import category_priority
 from textloom.plans.scratch import settle
 
@@ -236,3 +237,15 @@ def listing_pages_read(pages: DataFrame, misses: int = 3, by: tuple[str, ...] =
     stops = stops.groupBy(*by).agg(F.min("end").alias("end"))
     joined = pages.join(stops, list(by), "left") if by else pages.join(F.broadcast(stops))
     return joined.filter(F.col("end").isNull() | (F.col("page") <= F.col("end"))).drop("end")
+
+
+def accepted_until_target(pages: DataFrame, target: int, most: int = 15) -> DataFrame:
+    """Of ``pages (listing, place, accepted, ...)`` those that a crawl gets before it stops: of each listing the first ``most`` by
+    place, listing after listing, until ``target`` of them were accepted.
+
+    (listing, place) tells pages apart. Of a listing only ``most`` rows leave a partition; the running count goes over ranges of listings.
+    """
+    first = Window.partitionBy("listing").orderBy("place")
+    tried = pages.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= most).drop("_n")
+    counted = tried.withColumn("_one", F.coalesce(F.col("accepted"), F.lit(False)).cast("long"))
+    return until_total(counted, "_one", target, ["listing", "place"]).drop("_one")

@@ -103,9 +103,13 @@ def idf(n: Column, df: Column) -> Column:
 
 
 def query_terms(spark: SparkSession, queries: Sequence[str]) -> DataFrame:
-    """``query_no, query, pos, exact, stem``: queries as bags of terms in the ranked form; repeats count."""
+    """``terms_of_queries`` of a list, numbered from 1 with blank ones counted."""
     rows = [(n, q) for n, q in enumerate(queries, 1) if q.strip()]
-    listed = spark.createDataFrame(rows, "query_no int, query string")
+    return terms_of_queries(spark.createDataFrame(rows, "query_no int, query string"))
+
+
+def terms_of_queries(listed: DataFrame) -> DataFrame:
+    """``query_no, query, pos, exact, stem`` of ``listed (query_no, query)``: queries as bags of terms in the ranked form; repeats count."""
     words = listed.select("query_no", "query", F.posexplode(F.split(F.trim(F.regexp_replace("query", r"[ \t\r\n\f\x0B]+", " ")), " ")).alias("pos", "word"))
     kept = words.withColumn("exact", norm_ranked(F.col("word"))).filter(ranked_length_ok(F.col("exact")))
     return kept.select("query_no", "query", "pos", "exact", stem_normalised(F.col("exact")).alias("stem"))

@@ -8,7 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.operators import bitmaps, index, query_tables, search, tokenize
+from textloom.operators import bitmaps, index, pruned, query_tables, search, tokenize
 from textloom.plans.scratch import scratch_path
 
 
@@ -48,6 +48,15 @@ class Corpus:
         """Ranked postings, exact terms with their stems, in ranges of stems."""
         return self._table("words", lambda: index.word_postings(self.tokens).repartitionByRange("stem", "term").sortWithinPartitions("stem", "term"))
 
+    @property
+    def word_blocks(self) -> DataFrame:
+        """Bounds of ranked terms by block of documents, in ranges of stems."""
+        return self._table("word-blocks", lambda: pruned.word_blocks(self.words).repartitionByRange("stem", "term").sortWithinPartitions("stem", "term"))
+
+    @property
+    def stem_frequencies(self) -> DataFrame:
+        return self._table("stem-frequencies", lambda: pruned.stem_frequencies(self.words))
+
     @property
     def n_docs(self) -> DataFrame:
         return self._table("documents-with-terms", lambda: search.documents_with_terms(self.words))
@@ -87,6 +96,10 @@ class Corpus:
         look_up, form = ("stem", "stem") if stem else ("exact", "term")
         return search.ranked_search(asked, self.words, self.n_docs, topk, bonus, look_up, form)
 
+    def ranked_pruned(self, asked: DataFrame, topk: int = 10, bonus: float = 0.5) -> tuple[DataFrame, DataFrame]:
+        """Hits of a table of query terms, as ``search.query_terms`` makes it, and how many blocks they took."""
+        return pruned.ranked_search_pruned(asked, self.words, self.word_blocks, self.stem_frequencies, self.n_docs, topk, bonus)
+
     def compare(self, queries: Sequence[str], topk: int = 10, bonus: float = 0.5) -> DataFrame:
         asked = search.query_terms(self.docs.sparkSession, queries)
         return search.compare_stemming(asked, self.words, self.n_docs, topk, bonus)

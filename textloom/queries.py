@@ -919,6 +919,12 @@ def task_upsert(spark, sf_dir):
     FROM old o FULL JOIN new n ON o.source = n.source AND o.url_norm = n.url_norm"""
 )
 def doc_upsert_changed(spark, sf_dir):
+    old, new = _changed_documents(spark, sf_dir)
+    return crawl.upsert_documents(old, new).select(*crawl.KEY, "content_hash", "created_at", "updated_at", "fetched_at")
+
+
+def _changed_documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Documents as they were, and what fetches say of some of these and of others."""
     docs = _docs(spark, sf_dir)
     i, text = F.col("doc_id"), F.col("text")
 
@@ -932,7 +938,7 @@ def doc_upsert_changed(spark, sf_dir):
     old = rows(i % 3 != 0, text, 10, F.lit(200))
     changed = F.when(i % 2 == 0, text).otherwise(F.concat(text, F.lit("!")))
     new = rows((i % 5 != 0) | (i % 3 == 0), changed, 20, F.when(i % 7 == 0, 304).otherwise(200)).drop("created_at", "updated_at")
-    return crawl.upsert_documents(old, new).select(*crawl.KEY, "content_hash", "created_at", "updated_at", "fetched_at")
+    return old, new
 
 
 _EDGES = """edges AS (SELECT DISTINCT regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS parent, h AS child
