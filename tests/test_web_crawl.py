@@ -14,26 +14,42 @@ PAGE = f"""<html><head><title>T &amp; t</title><meta property="og:title" content
 <a href="/a">x</a><a href=" //h/b ">y</a></body>"""
 
 
-def test_news_rule():
-    lines = H.main_text(H.tree(PAGE), H.RULES["news"]).split("\n")
-    assert lines == [LONG, f"{LONG} one", f"{LONG} two"]  # equal but for case: once
+def read(spark, source, kind="news", url="https://h/x"):
+    pages = spark.createDataFrame([(1, url, source)], "page_id long, url string, html string")
+    return web.article_records(pages, kind).first()
 
 
-def test_other_rules():
-    wiki = f'<div class="mw-parser-output x"><table><tr><td><p>{LONG} t</p></table><h2>{LONG} h</h2><div id="toc"><li>{LONG} c</li></div><p>{LONG}</p></div><p>{LONG} out</p>'
-    assert H.main_text(H.tree(wiki), H.RULES["encyclopedia"]).split("\n") == [f"{LONG} h", LONG]
-    blog = f"<main><p>Подписка на телеграм, {LONG}</p><p>{LONG}</p></main>"
-    assert H.main_text(H.tree(blog), H.RULES["blog"]) == LONG
-    assert H.main_text(H.tree(PAGE), H.RULES["early_news"]).split("\n")[:2] == [LONG, LONG.upper()]
-    assert "one" in H.main_text(H.tree(PAGE), H.RULES["early_blog"])
+def test_flat_pages():
+    page = H.flat('<p a="1" a="2">x<b>y</p><script>z &lt;</script><br>')
+    assert [(e["tag"], e["last"], e["first"], e["n"]) for e in page["elements"]] == [("p", 1, 0, 2), ("b", 1, 1, 1), ("script", 2, 2, 1), ("br", 3, 3, 0)]
+    assert page["elements"][0]["attrs"] == [("a", "1")] and page["strings"][2] == {"text": "z <", "silent": True}
+
+
+def test_news_rule(spark):
+    lines = read(spark, PAGE)["text"].split("\n")
+    assert lines == [LONG, f"{LONG} one", f"{LONG} two"]  # equal but for case: once
 
 
-def test_meta():
-    root = H.tree(PAGE)
-    assert (H.title(root, False), H.date(root, ("datePublished",)), H.canonical(root, "https://h/x")) == ("Head", "2024-01-02", "https://h/c")
-    assert H.title(H.tree("<title> a  b </title>"), True) == "a b"
-    assert H.date(H.tree('<script type="application/ld+json">[{"dateCreated": "d"}]</script>'), ("datePublished", "dateCreated")) == "d"
-    assert H.date(H.tree('<time datetime="t">'), ()) == "t"
+def test_other_rules(spark):
+    wiki = f'<div class="mw-parser-output x"><table><tr><td><p>{LONG} t</p></table><h2>{LONG} h</h2><div id="toc"><li>{LONG} c</li></div><p>{LONG}<sup class="reference">no</sup></p></div><p>{LONG} out</p>'
+    assert read(spark, wiki, "encyclopedia")["text"].split("\n") == [f"{LONG} h", LONG]
+    assert read(spark, f"<p>{LONG}", "encyclopedia")["text"] == LONG
+    blog = f"<main><p>Подписка на телеграм, {LONG}</p><p>{LONG}</p></main>"
+    assert read(spark, blog, "blog")["text"] == LONG
+    assert read(spark, PAGE, "early_news")["text"].split("\n")[:2] == [LONG, LONG.upper()]
+    assert "one" in read(spark, PAGE, "early_blog")["text"]
+
+
+def test_meta(spark):
+    got = read(spark, PAGE)
+    assert (got["title"], got["date"], got["canonical"]) == ("Head", "2024-01-02", "https://h/c")
+    assert read(spark, "<title> a  b </title>", "blog")["title"] == "a b"
+    assert read(spark, '<meta property="og:title" content="o"><title>t</title>', "blog")["title"] == "o"
+    ld = '<script type="application/ld+json">{}</script>'
+    assert read(spark, ld.format('[{"dateCreated": "d"}]'), "blog")["date"] == "d"
+    assert read(spark, ld.format("{") + ld.format('{"dateCreated": "c", "datePublished": "p"}'))["date"] == "p"
+    assert read(spark, '<time datetime="t">')["date"] == "t" and read(spark, "<p>")["date"] == ""
+    assert read(spark, '<link rel="x canonical" href=" //o/p ">')["canonical"] == "https://o/p" and read(spark, "<p>")["canonical"] is None
 
 
 @pytest.mark.parametrize("source", ["", "<", "</p></p>", "<p" * 2000, "<div>" * 3000, None])

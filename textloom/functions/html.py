@@ -1,249 +1,86 @@
-"""Text, titles, dates and links of web pages, as Arrow-batched functions over a small tolerant parser."""
+"""Pages as flat arrays: a tolerant parser's elements and strings. All rules over them are expressions (``page_rules``)."""
 
 from __future__ import annotations
 
 import html
-import json
-import re
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
 from html.parser import HTMLParser
-from urllib.parse import urlsplit
 
-import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
+# Elements without content, and which tags end which open elements.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 BLOCKS = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
-#: An opening tag of the key ends an open element of the set, unless one of BARRIER lies between.
-ENDS = {"li": {"li"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
+ENDS = {"li": {"li"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}} | dict.fromkeys(BLOCKS, {"p"})
 BARRIER = {"table", "ul", "ol", "dl", "div", "article", "section", "body", "html"}
 SILENT = {"script", "style", "template"}
 
+#: ``last``: the number of the last element within; ``first`` and ``n``: which strings are within. ``silent``: of scripts and styles.
+PAGE = "elements array<struct<tag: string, attrs: map<string, string>, last: int, first: int, n: int>>, strings array<struct<text: string, silent: boolean>>"
+_ARROW = pa.struct([
+    ("elements", pa.list_(pa.struct([("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("last", pa.int32()), ("first", pa.int32()), ("n", pa.int32())]))),
+    ("strings", pa.list_(pa.struct([("text", pa.string()), ("silent", pa.bool_())]))),
+])
 
-@dataclass(eq=False)
-class Element:
-    tag: str
-    attrs: dict[str, str]
-    parts: list = field(default_factory=list)
-
-    def walk(self) -> Iterator["Element"]:
-        """All elements below, in document order."""
-        todo = [x for x in reversed(self.parts) if isinstance(x, Element)]
-        while todo:
-            at = todo.pop()
-            yield at
-            todo += [x for x in reversed(at.parts) if isinstance(x, Element)]
-
-    def text(self) -> str:
-        """The strings below without those of scripts and styles, each stripped, joined by spaces."""
-        found, todo = [], [self]
-        while todo:
-            at = todo.pop()
-            if isinstance(at, str):
-                if at.strip():
-                    found.append(at.strip())
-            elif at is self or at.tag not in SILENT:
-                todo += reversed(at.parts)
-        return " ".join(found)
-
-    def has_class(self, name: str) -> bool:
-        return name in self.attrs.get("class", "").split()
-
-
-class _Builder(HTMLParser):
+
+class _Flat(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.root = Element("", {})
-        self.open = [self.root]
-
-    def _end(self, tags: set[str]) -> None:
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag in tags:
-                del self.open[i:]
-                return
-            if self.open[i].tag in BARRIER:
-                return
+        self.elements: list[dict] = []
+        self.strings: list[dict] = []
+        self.open: list[int] = []
+
+    def _close(self, depth: int) -> None:
+        for i in self.open[depth:]:
+            at = self.elements[i]
+            at |= {"last": len(self.elements) - 1, "n": len(self.strings) - at["first"]}
+        del self.open[depth:]
+
+    def _end(self, tags: set[str], barrier: set[str] = frozenset()) -> None:
+        for depth in range(len(self.open) - 1, -1, -1):
+            tag = self.elements[self.open[depth]]["tag"]
+            if tag in tags:
+                return self._close(depth)
+            if tag in barrier:
+                return None
 
     def handle_starttag(self, tag, attrs):
-        if tag in BLOCKS:
-            self._end({"p"})
         if tag in ENDS:
-            self._end(ENDS[tag])
-        at = Element(tag, {k: v or "" for k, v in reversed(attrs)})
-        self.open[-1].parts.append(at)
-        if tag not in VOID:
-            self.open.append(at)
+            self._end(ENDS[tag], BARRIER)
+        self.open.append(len(self.elements))
+        # of an attribute that is given twice the first counts
+        self.elements.append({"tag": tag, "attrs": {k: v or "" for k, v in reversed(attrs)}, "first": len(self.strings)})
+        if tag in VOID:
+            self._close(len(self.open) - 1)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
-            self.open.pop()
+            self._close(len(self.open) - 1)
 
     def handle_endtag(self, tag):
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag == tag:
-                del self.open[i:]
-                return
+        self._end({tag})
 
     def handle_data(self, data):
-        self.open[-1].parts.append(data)
-
-
-def tree(source: str) -> Element:
-    builder = _Builder()
-    builder.feed(source)
-    builder.close()
-    return builder.root
-
-
-def _matcher(selector: str) -> Callable[[Element], bool]:
-    """Of ``tag``, ``tag.class``, ``.class``, ``tag#id`` or ``[name=value]``."""
-    if m := re.fullmatch(r"\[([\w-]+)=([\w-]+)\]", selector):
-        return lambda e: e.attrs.get(m[1]) == m[2]
-    tag, sign, name = re.fullmatch(r"([\w-]*)([.#]?)([\w-]*)", selector).groups()
-    fits = {"": lambda e: True, ".": lambda e: e.has_class(name), "#": lambda e: e.attrs.get("id") == name}[sign]
-    return lambda e: (not tag or e.tag == tag) and fits(e)
-
-
-def _first(root: Element, selector: str) -> Element | None:
-    return next(filter(_matcher(selector), root.walk()), None)
-
-
-def _without(root: Element, selectors: tuple[str, ...]) -> None:
-    tests = [_matcher(s) for s in selectors]
-    for at in [root, *root.walk()]:
-        at.parts = [x for x in at.parts if isinstance(x, str) or not any(t(x) for t in tests)]
-
-
-def squeeze(text: str) -> str:
-    return re.sub(r"\s+", " ", text).strip()
-
-
-@dataclass(frozen=True)
-class Rule:
-    """Where a kind of page has its text: roots in order of choice (or all of them), what is removed, what is taken."""
-
-    roots: tuple[str, ...]
-    removed: tuple[str, ...] = ()
-    taken: tuple[str, ...] = ("p", "h1", "h2", "h3", "li")
-    least: int = 40
-    least_for: tuple[str, ...] | None = None  # the tags that ``least`` holds for; None: all
-    all_roots: bool = False
-    fold_case: bool = True
-    squeezed: bool = True
-    unwanted: tuple[str, ...] = ()  # a block that holds all of these is left out
-
-
-# The extraction rules of each kind of page.
-_CHROME = ("script", "style", "noscript", "header", "footer", "form", "aside")
-RULES = {
-    "encyclopedia": Rule(
-        ("div.mw-parser-output", "div#mw-content-text"),
-        ("table", "div.navbox", "div.infobox", "div.reflist", "div.mw-editsection", "sup.reference", "span.mw-editsection", "div#toc", "div.thumb", "ol.references", "ul.gallery"),
-        ("p", "h2", "h3", "li"),
-    ),
-    "news": Rule(("article", "[itemprop=articleBody]", "main"), _CHROME),
-    "blog": Rule(("article", "main"), _CHROME, least=30, unwanted=("подпис", "телег")),
-    "early_news": Rule(
-        ("article", "[itemprop=articleBody]", ".article__content", ".content", ".article-content", ".text", "main"),
-        taken=("p",), all_roots=True, fold_case=False, squeezed=False,
-    ),
-    "early_blog": Rule(
-        ("article", "main", ".content", ".article__content", ".post__content", ".text", ".material-content"),
-        taken=("p", "h2", "h3", "li"), least_for=("p",), all_roots=True, fold_case=False,
-    ),
-}
-DATE_METAS = (
-    ("property", "article:published_time"), ("name", "article:published_time"), ("property", "og:pubdate"),
-    ("name", "pubdate"), ("itemprop", "datePublished"), ("name", "date"),
-)
-#: These selectors give their first element alone even where all roots are taken.
-_ONCE = {"article", "[itemprop=articleBody]", "main"}
-
-
-def main_text(root: Element, rule: Rule) -> str:
-    """The distinct blocks of a page's main part, in order, a line each. Changes the tree."""
-    if rule.all_roots:
-        chosen = []
-        for selector in rule.roots:
-            found = list(filter(_matcher(selector), root.walk()))
-            chosen += found[:1] if selector in _ONCE else found
-        chosen = chosen or [root]
-    else:
-        chosen = [next((e for s in rule.roots if (e := _first(root, s)) is not None), root)]
-    lines: dict[str, str] = {}
-    for at in chosen:
-        _without(at, rule.removed)
-        for block in at.walk():
-            if block.tag not in rule.taken:
-                continue
-            text = squeeze(block.text()) if rule.squeezed else block.text()
-            short = len(text) < rule.least and (rule.least_for is None or block.tag in rule.least_for)
-            low = text.lower()
-            if text and not short and not (rule.unwanted and all(x in low for x in rule.unwanted)):
-                lines.setdefault(low if rule.fold_case else text, text)
-    return "\n".join(lines.values()).strip()
-
-
-def title(root: Element, with_og: bool) -> str:
-    """The first heading, else (``with_og``) og:title, else the title element."""
-    if (at := _first(root, "h1")) is not None and (text := squeeze(at.text())):
-        return text
-    if with_og:
-        for at in root.walk():
-            if at.tag == "meta" and at.attrs.get("property") == "og:title" and (text := squeeze(at.attrs.get("content", ""))):
-                return text
-    return squeeze(at.text()) if (at := _first(root, "title")) is not None else ""
-
-
-def date(root: Element, keys: tuple[str, ...]) -> str:
-    """A page's date as it is written: of a time element, a meta element, or JSON-LD under one of ``keys``."""
-    if (at := _first(root, "time")) is not None and (found := (at.attrs.get("datetime") or at.attrs.get("content") or "").strip()):
-        return found
-    metas = [e for e in root.walk() if e.tag == "meta"]
-    for name, value in DATE_METAS:
-        at = next((e for e in metas if e.attrs.get(name) == value), None)
-        if at is not None and (found := at.attrs.get("content", "").strip()):
-            return found
-    for at in root.walk():
-        if at.tag == "script" and at.attrs.get("type") == "application/ld+json":
-            try:
-                data = json.loads(html.unescape("".join(x for x in at.parts if isinstance(x, str)).strip()))
-            except ValueError:
-                continue
-            for item in data if isinstance(data, list) else [data]:
-                if isinstance(item, dict) and (found := str(next((item[k] for k in keys if item.get(k)), "")).strip()):
-                    return found
-    return ""
-
-
-def canonical(root: Element, base: str) -> str | None:
-    for at in root.walk():
-        if at.tag == "link" and "canonical" in at.attrs.get("rel", "").split() and at.attrs.get("href"):
-            href = at.attrs["href"].strip()
-            if href.startswith("//"):
-                return "https:" + href
-            parts = urlsplit(base)
-            return f"{parts.scheme}://{parts.netloc}{href}" if href.startswith("/") else href
-    return None
-
-
-PAGE = StructType([StructField(c, StringType()) for c in ("title", "date", "text", "canonical")] + [StructField("links", ArrayType(StringType()))])
-
-
-@F.pandas_udf(PAGE)
-def parse_page(pages: pd.Series, urls: pd.Series, kinds: pd.Series) -> pd.DataFrame:
-    """The struct ``PAGE`` of (html, url, kind of page in ``RULES``). Null html gives empty values, another kind nulls."""
-    rows = []
-    for source, url, kind in zip(pages, urls, kinds, strict=True):
-        if kind not in RULES:
-            rows.append((None,) * 5)
-            continue
-        root, rule, blog = tree(source or ""), RULES[kind], "blog" in kind
-        links = [h for e in root.walk() if e.tag == "a" and (h := e.attrs.get("href", "").strip())]
-        keys = ("datePublished", "dateCreated") if blog else ("datePublished",)
-        found = (title(root, blog), date(root, keys), canonical(root, url or ""), links)
-        rows.append((found[0], found[1], main_text(root, rule), found[2], found[3]))
-    return pd.DataFrame(rows, columns=["title", "date", "text", "canonical", "links"])
+        silent = any(self.elements[i]["tag"] in SILENT for i in self.open)
+        text = html.unescape(data) if silent else data.strip()
+        if text:
+            self.strings.append({"text": text, "silent": silent})
+
+
+def flat(source: str | None) -> dict:
+    parser = _Flat()
+    parser.feed(source or "")
+    parser.close()
+    parser._close(0)
+    return {"elements": [e | {"attrs": list(e["attrs"].items())} for e in parser.elements], "strings": parser.strings}
+
+
+def _pages(sources: pa.Array) -> pa.Array:
+    return pa.array([flat(x.as_py()) for x in sources], _ARROW)
+
+
+def page(source: Column) -> Column:
+    """The struct ``PAGE`` of html text; null has no elements."""
+    return F.arrow_udf(_pages, PAGE)(source)

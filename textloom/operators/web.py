@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.functions.html import parse_page
+from textloom.functions import page_rules as R
+from textloom.functions.html import page as page_arrays
 from textloom.functions.text import content_hash, short_url_id, word_count
 from textloom.functions.urls import normalize_url, resolve_link
 
@@ -16,14 +19,30 @@ def article_records(pages: DataFrame, kind: str | Column = "news", also: tuple[s
     ``kind`` names the rule for all pages or is a column that names it for each; pages of no known kind are left out. Columns
     named in ``also`` are kept.
     """
-    page = parse_page(F.col("html"), F.col("url"), F.lit(kind) if isinstance(kind, str) else kind)
-    parsed = pages.select("page_id", "url", *also, page.alias("p")).filter(F.col("p.text").isNotNull())
-    return parsed.select(
-        "page_id", "url", short_url_id(F.col("url")).alias("doc_id"), "p.title", "p.date", "p.text",
-        word_count(F.col("p.text")).alias("approx_words"), "p.canonical", "p.links", *also,
+    page, url = F.col("page"), F.col("url")
+    blog = lambda k: "blog" in k
+    known = pages if isinstance(kind, str) else pages.filter(kind.isin(*R.RULES))
+    names = [] if isinstance(kind, str) else [kind.alias("page_kind")]
+    of = (lambda f: f(kind)) if isinstance(kind, str) else lambda f: _by_kind(F.col("page_kind"), f)
+    parsed = known.select("page_id", "url", *also, *names, page_arrays(F.col("html")).alias("page"))
+    text = of(lambda k: R.main_text(page, R.RULES[k]))
+    title = of(lambda k: R.title(page, blog(k)))
+    date = of(lambda k: R.date(page, ("datePublished", "dateCreated") if blog(k) else ("datePublished",)))
+    found = parsed.select("page_id", "url", *also, title.alias("title"), date.alias("date"), text.alias("text"), R.canonical(page, url).alias("canonical"), R.hrefs(page).alias("links"))
+    return found.select(
+        "page_id", "url", short_url_id(url).alias("doc_id"), "title", "date", "text",
+        word_count(F.col("text")).alias("approx_words"), "canonical", "links", *also,
     )
 
 
+def _by_kind(kind: Column, f: Callable[[str], Column]) -> Column:
+    """``f`` of each row's kind of page."""
+    out = None
+    for k in R.RULES:
+        out = F.when(kind == k, f(k)) if out is None else out.when(kind == k, f(k))
+    return out
+
+
 def fetched_documents(pages: DataFrame, sites: dict[str, tuple[str, int]], fetched_at: int) -> DataFrame:
     """Pages ``(page_id, source, url, html)`` of several sources in the shape of documents, in one pass.
 
