@@ -1,6 +1,6 @@
 import random
 import re
-from urllib.parse import parse_qsl, urlencode, urlsplit, urlunsplit
+from urllib.parse import parse_qsl, quote, urlencode, urljoin, urlsplit, urlunsplit
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -131,7 +131,19 @@ def test_titles(spark):
 
 def test_links_and_page_urls(spark):
     assert column(spark, ["/x", "//h/y", "z", "http://o/"], lambda c: resolve_link(F.lit("https://b/a/"), c)) == ["https://b/x", "https://h/y", "https://b/a/z", "http://o/"]
-    assert column(spark, ["a b"], lambda c: page_url(c, F.lit("https://e/wiki/"))) == ["https://e/wiki/a_b"]
+    titles = ["a b", "é/(x):,-~*+", "100%3A", "", None]
+    want = [None if t is None else "https://e/wiki/" + quote(t.replace(" ", "_"), safe=":/()%_,-") for t in titles]
+    assert column(spark, titles, lambda c: page_url(c, F.lit("https://e/wiki/"))) == want
+
+
+def test_links_resolve_as_the_standard_says(spark):
+    bases = ["https://b/a/c?x=1#f", "http://b", "https://b/a//d/", "https://b:8/a/../e.html"]
+    parts = ["", "x", "./y", "../z", "../../../w", "/r/./s/../t", "//h/p/../q", "?k=v", "#g", "a/b//c/", "..", ".", "mailto:m@x", "http://o/u/../v", "HTTPS://O/k", "/", "x?y#z", "a:b"]
+    pairs = [(b, h) for b in bases for h in parts] + [(None, "x"), ("https://b/", None)]
+    table = spark.createDataFrame(pairs, "b string, h string")
+    got = {(r["b"], r["h"]): r["u"] for r in table.select("b", "h", resolve_link(F.col("b"), F.col("h")).alias("u")).collect()}
+    for b, h in pairs:
+        assert got[b, h] == (None if b is None or h is None else urljoin(b, h)), (b, h)
 
 
 @pytest.mark.parametrize("rows", [[], [(1, None)], [(1, "a-b é c")]])

@@ -194,9 +194,10 @@ def test_states_and_records(spark, tmp_path):
     lines = tmp_path / "pairs.txt"
     lines.write_text("-1 a\n4294967296 b\n4294967295 c\n007 d\n")
     assert {tuple(r) for r in files.token_pairs(spark, str(lines)).collect()} == {(4294967295, "c"), (7, "d")}
+    assert {tuple(r) for r in files.signed_token_pairs(spark, str(lines)).collect()} == {(-1, "a"), (7, "d")}
     asked = tmp_path / "q.txt"
     asked.write_text("a\n\nb && c\n")
-    assert files.query_lines(spark, str(asked)) == ["a", "", "b && c"]
+    assert sorted(map(tuple, files.query_table(spark, str(asked)).collect())) == [(1, "a"), (2, ""), (3, "b && c")]
 
 
 def test_config():

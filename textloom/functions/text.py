@@ -119,3 +119,8 @@ def retry_delay(retries: Column, base: int = 30, cap: int = 3600) -> Column:
     """``min(cap, base * 2 ** retries)`` seconds; retries below 0 count as 0."""
     doublings = F.least(F.greatest(retries, F.lit(0)), F.lit(40)).cast("int")
     return F.least(F.lit(cap).cast("long"), F.lit(base).cast("long") * F.pow(F.lit(2.0), doublings).cast("long"))
+
+
+def retry_wait(attempt: Column) -> Column:
+    """Seconds to wait after a failed attempt, numbered from 0: ``min(5, 0.5 * 2 ** attempt)``."""
+    return F.least(F.lit(5.0), F.lit(0.5) * F.pow(F.lit(2.0), attempt))

@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from urllib.parse import quote, urljoin
-
-import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 # Query keys that only track visits.
 TRACKING_PREFIX = "utm_"
@@ -75,25 +71,62 @@ def title_from_url(url: Column) -> Column:
     return percent_decode(part)
 
 
-@F.pandas_udf(StringType())
-def resolve_link(base: pd.Series, href: pd.Series) -> pd.Series:
-    """Absolute form of a link found on the page ``base``."""
-    pairs = zip(base, href, strict=True)
-    return pd.Series([None if h is None or b is None else urljoin(b, h.strip()) for b, h in pairs], dtype=object)
-
-
-@F.pandas_udf(StringType())
-def page_url(title: pd.Series, root: pd.Series) -> pd.Series:
-    """An encyclopedia page's URL from its title."""
-    pairs = zip(title, root, strict=True)
-    return pd.Series([r + quote(t.replace(" ", "_"), safe=":/()%_,-") for t, r in pairs], dtype=object)
-
-
-def listing_urls(spark, first: int, last: int, pattern: str, first_page: str | None = None):
-    """``page, url`` of a listing's pages; ``pattern`` holds ``{}`` for the number."""
-    number = F.col("page").cast("string")
-    head, _, tail = pattern.partition("{}")
-    url = F.concat(F.lit(head), number, F.lit(tail))
-    if first_page is not None:
-        url = F.when(F.col("page") == 1, F.lit(first_page)).otherwise(url)
-    return spark.range(first, last + 1).select(F.col("id").alias("page")).withColumn("url", url)
+def _joined_path(base: Column, path: Column) -> Column:
+    """A path, seen from the folder of the path ``base`` unless it begins with a slash, without dots and empty parts within."""
+    folder = F.filter(F.split(base, "/"), lambda x, i: (i < F.size(F.split(base, "/")) - 1) | (x == ""))
+    parts = F.when(F.startswith(path, F.lit("/")), F.split(path, "/")).otherwise(F.concat(folder, F.split(path, "/")))
+    inner = lambda p: F.filter(p, lambda x, i: (x != "") | (i == 0) | (i == F.size(p) - 1))
+    up = lambda kept: F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))
+    step = lambda kept, x: F.when(x == "..", up(kept)).when(x == ".", kept).otherwise(F.concat(kept, F.array(x)))
+
+    def walked(p: Column) -> Column:
+        kept = F.aggregate(p, F.array().cast("array<string>"), step)
+        kept = F.when(F.element_at(p, -1).isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+        return F.coalesce(F.nullif(F.array_join(kept, "/"), F.lit("")), F.lit("/"))
+
+    # bound once, as it is used several times
+    return F.get(F.transform(F.transform(F.array(parts), inner), walked), F.lit(0))
+
+
+def resolve_link(base: Column, href: Column) -> Column:
+    """Absolute form of a link found on the page ``base``; null where either is null."""
+    link = F.btrim(href, F.lit(" \t\r\n\f\u000b"))
+    whole = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?:(//[^/?#]*))?([^?#]*)(\?[^#]*)?(#.*)?$"
+    of = lambda text, n: F.regexp_extract(text, whole, n)
+    scheme = F.lower(of(base, 1))
+    elsewhere = (of(link, 1) != "") & (F.lower(of(link, 1)) != scheme)
+    filled = lambda c: F.when(F.length(c) > 1, c).otherwise("")  # noqa: E731  a sign without what it announces goes
+    query, fragment = filled(of(link, 4)), filled(of(link, 5))
+    head = F.concat(F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(""), of(base, 2))
+    path = _joined_path(of(base, 3), of(link, 3))
+    path = F.when((of(base, 2) != "") & ~F.startswith(path, F.lit("/")), F.concat(F.lit("/"), path)).otherwise(path)
+    same_page = F.concat(head, of(base, 3), F.when(query != "", query).otherwise(filled(of(base, 4))), fragment)
+    return (
+        F.when(link.isNull() | base.isNull(), F.lit(None).cast("string")).when(link == "", base).when(base == "", link).when(elsewhere, link)
+        .when(of(link, 2) != "", F.concat(scheme, F.when(scheme != "", ":").otherwise(""), of(link, 2), of(link, 3), query, fragment))
+        .when(of(link, 3) == "", same_page)
+        .otherwise(F.concat(head, path, query, fragment))
+    )
+
+
+#: Signs that an encyclopedia's URLs keep, in the order in which their escapes are undone; ``%`` is last, so that none is undone twice.
+KEPT_SIGNS = ":/(),%"
+
+
+def page_url(title: Column, root: Column) -> Column:
+    """An encyclopedia page's URL from its title; null where either is null."""
+    path = _form_encoded(F.translate(title, " ", "_"))
+    for sign in KEPT_SIGNS:
+        path = F.replace(path, F.lit(f"%{ord(sign):02X}"), F.lit(sign))
+    return F.concat(root, path)
+
+
+def listing_urls(listings: DataFrame) -> DataFrame:
+    """``listings (pattern, first_page, first, last, ...)`` with a row for each ``page``, and its ``url``.
+
+    ``pattern`` holds ``{}`` for the number; page 1 is ``first_page`` where that is not null.
+    """
+    paged = listings.withColumn("page", F.explode(F.sequence("first", "last")))
+    usual = F.replace("pattern", F.lit("{}"), F.col("page").cast("string"))
+    url = F.when((F.col("page") == 1) & F.col("first_page").isNotNull(), F.col("first_page")).otherwise(usual)
+    return paged.withColumn("url", url).drop("pattern", "first_page", "first", "last")

@@ -5,6 +5,9 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field, fields
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 
 # The defaults.
 @dataclass(frozen=True)
@@ -63,3 +66,13 @@ def config_from(given: dict | str) -> Config:
     given = given or {}
     sources = {name: _typed(Source, values or {}) for name, values in (given.get("sources") or {}).items()}
     return Config(_typed(Logic, given.get("logic") or {}), sources)
+
+
+def typed_source(given: Column) -> Column:
+    """The struct of a ``Source`` from its JSON text in a column: each value in its default's type, the default where there is none."""
+    default = Source()
+    names = [f.name for f in fields(Source) if not isinstance(getattr(default, f.name), tuple)]
+    read = F.from_json(F.coalesce(given, F.lit("{}")), ", ".join(f"{n} string" for n in names))
+    kinds = {bool: "boolean", int: "int", str: "string", float: "double"}
+    own = lambda n: F.coalesce(read[n].try_cast(kinds[type(getattr(default, n))]), F.lit(getattr(default, n)))
+    return F.struct(*[own(n).alias(n) for n in names])

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from textloom.functions import text as T
 from textloom.functions.urls import listing_urls, normalize_url, page_url, strip_fragment, title_from_url
 from textloom.operators import bitmaps, crawl, index, search, tokenize, web, zipf
-from textloom.plans.config import config_from
+from textloom.plans.config import typed_source
 from textloom.plans.lakehouse import Corpus
 from textloom.plans.scratch import scratch_path
 from textloom.sources import files
@@ -166,15 +166,17 @@ def stem_en_ru(spark, sf_dir):
     return kept.filter(T.ranked_length_ok(F.col("exact"))).withColumn("stem", T.stem_normalised(F.col("exact")))
 
 
-_CYRILLIC = ("игрок", "игроки", "игроков", "футбола", "футбольных", "МАТЧА", "матча", "мяча", "лига", "команда", "сборная", "историями", "клубами", "забивает", "а", "co-op", "running", "goes", "2024")
+#: Letters for Latin ones, so that words get endings of the other script.
+_LETTERS = (T.LOWER, "абцдефгхийклмнопярстувыьюз")
 
 
 @query(
-    "WITH tok AS (SELECT unnest([" + ", ".join(f"'{w}'" for w in _CYRILLIC) + "]) AS token), n AS (SELECT token, "
-    + _NORM + " AS w FROM tok) SELECT token, CASE WHEN strlen(w) < 2 THEN '' ELSE " + _sql_stem("w") + " END AS stem FROM n"
+    f"WITH {_TOKENS}, words AS (SELECT DISTINCT translate({_LOWER.format('token')}, '{_LETTERS[0]}', '{_LETTERS[1]}') AS token FROM tok), n AS (SELECT token, "
+    + _NORM + " AS w FROM words) SELECT token, CASE WHEN strlen(w) < 2 THEN '' ELSE " + _sql_stem("w") + " END AS stem FROM n"
 )
-def stem_cyrillic_literals(spark, sf_dir):
-    words = spark.createDataFrame([(w,) for w in _CYRILLIC], "token string")
+def stem_cyrillic(spark, sf_dir):
+    """Words in Cyrillic letters."""
+    words = _tokens(spark, sf_dir).select(F.translate(T.ascii_lower(F.col("token")), *_LETTERS).alias("token")).distinct()
     return words.withColumn("stem", T.stem(F.col("token")))
 
 
@@ -453,10 +455,15 @@ def ranked_lines(spark, sf_dir):
     return search.result_lines(_ranked(spark, sf_dir, asked, topk=3), listed)
 
 
-@query("SELECT rank, CAST(ms AS DOUBLE) AS ms, query_no, hits, query FROM (VALUES (1, 9.5, 4, 0, 'd'), (2, 7.0, 1, 3, 'a'), (3, 7.0, 3, 1, 'c')) v(rank, ms, query_no, hits, query)")
+@query(
+    """SELECT CAST(row_number() OVER (ORDER BY ms DESC, query_no) AS INTEGER) AS rank, ms, query_no, hits, query
+    FROM (SELECT doc_id AS query_no, (n_chars * 7919 % 1000) / 8.0::DOUBLE AS ms, n_chars % 10 AS hits, source AS query FROM documents)
+    ORDER BY ms DESC, query_no LIMIT 25"""
+)
 def slow_queries(spark, sf_dir):
-    timed = [(1, 7.0, 3, "a"), (2, 1.5, 9, "b"), (3, 7.0, 1, "c"), (4, 9.5, 0, "d")]
-    return search.slowest(spark.createDataFrame(timed, "query_no int, ms double, hits int, query string"), 3)
+    ms = (F.col("n_chars") * 7919 % 1000) / F.lit(8.0)
+    timed = _docs(spark, sf_dir).select(F.col("doc_id").alias("query_no"), ms.alias("ms"), (F.col("n_chars") % 10).alias("hits"), F.col("source").alias("query"))
+    return search.slowest(timed, 25)
 
 
 # ---- documents and URLs ---------------------------------------------------------------------------
@@ -497,12 +504,12 @@ def url_dedupe(spark, sf_dir):
     return url_normalize(spark, sf_dir).groupBy("url_norm").agg(F.count("*").alias("n"), F.min("page_id").alias("first_page"))
 
 
-_TITLES = {"https://h/wiki/%D0%A4_x": "Ф x", "https://h/a/b_c": "b c", "https://h/a/": "https://h/a/", "https://h/a/100%zz": "100%zz", "https://h/a/x+y": "x y"}
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{u}', '{t}')" for u, t in _TITLES.items()) + ") v(url, title)")
-def title_literals(spark, sf_dir):
-    return spark.createDataFrame([(u,) for u in _TITLES], "url string").withColumn("title", title_from_url(F.col("url")))
+@query("SELECT page_id, translate(url, '/_+', '   ') || ' Ф%zz' AS title FROM pages")
+def wiki_titles(spark, sf_dir):
+    """Titles of URLs with escapes, broken ones among them."""
+    path = F.replace(F.replace("url", F.lit(":"), F.lit("%3A")), F.lit("/"), F.lit("_"))
+    url = F.concat(F.lit("https://h/wiki/"), path, F.lit("+%D0%A4%zz"))
+    return _pages(spark, sf_dir).select("page_id", title_from_url(url).alias("title"))
 
 
 def _clean_sql(x: str, squeezed: bool = True) -> str:
@@ -558,28 +565,39 @@ def html_meta(spark, sf_dir):
     return web.article_records(_pages(spark, sf_dir), "blog").select("page_id", "doc_id", "title", "date", "canonical")
 
 
-_MARKED = """<head><title> T &amp; t </title><meta property="og:title" content="OG  x"><link rel="canonical" href="{c}"><meta name="date" content=" {d} ">
-<script type="application/ld+json">{{"datePublished": "2020"}}</script></head><body><p>Подписка на телеграм-канал, не пропустите ничего нового</p>
-<p>words of a paragraph that is longer than forty characters</p><P>WORDS of a paragraph that is longer than forty characters</p><p>short</p></body>"""
+#: Markup that the test pages lack, with a page's number in it.
+_MARKED = """<head><title> T &amp; {id} </title>{og}<link rel="x canonical" href="{link}{id}"><meta name="date" content=" {date} ">
+<script type="application/ld+json">{{"datePublished": "j{id}"}}</script></head><body><p>Подписка на телеграм-канал, не пропустите ничего нового {id}</p>
+<p>words of a paragraph that is longer than forty characters {id}</p><P>WORDS of a paragraph that is longer than forty characters {id}</p><p>short</p></body>"""
 
 
 @query(
-    """SELECT * FROM (VALUES (1, 'OG x', '2024-01-02', 'words of a paragraph that is longer than forty characters', 'https://h.example/c'),
-        (2, 'OG x', '2020', 'words of a paragraph that is longer than forty characters', 'https://x/y')) v(page_id, title, date, text, canonical)"""
+    r"""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'OG ' || page_id ELSE 'T & ' || page_id END AS title,
+           CASE WHEN page_id % 4 = 0 THEN 'j' || page_id ELSE 'd' || page_id END AS date, 'words of a paragraph that is longer than forty characters ' || page_id AS text,
+           CASE WHEN page_id % 2 = 0 THEN lower(regexp_extract(url, '^([a-zA-Z]+)://', 1)) || regexp_extract(url, '^[a-zA-Z]+(://[^/?#]*)', 1) || '/c' || page_id
+                ELSE 'https://x/y' || page_id END AS canonical
+    FROM pages"""
 )
-def html_literals(spark, sf_dir):
-    """Titles, dates, canonical links and promotional lines, which the test pages lack."""
-    rows = [(1, "https://h.example/a", _MARKED.format(c="/c", d="2024-01-02")), (2, "https://h.example/b", _MARKED.format(c="//x/y", d=""))]
-    pages = spark.createDataFrame(rows, "page_id int, url string, html string")
-    return web.article_records(pages, "blog").select("page_id", "title", "date", "text", "canonical")
+def html_marked(spark, sf_dir):
+    """Titles, dates, canonical links and promotional lines of pages that are given such."""
+    i, number = F.col("page_id"), F.col("page_id").cast("string")
+    given = {
+        "{og}": F.when(i % 3 == 0, '<meta property="og:title" content="OG  {id}">').otherwise(""), "{link}": F.when(i % 2 == 0, "/c").otherwise("//x/y"),
+        "{date}": F.when(i % 4 == 0, "").otherwise("d{id}"), "{{": F.lit("{"), "}}": F.lit("}"), "{id}": number,
+    }
+    html = F.lit(_MARKED)
+    for mark, value in given.items():
+        html = F.replace(html, F.lit(mark), value)
+    return web.article_records(_pages(spark, sf_dir).withColumn("html", html), "blog").select("page_id", "title", "date", "text", "canonical")
 
 
-_SITES = {"s0": ("news", 250), "s1": ("blog", 100)}
+_SITES = {"s0": ("news", 250), "s1": ("blog", 100), "s2": ("encyclopedia", 100)}
 
 
 @query(
-    "WITH news AS (" + _html_sql(True, False, 40, 40, True, True, False) + "), blog AS (" + _html_sql(True, False, 30, 30, True, True, False) + """),
-    every AS (SELECT 's0' AS source, * FROM news WHERE page_id % 3 = 0 AND approx_words >= 250 UNION ALL SELECT 's1', * FROM blog WHERE page_id % 3 = 1 AND approx_words >= 100)
+    "WITH news AS (" + _html_sql(True, False, 40, 40, True, True, False) + "), blog AS (" + _html_sql(True, False, 30, 30, True, True, False) + "), wiki AS (" + _html_sql(False, True, 40, 40, True, True, True) + """),
+    every AS (SELECT 's0' AS source, * FROM news WHERE page_id % 3 = 0 AND approx_words >= 250 UNION ALL SELECT 's1', * FROM blog WHERE page_id % 3 = 1 AND approx_words >= 100
+        UNION ALL SELECT 's2', * FROM wiki WHERE page_id % 3 = 2 AND approx_words >= 100)
     SELECT source, count(*) AS n, CAST(sum(approx_words) AS BIGINT) AS words, min(sha256(text)) AS least_hash FROM every GROUP BY source"""
 )
 def fetched_by_source(spark, sf_dir):
@@ -588,24 +606,20 @@ def fetched_by_source(spark, sf_dir):
     return found.groupBy("source").agg(F.count("*").alias("n"), F.sum("word_count").alias("words"), F.min("content_hash").alias("least_hash"))
 
 
-_ARTICLES = {
-    # URL: news, news of the robot, blog, blog of the robot
-    "https://www.n.example/football/article-1-x.html": (True, True, False, False),
-    "HTTP://N.EXAMPLE/football/article-2.html": (False, True, False, False),
-    "https://n.example/football/article-x.html": (True, False, False, False),
-    "https://n.example/video/football/article-3.html": (False, False, False, False),
-    "https://b.example/football/blogs/12.html": (False, False, True, True),
-    "https://m.b.example/football/blogs/12.html?x=1": (False, False, False, True),
-    "https://b.example/tennis/blogs/12.html": (False, False, False, False),
-    "": (False, False, False, False),
-}
+#: Forms of article URLs, by the page's number; other pages keep theirs.
+_ARTICLES = (
+    "https://www.n.example/football/article-{}-x.html", "HTTP://N.EXAMPLE/football/article-{}.html", "https://n.example/video/football/article-{}.html",
+    "https://b.example/football/blogs/{}.html", "https://m.b.example/football/blogs/{}.html?x=1",
+)
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{u}', {', '.join(map(str, v))})" for u, v in _ARTICLES.items()) + ") v(url, news, news_strict, blog, blog_loose)")
+@query("SELECT page_id, page_id % 6 = 0 AS news, page_id % 6 IN (0, 1) AS news_strict, page_id % 6 = 3 AS blog, page_id % 6 IN (3, 4) AS blog_loose FROM pages")
 def article_urls(spark, sf_dir):
-    u = F.col("url")
+    i, u = F.col("page_id"), F.col("u")
+    form = F.get(F.array(*map(F.lit, _ARTICLES)), (i % 6).cast("int"))
+    pages = _pages(spark, sf_dir).select("page_id", F.coalesce(F.replace(form, F.lit("{}"), i.cast("string")), "url").alias("u"))
     rules = {"news": web.news_article(u, "n.example"), "news_strict": web.news_article_strict(u, "n.example"), "blog": web.blog_article(u, "b.example"), "blog_loose": web.blog_article_loose(u, "b.example")}
-    return spark.createDataFrame([(x,) for x in _ARTICLES], "url string").withColumns(rules)
+    return pages.select("page_id", *[rule.alias(name) for name, rule in rules.items()])
 
 
 @query("SELECT page_id, regexp_replace(url, '#.*$', '') AS url, 'https://w/' || replace(regexp_extract(url, '//([^/]+)', 1), '_', ' ') AS link FROM pages")
@@ -614,19 +628,33 @@ def page_urls(spark, sf_dir):
     return _pages(spark, sf_dir).select("page_id", strip_fragment(F.col("url")).alias("url"), page_url(host, F.lit("https://w/")).alias("link"))
 
 
-@query("SELECT range AS page, CASE WHEN range = 1 THEN 'https://n/all' ELSE 'https://n/page-' || range || '.html' END AS url FROM range(1, 41)")
+@query(
+    """SELECT host, page, CASE WHEN page = 1 THEN 'https://' || host || '/all' ELSE 'https://' || host || '/page-' || page || '.html' END AS url
+    FROM (SELECT host, unnest(range(1, n + 1)) AS page FROM (SELECT regexp_extract(url, '//([^/]+)', 1) AS host, count(*) AS n FROM pages GROUP BY 1))"""
+)
 def listing_page_urls(spark, sf_dir):
-    return listing_urls(spark, 1, 40, "https://n/page-{}.html", "https://n/all")
+    """A listing for each host, of as many pages as the host has."""
+    at = lambda tail: F.concat(F.lit("https://"), "host", F.lit(tail))
+    hosts = _pages(spark, sf_dir).groupBy(F.regexp_extract("url", "//([^/]+)", 1).alias("host")).agg(F.count("*").alias("last"))
+    listings = hosts.select("host", at("/page-{}.html").alias("pattern"), at("/all").alias("first_page"), F.lit(1).cast("long").alias("first"), "last")
+    return listing_urls(listings)
 
 
-_SPACES = [" a \t b\u00a0\u2003c\n", "", "\x0b x \f", "A-b C", None]
+_SPACE_SQL = r"[\s\x{B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
 
-@query("SELECT * FROM (VALUES ('a b c', 'a \t b\u00a0\u2003c', 'a_b_c'), ('', '', 'source'), ('x', 'x', 'x'), ('A-b C', 'A-b C', 'a_b_c'), (NULL, NULL, 'source')) v(squeezed, trimmed, name)")
-def space_literals(spark, sf_dir):
-    c = F.col("c")
-    rows = spark.createDataFrame([(x,) for x in _SPACES], "c string")
-    return rows.select(T.squeeze_space(c).alias("squeezed"), T.trim_ascii_space(c).alias("trimmed"), T.source_name(c).alias("name"))
+@query(
+    f"""WITH c AS (SELECT doc_id, source, ' ' || chr(9) || replace(text, '.', '.' || chr(160) || chr(8195) || chr(10)) || chr(160) || chr(11) AS c FROM documents)
+    SELECT doc_id, sha256(trim(regexp_replace(c, '{_SPACE_SQL}', ' ', 'g'))) AS squeezed,
+           sha256(trim(c, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS trimmed, trim(regexp_replace(lower(source || ' .' || doc_id), '[^a-z0-9_]+', '_', 'g'), '_') AS name
+    FROM c"""
+)
+def space_forms(spark, sf_dir):
+    """Texts with white space of several kinds put in."""
+    c = F.concat(F.lit(" \t"), F.replace("text", F.lit("."), F.lit(".  \n")), F.lit(" \x0b"))
+    name = T.source_name(F.concat("source", F.lit(" ."), F.col("doc_id").cast("string")))
+    rows = _docs(spark, sf_dir).select("doc_id", c.alias("c"), name.alias("name"))
+    return rows.select("doc_id", F.sha2(T.squeeze_space(F.col("c")), 256).alias("squeezed"), F.sha2(T.trim_ascii_space(F.col("c")), 256).alias("trimmed"), "name")
 
 
 @query("SELECT source, CASE WHEN n = '' THEN 'source' ELSE n END AS name FROM (SELECT DISTINCT source, trim(regexp_replace(lower(coalesce(source, '')), '[^a-z0-9_]+', '_', 'g'), '_') AS n FROM documents)")
@@ -634,13 +662,11 @@ def source_names(spark, sf_dir):
     return _docs(spark, sf_dir).select("source").distinct().withColumn("name", T.source_name(F.col("source")))
 
 
-_BYTES = {"ok é": b"ok \xc3\xa9", "a\ufffdb": b"a\xffb", "x\ufffd": b"x\xc3", "\ufffdz": b"\x80z", "f 😀": b"f \xf0\x9f\x98\x80"}
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{b.hex()}', '{t}')" for t, b in _BYTES.items()) + ") v(hex, text)")
+@query("SELECT doc_id, sha256(chr(65533) || coalesce(text, '') || chr(65533)) AS content_hash FROM documents")
 def utf8_repair(spark, sf_dir):
-    rows = spark.createDataFrame([(b.hex(), bytearray(b)) for b in _BYTES.values()], "hex string, data binary")
-    return rows.select("hex", T.repaired_utf8(F.col("data")).alias("text"))
+    """Bytes of texts with a stray one before and an unfinished one after."""
+    data = F.concat(F.unhex(F.lit("FF")), F.encode(F.coalesce("text", F.lit("")), "UTF-8"), F.unhex(F.lit("C3")))
+    return _docs(spark, sf_dir).select("doc_id", T.content_hash(T.repaired_utf8(data)).alias("content_hash"))
 
 
 # ---- files ----------------------------------------------------------------------------------------
@@ -704,14 +730,39 @@ def index_round_trip(spark, sf_dir):
     return counts.join(F.broadcast(bad)).join(F.broadcast(took))
 
 
-@query(_bool_sql("[the] AND [of]").replace("SELECT d.doc_id FROM", "SELECT 1 AS query_no, d.doc_id FROM") + " UNION ALL SELECT 3, NULL")
+@query(
+    f"""WITH {_TOKENS}, {_TERMS}, q AS (
+        SELECT row_number() OVER (ORDER BY doc_id) AS query_no, {_LOWER.format("list_filter(r, lambda x: length(x) >= 5)[1]")} AS term
+        FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_RX}') AS r FROM documents)),
+    d AS (SELECT DISTINCT term, doc_id FROM terms)
+    SELECT query_no, doc_id FROM q LEFT JOIN d USING (term) WHERE term IS NOT NULL"""
+)
 def query_file(spark, sf_dir):
-    """Queries of a file, blank lines counted, their hits written as a tab-separated table and read back."""
+    """A query of a word for each document in a file, blank lines counted, hits written as a tab-separated table and read back."""
     asked, hits = scratch_path(spark, "queries"), scratch_path(spark, "hits")
-    spark.createDataFrame([("the && of\n\nnosuchterm",)], "value string").coalesce(1).write.text(asked)
-    lines = files.query_lines(spark, asked)
-    files.write_table(_corpus(spark, sf_dir).boolean_batch(lines).select("query_no", "doc_id"), hits)
-    return spark.read.schema("query_no int, doc_id long").option("sep", "\t").option("header", True).csv(hits)
+    word = F.get(F.filter(T.tokens(F.col("text")), lambda x: F.length(x) >= 5), F.lit(0))
+    _docs(spark, sf_dir).select("doc_id", F.coalesce(word, F.lit(" ")).alias("value")).coalesce(1).sortWithinPartitions("doc_id").select("value").write.text(asked)
+    files.write_table(_corpus(spark, sf_dir).boolean_many(files.query_table(spark, asked)).select("query_no", "doc_id"), hits)
+    return spark.read.schema("query_no long, doc_id long").option("sep", "\t").option("header", True).csv(hits)
+
+
+@query(f"WITH {_TOKENS} SELECT doc_id - 500 AS doc_id, token, count(*) AS n FROM tok GROUP BY ALL")
+def signed_token_file(spark, sf_dir):
+    """Token lines with ids below 0, written and read back."""
+    path = scratch_path(spark, "signed-tokens")
+    files.write_token_pairs(_tokens(spark, sf_dir).withColumn("doc_id", F.col("doc_id") - 500), path)
+    return files.signed_token_pairs(spark, path).groupBy("doc_id", "token").agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""WITH {_TOKENS} SELECT count(*) AS tokens, round(count(*) / 2.5::DOUBLE, 6) AS tokens_per_s,
+        round(2500.0::DOUBLE / (SELECT count(*) FROM documents), 6) AS ms_per_doc FROM tok"""
+)
+def index_rates(spark, sf_dir):
+    """The figures of an index that took two and a half seconds."""
+    docs = _docs(spark, sf_dir)
+    figures = index.build_figures(index.index_meta(tokenize.token_stream(docs), docs), 2500)
+    return figures.select(F.col("total_tokens").alias("tokens"), F.round("tokens_per_s", 6).alias("tokens_per_s"), F.round("ms_per_doc", 6).alias("ms_per_doc"))
 
 
 @query("SELECT page_id, CASE WHEN page_id % 3 > 0 THEN 200 END AS status, CASE WHEN page_id % 3 > 0 THEN strlen(url) ELSE -1 END AS n FROM pages")
@@ -734,9 +785,19 @@ def _no_sleep(seconds: float) -> None:
     return None
 
 
-@query("SELECT range AS attempt, least(5.0::DOUBLE, 0.5::DOUBLE * pow(2, range)) AS seconds FROM range(0, 8)")
+@query("SELECT page_id, page_id % 12 AS attempt, least(5.0::DOUBLE, 0.5::DOUBLE * pow(2, page_id % 12)) AS seconds FROM pages")
 def retry_waits(spark, sf_dir):
-    return spark.createDataFrame([(n, files.retry_sleep(n)) for n in range(8)], "attempt long, seconds double")
+    attempt = F.col("page_id") % 12
+    return _pages(spark, sf_dir).select("page_id", attempt.alias("attempt"), T.retry_wait(attempt).alias("seconds"))
+
+
+@query(
+    """SELECT source, url_norm, (row_number() OVER (PARTITION BY source ORDER BY url_norm) - 1) * 0.25::DOUBLE AS due
+    FROM (SELECT 's' || CAST(page_id % 3 AS VARCHAR) AS source, url || '|' || CAST(page_id AS VARCHAR) AS url_norm FROM pages)"""
+)
+def request_times(spark, sf_dir):
+    """When each task's request may be sent, a quarter of a second apart in a source."""
+    return files.with_due_times(_tasks(spark, sf_dir).select("source", "url_norm"), "source", "url_norm", 0.25)
 
 
 @query("SELECT count(*) AS docs, CAST(sum(strlen(text)) AS BIGINT) AS text_bytes FROM documents")
@@ -747,11 +808,18 @@ def progress_counts(spark, sf_dir):
     return spark.createDataFrame([(seen.get["docs"], seen.get["text_bytes"])], "docs long, text_bytes long")
 
 
-@query("SELECT * FROM (VALUES ('n', 'news', 900, 60), ('w', 'encyclopedia', 450, 60)) v(source, kind, min_words, last_page)")
+@query(
+    """SELECT source, CASE WHEN n % 2 = 0 THEN 'encyclopedia' ELSE 'news' END AS kind, CAST(CASE WHEN n % 2 = 0 THEN n ELSE 900 END AS INTEGER) AS min_words,
+           CAST(CASE WHEN n % 2 = 0 THEN 60 ELSE n END AS INTEGER) AS last_page
+    FROM (SELECT source, count(*) AS n FROM documents GROUP BY source)"""
+)
 def settings(spark, sf_dir):
-    given = config_from('{"sources": {"w": {"kind": "encyclopedia", "min_words": "450"}, "n": null, "off": {"enabled": false}}}')
-    rows = [(name, given.sources[name].kind, given.sources[name].min_words, given.sources[name].listing_pages_to) for name in given.enabled()]
-    return spark.createDataFrame(rows, "source string, kind string, min_words int, last_page int")
+    """Settings of each source, given as JSON in part, with types and defaults."""
+    n = F.col("n").cast("string")
+    wiki = F.concat(F.lit('{"kind": "encyclopedia", "min_words": "'), n, F.lit('", "other": 1}'))
+    given = F.when(F.col("n") % 2 == 0, wiki).otherwise(F.concat(F.lit('{"listing_pages_to": '), n, F.lit("}")))
+    sources = _docs(spark, sf_dir).groupBy("source").agg(F.count("*").alias("n")).select("source", typed_source(given).alias("s"))
+    return sources.select("source", "s.kind", "s.min_words", F.col("s.listing_pages_to").alias("last_page"))
 
 
 @query("SELECT page_id AS doc_id, strlen(html) AS n FROM pages")
@@ -783,13 +851,15 @@ def links_extracted(spark, sf_dir):
 
 # ---- crawl ----------------------------------------------------------------------------------------
 
-_CATEGORIES = ("Категория:Футбол", "Категория:2010 год в футболе", "Категория:Википедия:Статьи", "Категория:Футбольные клубы по странам", "Категория:Списки игроков", "", "Категория:Игроки по алфавиту", "Категория:Тренеры")
+#: Titles of categories, by a page's number.
+_CATEGORIES = ("Категория:Футбол {}", "Категория:19{} год в футболе", "Категория:Википедия:{}", "Категория:Клубы по странам {}", "Категория:Списки {}", " ")
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{c}', {p})" for c, p in zip(_CATEGORIES, (0, 999, 999, 2, 2, 999, 999, 0))) + ") AS v(title, priority)")
+@query("SELECT page_id, CAST([0, 999, 999, 2, 2, 999][page_id % 6 + 1] AS INTEGER) AS priority FROM pages")
 def category_priority(spark, sf_dir):
-    rows = spark.createDataFrame([(c,) for c in _CATEGORIES], "title string")
-    return rows.withColumn("priority", web.category_priority(F.col("title")))
+    i = F.col("page_id")
+    title = F.replace(F.get(F.array(*map(F.lit, _CATEGORIES)), (i % 6).cast("int")), F.lit("{}"), F.lpad((i % 100).cast("string"), 2, "0"))
+    return _pages(spark, sf_dir).select("page_id", web.category_priority(title).alias("priority"))
 
 
 @query("SELECT source, count(*) AS n FROM documents GROUP BY source")
@@ -979,21 +1049,25 @@ def listing_stops(spark, sf_dir):
     return crawl.listing_pages_read(events.withColumn("status", F.when(missing, 404).otherwise(200)), by=("listing",))
 
 
-_TREE = [("Категория:Футбол", "Категория:Тренеры"), ("Категория:Футбол", "Категория:Списки игроков"), ("Категория:Футбол", "Категория:По годам"), ("Категория:Футбол", "Категория:Игроки по годам"),
-         ("Категория:Списки игроков", "Категория:А"), ("Категория:Тренеры", "Категория:Б"), ("Категория:Б", "Категория:Футбол"), ("Категория:Б", "Категория:В"), ("Категория:В", "Категория:Г")]
+_CATEGORY_SQL = """category AS (
+    SELECT page_id, page_id // 3 AS parent, 'Категория:' || CASE WHEN page_id % 7 = 3 THEN 'Портал:' WHEN page_id % 5 = 4 THEN 'Списки ' ELSE 'К ' END || page_id AS node,
+           CASE WHEN page_id % 7 = 3 THEN 999 WHEN page_id % 5 = 4 THEN 2 ELSE 0 END AS priority FROM pages)"""
 
 
 @query(
-    """SELECT * FROM (VALUES ('Категория:Футбол', 0, 0, 1), ('Категория:Тренеры', 0, 1, 2), ('Категория:Б', 0, 2, 3), ('Категория:В', 0, 3, 4),
-        ('Категория:Списки игроков', 2, 1, 5), ('Категория:А', 0, 2, 6)) v(node, priority, depth, place)"""
+    f"""WITH RECURSIVE {_CATEGORY_SQL}, walk AS (
+        SELECT page_id, node, priority, 0 AS depth FROM category WHERE page_id = 0
+        UNION ALL SELECT c.page_id, c.node, c.priority, depth + 1 FROM walk w JOIN category c ON c.parent = w.page_id WHERE c.page_id > 0 AND c.priority < 999 AND depth < 4)
+    SELECT node, CAST(priority AS INTEGER) AS priority, CAST(depth AS INTEGER) AS depth FROM walk"""
 )
 def category_frontier(spark, sf_dir):
-    """Best first to depth 3, stopped after two and resumed."""
-    edges = spark.createDataFrame(_TREE, "parent string, child string")
-    seeds = spark.createDataFrame([("Категория:Футбол",)], "node string")
-    done, frontier = crawl.discover_categories(edges, seeds, 3, most=2)
-    done, _ = crawl.discover_categories(edges, None, 3, done=done, frontier=frontier)
-    return done.withColumn("place", F.col("place").cast("int"))
+    """A tree of categories over pages, best first to depth 4, stopped after two and resumed."""
+    i = F.col("page_id")
+    name = lambda i: F.concat(F.lit("Категория:"), F.when(i % 7 == 3, "Портал:").when(i % 5 == 4, "Списки ").otherwise("К "), i.cast("string"))
+    edges = _pages(spark, sf_dir).filter(i > 0).select(name(F.floor(i / 3)).alias("parent"), name(i).alias("child"))
+    seeds = _pages(spark, sf_dir).filter(i == 0).select(name(i).alias("node"))
+    done, frontier = crawl.discover_categories(edges, seeds, 4, most=2)
+    return crawl.discover_categories(edges, None, 4, done=done, frontier=frontier)[0].select("node", "priority", "depth")
 
 
 @query(

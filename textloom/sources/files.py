@@ -10,6 +10,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.operators.numbering import numbered, numbered_as_read
+
 
 def json_string_field(spark: SparkSession, path: str, field: str = "parsed_text", whole_files: bool = False) -> DataFrame:
     """``file, pos, value``: the string values of ``field`` at any depth, in order of appearance.
@@ -39,6 +41,15 @@ def token_pairs(spark: SparkSession, path: str) -> DataFrame:
     return rows.filter(F.col("doc_id") < 1 << 32)
 
 
+def signed_token_pairs(spark: SparkSession, path: str) -> DataFrame:
+    """``doc_id, token`` of lines ``id token``, where ids may have a sign and must fit 32 bits; other lines are left out."""
+    line = F.btrim(F.col("value"), F.lit(" \t\r\n\f\u000b"))
+    pair = r"^([+-]?\d+)\s+(\S+)"
+    rows = spark.read.text(path).filter(line.rlike(pair))
+    rows = rows.select(F.regexp_extract(line, pair, 1).try_cast("int").cast("long").alias("doc_id"), F.regexp_extract(line, pair, 2).alias("token"))
+    return rows.filter(F.col("doc_id").isNotNull())
+
+
 def token_words(spark: SparkSession, path: str) -> DataFrame:
     """``token`` of lines of one word, trimmed; empty ones are left out."""
     word = F.btrim(F.col("value"), F.lit(" \t\r\n\f\u000b"))
@@ -59,9 +70,11 @@ def write_zipf(table: DataFrame, path: str, mode: str = "errorifexists") -> None
     write_table(table.withColumn("zipf_fit", F.format_string("%.6f", "zipf_fit")), path, mode)
 
 
-def query_lines(spark: SparkSession, path: str) -> list[str]:
-    """A file of queries, one a line; the list is the driver's, as queries are."""
-    return [line for row in spark.read.text(path, wholetext=True).collect() for line in row["value"].splitlines()]
+def query_table(spark: SparkSession, path: str) -> DataFrame:
+    """``query_no, query`` of a file of queries, one a line, numbered from 1 with blank ones counted."""
+    place = F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")
+    lines = numbered_as_read(spark.read.text(path).select(F.col("value").alias("query"), *place), "file", "block", name="query_no")
+    return lines.select("query_no", "query")
 
 
 def append_records(records: DataFrame, path: str) -> None:
@@ -87,26 +100,39 @@ def retry_sleep(attempt: int) -> float:
     return min(5.0, 0.5 * 2**attempt)
 
 
+def with_due_times(urls: DataFrame, source: str, url: str, delay: float, name: str = "due") -> DataFrame:
+    """``urls`` with the seconds after the start at which each may be asked for: those of a source are ``delay`` apart, in the order of
+    their URLs. However the rows are dealt, a source gets no more requests in a time than one task would send it."""
+    ordered = numbered(urls, source, url, name="_n")
+    first = ordered.groupBy(source).agg(F.min("_n").alias("_first")).withColumnRenamed(source, "_source")
+    joined = ordered.join(first, F.col(source).eqNullSafe(F.col("_source")))
+    return joined.select(*urls.columns, ((F.col("_n") - F.col("_first")) * F.lit(float(delay))).alias(name))
+
+
 def fetch(
     urls: DataFrame, get: Callable[[str], tuple[int, str]], url: str = "url", tries: int = 1, delay: float = 0.0, source: str | None = None,
-    sleep: Callable[[float], None] = time.sleep,
+    due: str | None = None, sleep: Callable[[float], None] = time.sleep,
 ) -> DataFrame:
     """``url, status, body`` by a fetcher that executors call; after ``tries`` exceptions status is null and the body the last one's text.
 
     ``get`` is any function that can be sent to executors, a table look-up as well as a client. Between the requests of a task
     there are ``delay`` seconds or more; where ``source`` names a column, each source's requests are one task's, so
-    that the delay holds for the source.
+    that the delay holds for the source. Where ``due`` names a column, as ``with_due_times`` makes it, a request waits until so many
+    seconds after now, so that a source's requests can be several tasks'.
     """
+    began = time.time()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        due = 0.0
+        free = 0.0
         for batch in batches:
             rows = []
-            for link in batch["url"]:
+            for link, after in zip(batch["url"], batch["due"], strict=True):
+                if (wait := began + after - time.time()) > 0:
+                    sleep(wait)
                 for attempt in range(tries):
-                    if (wait := due - time.monotonic()) > 0:
+                    if (wait := free - time.monotonic()) > 0:
                         sleep(wait)
-                    due = time.monotonic() + delay
+                    free = time.monotonic() + delay
                     try:
                         rows.append((link, *get(link)))
                         break
@@ -118,4 +144,5 @@ def fetch(
             yield pd.DataFrame(rows, columns=["url", "status", "body"]).astype({"status": "Int64"})
 
     rows = urls if source is None else urls.repartition(source)
-    return rows.select(F.col(url).alias("url")).mapInPandas(run, "url string, status long, body string")
+    after = F.lit(0.0) if due is None else F.col(due).cast("double")
+    return rows.select(F.col(url).alias("url"), after.alias("due")).mapInPandas(run, "url string, status long, body string")
