@@ -49,8 +49,6 @@ NAME = re.compile(r"[A-Za-z_$][\w$.-]*\Z")
 Span = tuple[int, int]
 #: What an expression comes to: spans of literals, and the parts of constants, which are shared and not copied.
 Parts = list["Span | Parts"]
-#: Literals are repeated as often as the expression does, until the value is so much longer than the text.
-REPEATS = 10_000
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -84,25 +82,21 @@ def literal_score(value: str) -> float:
     return min(1.0, entropy / 4 + 0.1 * (classes - 2) + 0.1 * (n >= 20))
 
 
-def resolved(parts: Parts, most: int) -> list[Span]:
-    """All literals of ``parts`` in order; where these come to more than ``most`` characters, each one once."""
-    for once in (False, True):
-        spans: list[Span] = []
-        seen: set[int | Span] = set()
-        n, stack = 0, parts[::-1]
-        while stack and (once or n <= most):
-            part = stack.pop()
-            mark = id(part) if isinstance(part, list) else part
-            if once and mark in seen:
-                continue
-            seen.add(mark)
-            if isinstance(part, list):
-                stack += part[::-1]
-            else:
-                spans.append(part)
-                n += part[1] - part[0] + 1
-        if once or n <= most:
-            break
+def resolved(parts: Parts) -> list[Span]:
+    """The literals of ``parts`` in order, each once, however often constants repeat it: so work is in proportion to the text."""
+    spans: list[Span] = []
+    seen: set[int | Span] = set()
+    stack = parts[::-1]
+    while stack:
+        part = stack.pop()
+        mark = id(part) if isinstance(part, list) else part
+        if mark in seen:
+            continue
+        seen.add(mark)
+        if isinstance(part, list):
+            stack += part[::-1]
+        else:
+            spans.append(part)
     return spans
 
 
@@ -146,7 +140,7 @@ def found_literals(text: str) -> list[tuple[int, int, float, str]]:
     for name, parts in pairs(text):
         sensitive = name_score(name)
         if sensitive:
-            spans = resolved(parts, len(text) + REPEATS)
+            spans = resolved(parts)
             score = sensitive + literal_score("".join(text[a:b] for a, b in spans)) - 0.5
             if score >= SCORE:
                 for span in spans:
@@ -171,7 +165,12 @@ def _joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:
-    """One row per secret: ``doc_id, kind, start, end, value``; positions are code points."""
+    """One row per secret: ``doc_id, kind, start, end, value``; positions are code points, ends exclusive.
+
+    Added spans are of kind ``literal``; a value that expressions and constants make is scored from its literals, each once. Null and empty
+    texts, and an empty table, give no row; repeated rows give theirs each; spans of one start are in the order of the kinds. Other
+    columns are ignored.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
