@@ -20,7 +20,7 @@ ROUNDS = 3
 SUPPORT = 3
 #: ... and if its confidence is this high; the same holds for instances.
 CONFIDENT = 0.6
-#: A word of a pattern is known by so many of its last characters.
+#: A longer word of a pattern is known by its hash, so that patterns stay short.
 WORD_CHARS = 32
 #: Matches of a text that are gathered into one list before lists are joined.
 GATHERED = 64
@@ -40,10 +40,10 @@ SPAN = "struct<s:int,e:int,m:string,c:string>"
 
 
 def _last_words(text: str) -> str:
-    """SQL for the end of the last line of ``text``: two words or more, each by its last characters."""
+    """SQL for the end of the last line of ``text``: two words or more, long ones as hashes of the whole word."""
     line = rf"substring_index(translate({text}, '\r\u000b\u000c', '\n\n\n'), '\n', -1)"
     words = rf"split(substring_index(regexp_replace({line}, '[ \t]+', ' '), ' ', -3), ' ')"
-    return f"array_join(transform({words}, w -> right(w, {WORD_CHARS})), ' ')"
+    return f"array_join(transform({words}, w -> if(char_length(w) > {WORD_CHARS}, md5(w), w)), ' ')"
 
 
 def _spans(text: str, pattern: str, needed: str) -> str:
