@@ -141,13 +141,19 @@ def test_lost_tables_are_built_anew(spark, docs):
 
 
 @pytest.mark.parametrize("n", [1, 2, 9, 300, 301])
-def test_exact_median(spark, monkeypatch, n):
-    monkeypatch.setattr(zipf, "BUCKETS", 8)
+@pytest.mark.parametrize("s", [1.0, 0.37])
+def test_median_of_ranges(spark, monkeypatch, n, s):
+    monkeypatch.setattr(zipf, "FEW", 8)
     rnd = random.Random(n)
-    values = [rnd.choice([rnd.random() * 1e6, 5.0, rnd.random()]) for _ in range(n)] + [None]
-    df = spark.createDataFrame([(x,) for x in values], "x double")
-    assert zipf.exact_median(df, "x") == pytest.approx(statistics.median(values[:-1]))
-    assert zipf.exact_median(df.limit(0), "x") is None
+    freqs = sorted((rnd.choice([1, 1, 2, 3, 700, rnd.randrange(1, 5000)]) for _ in range(n)), reverse=True)
+    df = spark.createDataFrame([(x,) for x in freqs], "freq long")
+    ranges = zipf.frequency_ranges(df)
+    got = zipf.median_level(ranges, s)
+    assert got == pytest.approx(statistics.median(f * r**s for r, f in enumerate(freqs, 1)), rel=1e-12)
+    assert zipf.median_level(ranges.limit(0), s) is None
+    # many equal values
+    same = spark.createDataFrame([(12, 1, 1), (6, 2, 2), (4, 3, 3), (3, 4, 4)] * 9, "freq long, first long, last long")
+    assert zipf.median_level(same, 1.0) == 12.0
 
 
 def test_result_lines_and_slowest(spark, corpus):

@@ -7,14 +7,16 @@ frequency its range of ranks. The vocabulary itself is never sorted.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.text import ascii_lower
 from textloom.plans.scratch import settle
 
 RANKS_A_ROW = 1 << 14
-BUCKETS = 1 << 12
+#: Values by which the median is looked for at once, and ranks of which the last search takes all.
+CUTS, FEW = 32, 1 << 12
 
 
 def term_frequencies(tokens: DataFrame) -> DataFrame:
@@ -37,32 +39,63 @@ def _ranked(ranges: DataFrame) -> DataFrame:
     return pieces.select(F.explode(F.sequence("at", F.least(F.col("at") + RANKS_A_ROW - 1, "last"))).alias("rank"), "freq")
 
 
-def exact_median(values: DataFrame, column: str) -> float | None:
-    """The median of a column by histograms: the bucket that holds the middle is looked at closer until it is small.
+def _value(freq: Column, rank: Column, s: float) -> Column:
+    return freq * F.pow(rank, F.lit(s))
 
-    ``values`` is read several times and should be a written table. The driver gets the counts of ``BUCKETS`` buckets, and
-    at the end the values of one.
+
+def _up_to(v: float, s: float) -> Column:
+    """Ranks of a range ``freq, first, last`` at which ``freq * rank ** s`` is at most ``v``; values rise within a range."""
+    freq = F.col("freq")
+    guess = F.floor(F.pow(F.lit(v) / freq, F.lit(1 / s)))
+    # the power of a root may be off by a rounding
+    rank = guess + F.when(_value(freq, guess + 1, s) <= v, 1).when(_value(freq, guess, s) > v, -1).otherwise(0)
+    return F.greatest(F.lit(0), F.least(F.col("last"), rank) - F.col("first") + 1)
+
+
+def median_level(ranges: DataFrame, s: float) -> float | None:
+    """The median of ``freq * rank ** s`` over ranges of ranks, without a row for each rank.
+
+    What lies below a value is counted range by range. The values between which the middle one lies are drawn closer, ``CUTS`` at a time,
+    until no more than ``FEW`` ranks are between them; only these are made. ``ranges`` is read several times and should be a written table.
     """
-    x = F.col(column).cast("double")
-    whole = values.filter(x.isNotNull()).agg(F.count("*"), F.min(x), F.max(x)).first()
+    ends = ranges.agg(F.sum(F.col("last") - F.col("first") + 1), F.min(_value(F.col("freq"), F.col("first"), s)), F.max(_value(F.col("freq"), F.col("last"), s)))
+    n, least, most = ends.first()
+    if not n:
+        return None
 
     def at(place: int) -> float:
-        n, low, high = whole
-        while n > BUCKETS and low < high:
-            part = F.least(F.floor((x - low) / (high - low) * BUCKETS), F.lit(BUCKETS - 1)).alias("bucket")
-            rows = values.filter(x.between(low, high)).groupBy(part).agg(F.count("*").alias("n"), F.min(x).alias("low"), F.max(x).alias("high"))
-            for row in sorted(rows.collect()):
-                if place < row["n"]:
+        low, high, below, upto = np.nextafter(least, -np.inf), most, 0, n
+        while upto - below > FEW and np.nextafter(low, np.inf) < high:
+            cuts = [float(x) for x in np.linspace(low, high, CUTS + 1)[1:-1]]
+            counts = ranges.agg(*[F.sum(_up_to(v, s)) for v in cuts]).first()
+            for v, count in zip(cuts, counts, strict=True):
+                if count > place:
+                    high, upto = v, count
                     break
-                place -= row["n"]
-            n, low, high = row["n"], row["low"], row["high"]
-        if low == high:
-            return low
-        return sorted(r[0] for r in values.filter(x.between(low, high)).select(x).collect())[place]
-
-    if not whole[0]:
-        return None
-    return (at((whole[0] - 1) // 2) + at(whole[0] // 2)) / 2
+                low, below = v, count
+        first, last = F.col("first") + _up_to(float(low), s), F.col("first") + _up_to(float(high), s) - 1
+        if upto - below > FEW:  # so many equal values
+            return float(high)
+        few = ranges.select("freq", first.alias("a"), last.alias("b")).filter("a <= b")
+        ranks = few.select("freq", F.explode(F.sequence("a", "b")).alias("rank"))
+        return sorted(r[0] for r in ranks.select(_value(F.col("freq"), F.col("rank"), s)).collect())[place - below]
+
+    return (at((n - 1) // 2) + at(n // 2)) / 2
+
+
+def _slope(ranges: DataFrame) -> float:
+    """The slope of ln freq over ln rank; a range adds its sums of logarithms, in pieces."""
+    ends = F.explode(F.sequence("first", "last", F.lit(RANKS_A_ROW).cast("long"))).alias("a")
+    pieces = ranges.select("freq", "last", ends).select("freq", "a", F.least(F.col("a") + RANKS_A_ROW - 1, "last").alias("b"))
+    pieces = pieces.repartition(int(ranges.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    logs = F.transform(F.sequence("a", "b"), lambda r: F.log(r.cast("double")))
+    sums = F.aggregate(
+        logs, F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("xx")), lambda acc, x: F.struct((acc["x"] + x).alias("x"), (acc["xx"] + x * x).alias("xx"))
+    )
+    each = pieces.select((F.col("b") - F.col("a") + 1).cast("double").alias("n"), F.log(F.col("freq").cast("double")).alias("y"), sums.alias("t"))
+    n, x, y, xx, xy = each.agg(F.sum("n"), F.sum("t.x"), F.sum(F.col("n") * F.col("y")), F.sum("t.xx"), F.sum(F.col("t.x") * F.col("y"))).first()
+    spread = 0.0 if not n else xx - x * x / n
+    return (xy - x * y / n) / spread if spread > 1e-12 else 0.0
 
 
 def zipf_fit(freqs: DataFrame) -> DataFrame:
@@ -71,7 +104,10 @@ def zipf_fit(freqs: DataFrame) -> DataFrame:
     The slope is fitted on ranks r1 = max(10, V/100) to r2 = max(r1 + 10, V/2), cut at V; s outside of
     (0.1, 3) counts as 1, and c is the median of ``freq * rank ** s`` there, or the top frequency.
     """
-    ranges = settle(frequency_ranges(freqs), "frequency-ranges")
+    return _fit(settle(frequency_ranges(freqs), "frequency-ranges"))
+
+
+def _fit(ranges: DataFrame) -> DataFrame:
     vocabulary, tokens, top = ranges.agg(
         F.max("last"), F.sum(F.col("freq") * (F.col("last") - F.col("first") + 1)), F.max("freq")
     ).first()
@@ -80,19 +116,17 @@ def zipf_fit(freqs: DataFrame) -> DataFrame:
         return ranges.sparkSession.createDataFrame([(None,) * 5 + (1.0, None)], schema)
     r1 = max(10, vocabulary // 100)
     r2 = min(vocabulary, max(r1 + 10, vocabulary // 2))
-    cut = ranges.filter((F.col("last") >= r1) & (F.col("first") <= r2))
-    cut = cut.select("freq", F.greatest("first", F.lit(r1)).alias("first"), F.least("last", F.lit(r2)).alias("last"))
-    inside = settle(_ranked(cut), "ranks-of-fit")
-    slope = inside.agg(F.regr_slope(F.log(F.col("freq").cast("double")), F.log(F.col("rank").cast("double")))).first()[0]
-    s = -(slope or 0.0)
+    inside = ranges.filter((F.col("last") >= r1) & (F.col("first") <= r2))
+    inside = inside.select("freq", F.greatest("first", F.lit(r1)).alias("first"), F.least("last", F.lit(r2)).alias("last"))
+    s = -_slope(inside)
     s = s if 0.1 < s < 3.0 else 1.0
-    level = exact_median(inside.withColumn("level", F.col("freq") * F.pow("rank", F.lit(s))), "level")
+    level = median_level(inside, s)
     row = (vocabulary, tokens, top, r1, r2, s, float(top) if level is None else level)
     return ranges.sparkSession.createDataFrame([row], schema)
 
 
 def zipf_table(freqs: DataFrame) -> DataFrame:
-    """``rank, freq, zipf_fit`` for every rank."""
-    freqs = settle(freqs, "frequencies")
-    s, c = zipf_fit(freqs).select("s", "c").first()
-    return _ranked(frequency_ranges(freqs)).select("rank", "freq", (F.lit(c) / F.pow("rank", F.lit(s))).alias("zipf_fit"))
+    """``rank, freq, zipf_fit`` for every rank; of the frequencies only their ranges are kept."""
+    ranges = settle(frequency_ranges(freqs), "frequency-ranges")
+    s, c = _fit(ranges).select("s", "c").first()
+    return _ranked(ranges).select("rank", "freq", (F.lit(c) / F.pow("rank", F.lit(s))).alias("zipf_fit"))

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from textloom.functions.text import ascii_lower
-from textloom.operators.crawl import finish
 from textloom.operators.index import boolean_postings, forward
 from textloom.operators.tokenize import token_stream
 
@@ -38,20 +37,3 @@ def fetches_by_window(fetches: DataFrame, width: str = "10 minutes", late: str =
     """``start, source, outcome, n`` over a stream of fetches ``(ts, source, outcome)``; later ones than ``late`` are dropped."""
     per = fetches.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "source", "outcome")
     return per.agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "source", "outcome", "n")
-
-
-def follow_outcomes(outcomes: DataFrame, first: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keeps snapshots of tasks below ``path``, one for each batch of ``outcomes (source, url_norm, outcome, detail, at)``.
-
-    Batch n reads snapshot n-1, the first one ``first``; repeating a batch writes the same snapshot again.
-    """
-
-    def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        tasks = first if number == 0 else spark.read.parquet(f"{path}/{number - 1}")
-        now = batch.agg(F.max("at")).first()[0] or 0
-        last = batch.groupBy("source", "url_norm").agg(F.max_by(F.struct("outcome", "detail"), "at").alias("o"))
-        last = last.select("source", "url_norm", "o.outcome", "o.detail")
-        finish(tasks, last, now).write.mode("overwrite").parquet(f"{path}/{number}")
-
-    return outcomes.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
