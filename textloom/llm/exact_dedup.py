@@ -135,6 +135,10 @@ def exact_dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_bits: in
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``exact_dedup`` keeps, with their columns as they are."""
+    """The rows of ``docs`` that ``exact_dedup`` keeps, with their columns as they are, whatever their names.
+
+    Null texts equal empty ones; a row without an id stays only where no row of its text has one. Of repeated rows one stays,
+    and where their other columns differ the one whose JSON sorts first. An empty table gives an empty result.
+    """
     verdicts = settle(exact_dedup(docs), "copies")
     return rows_that_stay(docs, verdicts, "text_sha256", F.sha2(_text("a.text"), 256))

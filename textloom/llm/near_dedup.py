@@ -365,6 +365,10 @@ def _text_hash():
 
 
 def drop_near_copies(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """The rows of ``docs`` that ``near_classes`` keeps, one of each class, with their columns as they are."""
+    """The rows of ``docs`` that ``near_classes`` keeps, one of each class, with their columns as they are, whatever their names.
+
+    Null and empty texts are classes of their own and stay; of repeated rows one stays, and where their other columns differ the
+    one whose JSON sorts first. An empty table gives an empty result.
+    """
     verdicts = settle(near_classes(docs, similar), "near-verdicts")
     return rows_that_stay(docs, verdicts, "h", _text_hash())

@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from textloom.llm import bpe, clustering, conversations, exact_dedup, mixing, near_dedup, packing, personal_data, secret_scan, suffix_dedup, topk, toxicity, warc
+from textloom.plans.scratch import read_dealt
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_dealt(spark, f"{sf_dir}/{name}.parquet")
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -251,6 +251,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, rates: Rates = Rates(), thresho
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, rates: Rates = Rates(), threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that score below the threshold, with their columns as they are."""
+    """The rows of ``docs`` that score below the threshold, with their columns as they are.
+
+    Null and empty texts have a score like others; a score at the threshold is toxic. Repeated rows stay or go together. Empty ``docs``
+    give an empty result; without usable ``labels`` all texts score alike. Other columns are kept, whatever their names.
+    """
     name = free_names(docs.columns, "toxicity")[0]
     return with_scores(docs, train(docs, labels, rates), score=name).filter(F.col(name) < threshold).drop(name)

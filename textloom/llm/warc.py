@@ -215,7 +215,8 @@ def round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """Archive all ``pages`` and read every record back: ``page_id, payload_bytes, payload_digest,
     record_type, refers_to``, all from the records' own headers.
 
-    The folder must be one that all executors reach; by default it is a new one in the shared folder. An
+    The folder must be one that all executors reach; by default it is a new one in the shared folder. Null html is
+    an empty payload and a null url a name of its own; repeated rows are records each, and those of the smallest page_id are all responses. An
     empty table gives an empty result; other columns are ignored, whatever their names.
     """
     folder = folder or scratch_path(pages.sparkSession, "warc")
