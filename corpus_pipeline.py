@@ -1,7 +1,8 @@
 """A corpus from raw documents: toxic ones and copies go, sources are mixed, and what is left is encoded.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept. Stages are written as
-Parquet and read again, so each starts from a committed table.
+Parquet and read again, so each starts from a committed table. Null and empty texts, ties, repeated rows, empty tables and other
+columns are as the operators' docstrings say; no stage fails on them.
 """
 
 from __future__ import annotations

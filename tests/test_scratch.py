@@ -19,3 +19,12 @@ def test_own_folder_only_where_unset():
     context.master = "spark://host:7077"
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         scratch.shared_dir(session)
+
+
+def test_small_tables_are_dealt(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    spark.range(100).coalesce(1).write.parquet(path)
+    small = scratch.read_dealt(spark, path)
+    assert small.count() == 100 and small.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(scratch, "SMALL_BYTES", 1)
+    assert "Exchange" not in scratch.read_dealt(spark, path)._jdf.queryExecution().toString()

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
@@ -41,3 +42,18 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: A table with no more bytes for each core is dealt anew; Spark itself cuts files no smaller.
+SMALL_BYTES = 4 << 20
+
+
+def read_dealt(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table, with as many tasks as there are cores where it is small.
+
+    A small file is one task, however much work its rows are. So a table of few bytes is dealt to all cores; a larger one is read as it
+    lies. Filters and the choice of columns still reach the files. The bytes come from the files' listing.
+    """
+    table, cores = spark.read.parquet(path), spark.sparkContext.defaultParallelism
+    size = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).agg(F.sum("length")).first()[0] or 0
+    return table.repartition(cores) if size <= cores * SMALL_BYTES else table

@@ -13,7 +13,7 @@ from textloom.functions.urls import listing_urls, normalize_url, page_url, strip
 from textloom.operators import bitmaps, crawl, index, search, tokenize, web, zipf
 from textloom.plans.config import typed_source
 from textloom.plans.lakehouse import Corpus
-from textloom.plans.scratch import scratch_path
+from textloom.plans.scratch import read_dealt, scratch_path
 from textloom.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,11 +32,11 @@ def query(sql: str | None = None):
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return read_dealt(spark, f"{sf_dir}/documents.parquet")
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return read_dealt(spark, f"{sf_dir}/pages.parquet")
 
 
 def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
