@@ -43,10 +43,10 @@ def _value(freq: Column, rank: Column, s: float) -> Column:
     return freq * F.pow(rank, F.lit(s))
 
 
-def _up_to(v: float, s: float) -> Column:
+def _up_to(v: Column, s: float) -> Column:
     """Ranks of a range ``freq, first, last`` at which ``freq * rank ** s`` is at most ``v``; values rise within a range."""
     freq = F.col("freq")
-    guess = F.floor(F.pow(F.lit(v) / freq, F.lit(1 / s)))
+    guess = F.floor(F.pow(v / freq, F.lit(1 / s)))
     # the power of a root may be off by a rounding
     rank = guess + F.when(_value(freq, guess + 1, s) <= v, 1).when(_value(freq, guess, s) > v, -1).otherwise(0)
     return F.greatest(F.lit(0), F.least(F.col("last"), rank) - F.col("first") + 1)
@@ -55,7 +55,7 @@ def _up_to(v: float, s: float) -> Column:
 def median_level(ranges: DataFrame, s: float) -> float | None:
     """The median of ``freq * rank ** s`` over ranges of ranks, without a row for each rank.
 
-    What lies below a value is counted range by range. The values between which the middle one lies are drawn closer, ``CUTS`` at a time,
+    What lies below a value is counted range by range. The values between which the middle ones lie are drawn closer, ``CUTS`` at a time,
     until no more than ``FEW`` ranks are between them; only these are made. ``ranges`` is read several times and should be a written table.
     """
     ends = ranges.agg(F.sum(F.col("last") - F.col("first") + 1), F.min(_value(F.col("freq"), F.col("first"), s)), F.max(_value(F.col("freq"), F.col("last"), s)))
@@ -63,24 +63,29 @@ def median_level(ranges: DataFrame, s: float) -> float | None:
     if not n:
         return None
 
-    def at(place: int) -> float:
-        low, high, below, upto = np.nextafter(least, -np.inf), most, 0, n
+    def about(place: int) -> tuple[int, int, list[float]]:
+        """``below, upto, values``: the values of places ``below`` to ``upto``, around ``place``."""
+        low, high, below, upto = float(np.nextafter(least, -np.inf)), most, 0, n
         while upto - below > FEW and np.nextafter(low, np.inf) < high:
-            cuts = [float(x) for x in np.linspace(low, high, CUTS + 1)[1:-1]]
-            counts = ranges.agg(*[F.sum(_up_to(v, s)) for v in cuts]).first()
-            for v, count in zip(cuts, counts, strict=True):
+            cuts = F.array(*[F.lit(float(x)) for x in np.linspace(low, high, CUTS + 1)[1:-1]])
+            counted = ranges.withColumn("v", F.explode(cuts)).groupBy("v").agg(F.sum(_up_to(F.col("v"), s)).alias("n"))
+            for v, count in sorted(counted.collect()):
                 if count > place:
                     high, upto = v, count
                     break
                 low, below = v, count
-        first, last = F.col("first") + _up_to(float(low), s), F.col("first") + _up_to(float(high), s) - 1
         if upto - below > FEW:  # so many equal values
-            return float(high)
+            return below, upto, [high]
+        first, last = F.col("first") + _up_to(F.lit(low), s), F.col("first") + _up_to(F.lit(high), s) - 1
         few = ranges.select("freq", first.alias("a"), last.alias("b")).filter("a <= b")
         ranks = few.select("freq", F.explode(F.sequence("a", "b")).alias("rank"))
-        return sorted(r[0] for r in ranks.select(_value(F.col("freq"), F.col("rank"), s)).collect())[place - below]
+        return below, upto, sorted(r[0] for r in ranks.select(_value(F.col("freq"), F.col("rank"), s)).collect())
 
-    return (at((n - 1) // 2) + at(n // 2)) / 2
+    below, upto, values = about((n - 1) // 2)
+    one = values[0 if len(values) == 1 else (n - 1) // 2 - below]
+    if n // 2 >= upto:
+        below, upto, values = about(n // 2)
+    return (one + values[0 if len(values) == 1 else n // 2 - below]) / 2
 
 
 def _slope(ranges: DataFrame) -> float:
