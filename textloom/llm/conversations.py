@@ -17,7 +17,6 @@ from __future__ import annotations
 import hashlib
 import itertools
 import os
-import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
