@@ -612,3 +612,20 @@ def test_suffix_array():
             assert text[a : a + 50] <= text[b : b + 50]
             n = next((i for i in range(600 - max(a, b)) if text[a + i] != text[b + i]), 600 - max(a, b))
             assert shared[b] == n or shared[b] <= n < 8
+
+
+def test_passages_travel_in_few_bytes():
+    rng = np.random.default_rng(3)
+    place = np.concatenate([np.arange(100, 1100), [5000, 5002], np.arange(100, 600)])
+    at, count = (np.frombuffer(x, np.int32) for x in suffix_dedup._marks(place))
+    assert list(zip(at.tolist(), count.tolist(), strict=True)) == [(100, 1000), (5000, 1), (5002, 1)]
+    found = np.unique(suffix_dedup._short(rng.integers(0, 1 << 63, 1000, dtype=np.uint64) * np.uint64(2)))
+    blob = suffix_dedup._written(found)
+    assert len(blob) == 5 * len(found) and (suffix_dedup._read(blob) == found).all()
+    begin, count, owner = np.arange(0, 6400, 64), np.full(100, 15), np.repeat(np.arange(10), 10)
+    text = b"words of a passage that many documents have in common, each some " * 200
+    text = text[: int(count.sum()) + 100 * 49]
+    sent = suffix_dedup._segments(begin, count, owner, text)
+    assert sum(map(len, sent)) < len(text) // 4
+    back = suffix_dedup._segments_of(dict(zip("abcd", sent, strict=True)), 50)
+    assert all((x == y).all() for x, y in zip(back, (begin, count, owner), strict=False)) and back[3] == text

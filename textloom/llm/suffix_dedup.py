@@ -38,6 +38,7 @@ LAST_ID = (1 << 63) - 1
 #: An anchor of more shards is hot; and the copies of a hot string's answer.
 HOT_SHARDS = 1024
 SALTS = 64
+SHORT_BYTES = 5
 _BLOCK = 1 << 19
 _value = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64)
 
@@ -218,6 +219,45 @@ def _dropped(side: pa.Table) -> set[tuple[int, int]]:
     return out
 
 
+def _short(found: np.ndarray) -> np.ndarray:
+    """The upper 40 bits of anchors: what shards tell each other. Two anchors that share them only cost strings that are sent in vain."""
+    return found >> U64(64 - 8 * SHORT_BYTES)
+
+
+def _written(short: np.ndarray) -> bytes:
+    return short.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - SHORT_BYTES :].tobytes()
+
+
+def _read(blob: bytes) -> np.ndarray:
+    wide = np.zeros((len(blob) // SHORT_BYTES, 8), np.uint8)
+    wide[:, 8 - SHORT_BYTES :] = np.frombuffer(blob, np.uint8).reshape(-1, SHORT_BYTES)
+    return wide.view(">u8").ravel().astype(U64)
+
+
+def _squeezed(data: bytes) -> bytes:
+    return pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _segments(begin: np.ndarray, count: np.ndarray, owner: np.ndarray, strings: bytes) -> tuple[bytes, bytes, bytes, bytes]:
+    """The columns a to d of strings around anchors."""
+    return begin.astype(np.int32).tobytes(), _squeezed(count.astype(np.int32).tobytes()), _squeezed(owner.astype(np.int64).tobytes()), _squeezed(strings)
+
+
+def _segments_of(row: dict, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
+    begin = np.frombuffer(row["a"], np.int32)
+    full = lambda x, size: pa.decompress(x, decompressed_size=size, codec="zstd", asbytes=True)
+    count = np.frombuffer(full(row["b"], 4 * len(begin)), np.int32)
+    owner = np.frombuffer(full(row["c"], 8 * len(begin)), np.int64)
+    return begin, count, owner, full(row["d"], int(count.sum()) + len(begin) * (length - 1))
+
+
+def _marks(place: np.ndarray) -> tuple[bytes, bytes]:
+    """Marked places as runs: the columns a and b."""
+    place = np.unique(place)
+    new = np.flatnonzero(np.concatenate([[True], np.diff(place) > 1])) if len(place) else np.zeros(0, np.int64)
+    return place[new].astype(np.int32).tobytes(), np.diff(np.append(new, len(place))).astype(np.int32).tobytes()
+
+
 def _blobs(side: pa.Table, kind: int, column: str, dtype: type) -> np.ndarray:
     found = [np.frombuffer(x, dtype) for k, x in zip(side.column("kind").to_pylist(), side.column(column).to_pylist(), strict=True) if k == kind]
     return np.concatenate(found) if found else np.zeros(0, dtype)
@@ -356,15 +396,15 @@ def remove_repeats(
             return _routed([])
         shard, me = Shard(left, _dropped(right), length), _number(left, right)
         found = anchors(shard.data, length, k)
-        found = np.unique(found[shard.starts[: len(found)]])
+        found = np.unique(_short(found[shard.starts[: len(found)]]))
         bucket = (found % U64(n_buckets)).astype(np.int64)
         by = np.argsort(bucket, kind="stable")
         cuts = np.searchsorted(bucket[by], np.arange(n_buckets + 1))
-        return _routed([(b, SHARED, me, found[by[x:y]].tobytes(), None, None, None) for b, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if y > x])
+        return _routed([(b, SHARED, me, _written(found[by[x:y]]), None, None, None) for b, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if y > x])
 
     def find_shared(side: pa.Table) -> pa.Table:
         shards = side.column("shard").to_pylist()
-        runs = [np.frombuffer(x, U64) for x in side.column("a").to_pylist()]
+        runs = [_read(x) for x in side.column("a").to_pylist()]
         every, shards_of = np.unique(np.concatenate(runs), return_counts=True)
         several, hot = every[shards_of > 1], every[shards_of > hot_shards]
         if not len(several):
@@ -374,7 +414,7 @@ def remove_repeats(
             at = np.minimum(np.searchsorted(several, run), len(several) - 1)
             mine = run[several[at] == run]
             if len(mine):
-                out.append((shard, SHARED, shard, mine.tobytes(), np.intersect1d(mine, hot).tobytes(), None, None))
+                out.append((shard, SHARED, shard, _written(mine), _written(np.intersect1d(mine, hot)), None, None))
         return _routed(out)
 
     def tell_strings(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -385,8 +425,8 @@ def remove_repeats(
         at, count = _runs(later)
         # its marks travel by way of some bucket, as buckets' answers do
         out = [(me % n_buckets, MARKS, me, at.astype(np.int32).tobytes(), count.astype(np.int32).tobytes(), None, None)]
-        wanted, hot = (np.sort(_blobs(right, SHARED, c, np.uint64)) for c in "ab")
-        found = anchors(shard.data, length, k)
+        wanted, hot = (np.sort(_read(_blobs(right, SHARED, c, np.uint8).tobytes())) for c in "ab")
+        found = _short(anchors(shard.data, length, k))
         if len(wanted) and len(found):
             hit = first[: len(found)] & (wanted[np.minimum(np.searchsorted(wanted, found), len(wanted) - 1)] == found)
             new = hit.copy()
@@ -404,40 +444,38 @@ def remove_repeats(
             for b, kind, own in parts:
                 if len(own):
                     strings = b"".join([whole[s : s + c + length - 1] for s, c in zip(begin[own].tolist(), count[own].tolist(), strict=True)])
-                    out.append((b, kind, me, begin[own].astype(np.int32).tobytes(), count[own].astype(np.int32).tobytes(), owner[own].tobytes(), strings))
+                    out.append((b, kind, me, *_segments(begin[own], count[own], owner[own], strings)))
         return _routed(out)
 
     def settle_strings(side: pa.Table) -> pa.Table:
         rows = side.to_pylist()
         out = [(r["shard"], MARKS, r["shard"], r["a"], r["b"], None, None) for r in rows if r["kind"] == MARKS]
         rows = [r for r in rows if r["kind"] == STRINGS]
-        runs = [(np.frombuffer(r["c"], np.int64), np.frombuffer(r["b"], np.int32), r["d"]) for r in rows]
-        for r, (_, count, _), mask in zip(rows, runs, later_strings(runs, length) if runs else [], strict=True):
+        read = [_segments_of(r, length) for r in rows]
+        masks = later_strings([(owner, count, text) for _, count, owner, text in read], length) if rows else []
+        for r, (begin, count, _, _), mask in zip(rows, read, masks, strict=True):
             if mask.any():
-                begin = np.frombuffer(r["a"], np.int32)
                 place = np.repeat(begin - np.concatenate([[0], np.cumsum(count)])[:-1], count) + np.arange(count.sum())
-                place = place[mask].astype(np.int32)
-                ones = np.ones(len(place), np.int32)
-                out.append((r["shard"], MARKS, r["shard"], place.tobytes(), ones.tobytes(), None, None))
+                out.append((r["shard"], MARKS, r["shard"], *_marks(place[mask]), None, None))
         return _routed(out)
 
     def hot_strings(side: pa.Table) -> pa.Table:
         columns: list[list] = [[], [], [], []]
         for r in side.filter(pc.equal(side.column("kind"), HOT_STRINGS)).to_pylist():
-            begin, count = np.frombuffer(r["a"], np.int32), np.frombuffer(r["b"], np.int32)
+            begin, count, owners, text = _segments_of(r, length)
             at = np.concatenate([[0], np.cumsum(count + length - 1)])
-            for k, (owner, place, n) in enumerate(zip(np.frombuffer(r["c"], np.int64).tolist(), begin.tolist(), count.tolist(), strict=True)):
+            for k, (owner, place, n) in enumerate(zip(owners.tolist(), begin.tolist(), count.tolist(), strict=True)):
                 for i in range(n):
-                    values = (r["d"][at[k] + i : at[k] + i + length], owner, r["shard"], place + i)
+                    values = (text[at[k] + i : at[k] + i + length], owner, r["shard"], place + i)
                     for column, value in zip(columns, values, strict=True):
                         column.append(value)
         kinds = (pa.binary(), pa.int64(), pa.int32(), pa.int32())
         return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["string", "owner", "shard", "place"])
 
     def packed_marks(side: pa.Table) -> pa.Table:
-        place = side.column("place").to_numpy().astype(np.int32)
+        place = side.column("place").to_numpy()
         shard = side.column("shard")[0].as_py()
-        return _routed([(shard, MARKS, shard, place.tobytes(), np.ones(len(place), np.int32).tobytes(), None, None)])
+        return _routed([(shard, MARKS, shard, *_marks(place), None, None)])
 
     def settle_hot(strings: DataFrame) -> DataFrame:
         hot = strings.groupBy("to_key").applyInArrow(hot_strings, "string binary, owner long, shard int, place int")
