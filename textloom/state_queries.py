@@ -46,7 +46,7 @@ def doc_ordinals(spark, sf_dir):
 def export_array(spark, sf_dir):
     """Documents as indented JSON arrays, written and read back in byte ranges."""
     path = scratch_path(spark, "array")
-    json_array.write_json_array(_docs(spark, sf_dir).select("doc_id", "text").coalesce(1), path)
+    json_array.write_json_array(_docs(spark, sf_dir).select("doc_id", "text"), path)
     read = json_array.json_array(spark, path, 1 << 20).select(F.from_json("value", "doc_id long, text string").alias("d"))
     return read.select("d.doc_id", T.content_hash(F.col("d.text")).alias("content_hash"))
 
