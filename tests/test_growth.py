@@ -23,6 +23,15 @@ def test_exported_arrays_are_many_tasks(spark, sf, tmp_path, monkeypatch):
     assert len(list((tmp_path / "array").glob("part-*"))) > 1
 
 
+def test_categories_to_any_depth(spark):
+    names = [f"Категория:{'Списки ' if i % 4 == 3 else ''}{i:02}" for i in range(12)]
+    edges = spark.createDataFrame(list(zip(names, names[1:], strict=False)), "parent string, child string")
+    seeds = spark.createDataFrame([(names[0],)], "node string")
+    done, frontier = crawl.discover_categories(edges, seeds, None)
+    assert [(r["node"], r["depth"], r["place"]) for r in done.orderBy("place").collect()] == [(x, i, i + 1) for i, x in enumerate(names)]
+    assert frontier.isEmpty()
+
+
 def test_queries_of_documents_by_id(spark, sf):
     asked = queries._many_queries(spark, sf).collect()
     assert asked and all((r["query_no"] - 1) // 5 % 100 == 0 for r in asked)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions.text import retry_delay
 from textloom.functions.urls import normalize_url
-from textloom.operators.numbering import until_total
+from textloom.operators.numbering import numbered, until_total
 from textloom.operators.web import category_priority
 from textloom.plans.scratch import settle
 
@@ -190,12 +190,12 @@ FRONTIER = "node string, priority int, depth int"
 
 
 def discover_categories(
-    edges: DataFrame, seeds: DataFrame | None, max_depth: int, most: int | None = None, done: DataFrame | None = None, frontier: DataFrame | None = None
+    edges: DataFrame, seeds: DataFrame | None, max_depth: int | None, most: int | None = None, done: DataFrame | None = None, frontier: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """``done (node, priority, depth, place)`` and ``frontier (node, priority, depth)``: categories best first.
 
     In each round all open categories of the least (priority, depth) are taken, in the order of their titles, and
-    their children that may be followed are opened. It ends when nothing is open or ``most`` are done; what was returned then
+    their children that may be followed are opened, down to ``max_depth``; None: all. It ends when nothing is open or ``most`` are done; what was returned then
     goes on where it stopped when it is given again.
     """
     spark = edges.sparkSession
@@ -213,12 +213,13 @@ def discover_categories(
         now = frontier.filter((F.col("priority") == best["priority"]) & (F.col("depth") == best["depth"]))
         if most is not None:
             now = now.orderBy("node").limit(most - count)
-        taken = settle(now.withColumn("place", F.lit(count).cast("long") + F.row_number().over(Window.partitionBy("priority", "depth").orderBy("node"))), "taken")
+        taken = settle(numbered(now, "node", name="place", start=count + 1), "taken")
         done = settle(done.unionByName(taken), "done-categories")
         reached = edges.join(taken.select(F.col("node").alias("parent")), "parent").select(F.col("child").alias("node")).distinct()
         depth = best["depth"] + 1
         opened = reached.withColumn("priority", category_priority(F.col("node")).cast("int")).withColumn("depth", F.lit(depth))
-        every = frontier.unionByName(opened.filter(F.col("depth") <= max_depth)).join(done.select("node"), "node", "left_anti")
+        opened = opened if max_depth is None else opened.filter(F.col("depth") <= max_depth)
+        every = frontier.unionByName(opened).join(done.select("node"), "node", "left_anti")
         frontier = settle(every.groupBy("node", "priority").agg(F.min("depth").alias("depth")), "frontier")
         count = done.count()
     return done, frontier
