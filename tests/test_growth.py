@@ -37,3 +37,27 @@ def test_queries_of_documents_by_id(spark, sf):
     assert asked and all((r["query_no"] - 1) // 5 % 100 == 0 for r in asked)
     hits = queries.query_file(spark, sf)
     assert {r["query_no"] for r in hits.select("query_no").distinct().collect()} <= {1, 2}
+
+
+def test_lists_count_as_streams_do(spark):
+    rows = [(1, "The the lists, lists"), (1, "the List"), (2, None), (3, ""), (None, "the"), (4, "Списками списками x-y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    streams, lists = tokenize.token_stream(docs), tokenize.token_lists(docs)
+    held = {r["token"]: len(r["held"]) for r in lists.collect()}
+    assert held["the"] == 3 and held["lists"] == 1  # a row for all texts that have it
+    for make in (index.boolean_postings, index.word_postings, index.ranked_postings, lambda t: index.ranked_postings(t, stemmed=False)):
+        assert sorted(make(streams).collect(), key=repr) == sorted(make(lists).collect(), key=repr)
+    for make in (index.boolean_postings, index.word_postings):
+        dealt = make(lists, to_write=True)
+        assert sorted(make(streams).collect(), key=repr) == sorted(dealt.collect(), key=repr)
+        assert dealt._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange ") == 1
+
+
+def test_repeated_postings_are_told_by_number(spark):
+    rows = [("a", 1, 1), ("a", 1, 2), ("b", 1, 1), ("b", 2, 1)]
+    tables = {
+        "postings": spark.createDataFrame(rows, "term string, doc_id long, tf long"),
+        "forward": spark.createDataFrame([(1,), (2,)], "doc_id long"),
+        "meta": spark.createDataFrame([(2,)], "docs_count long"),
+    }
+    assert {r["check"]: r["bad"] for r in index.validate_index(tables).collect()}["repeated posting"] == 1
