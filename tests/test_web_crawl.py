@@ -52,6 +52,13 @@ def test_meta(spark):
     assert read(spark, '<link rel="x canonical" href=" //o/p ">')["canonical"] == "https://o/p" and read(spark, "<p>")["canonical"] is None
 
 
+def test_cut_references_in_titles(spark):
+    assert read(spark, "<h1>a = &quot</h1>", "blog")["title"] == "a = &quot"
+    assert read(spark, "<h1>&quot;a&copy; &ampb &amp;quot &copy; &copyc &middot; &notit; \ue000 &a</h1>")["title"] == '"a© &b &quot © &copyc · &notit; \ue000 &a'
+    page = H.flat('<a href="/x?a=1&copy=2&amp;b"></a><script>&quot</script>')
+    assert page["elements"][0]["attrs"] == [("href", "/x?a=1&copy=2&b")] and page["strings"] == [{"text": '"', "silent": True}]
+
+
 @pytest.mark.parametrize("source", ["", "<", "</p></p>", "<p" * 2000, "<div>" * 3000, None])
 def test_broken_pages(spark, source):
     pages = spark.createDataFrame([(1, "http://h/", source)], "page_id long, url string, html string")
