@@ -59,6 +59,14 @@ def test_cut_references_in_titles(spark):
     assert page["elements"][0]["attrs"] == [("href", "/x?a=1&copy=2&b")] and page["strings"] == [{"text": '"', "silent": True}]
 
 
+CUT = f"<article><h1>A heading of thirty-odd characters and one = &quot</h1><p>{LONG} &quot;&quot</p></article>"
+
+
+@pytest.mark.parametrize("kind", ["blog"])
+def test_cut_references_in_text(spark, kind):
+    assert read(spark, CUT, kind)["text"].split("\n") == ["A heading of thirty-odd characters and one = &quot", f'{LONG} "&quot']
+
+
 @pytest.mark.parametrize("source", ["", "<", "</p></p>", "<p" * 2000, "<div>" * 3000, None])
 def test_broken_pages(spark, source):
     pages = spark.createDataFrame([(1, "http://h/", source)], "page_id long, url string, html string")
