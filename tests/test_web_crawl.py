@@ -62,7 +62,7 @@ def test_cut_references_in_titles(spark):
 CUT = f"<article><h1>A heading of thirty-odd characters and one = &quot</h1><p>{LONG} &quot;&quot</p></article>"
 
 
-@pytest.mark.parametrize("kind", ["blog"])
+@pytest.mark.parametrize("kind", ["blog", "news"])
 def test_cut_references_in_text(spark, kind):
     assert read(spark, CUT, kind)["text"].split("\n") == ["A heading of thirty-odd characters and one = &quot", f'{LONG} "&quot']
 
