@@ -67,6 +67,13 @@ def test_cut_references_in_text(spark, kind):
     assert read(spark, CUT, kind)["text"].split("\n") == ["A heading of thirty-odd characters and one = &quot", f'{LONG} "&quot']
 
 
+def test_cut_references_count_as_words(spark):
+    pages = spark.createDataFrame([(1, "https://h/x", CUT, "s")], "page_id long, url string, html string, source string")
+    got = web.fetched_documents(pages, {"s": ("blog", 1)}, 10).first()
+    # ``quot`` twice; a whole reference is no word
+    assert got["word_count"] == 8 + 1 + 9 + 1 and got["parsed_text"].endswith('"&quot')
+
+
 @pytest.mark.parametrize("source", ["", "<", "</p></p>", "<p" * 2000, "<div>" * 3000, None])
 def test_broken_pages(spark, source):
     pages = spark.createDataFrame([(1, "http://h/", source)], "page_id long, url string, html string")
