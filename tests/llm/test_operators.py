@@ -614,6 +614,16 @@ def test_suffix_array():
             assert shared[b] == n or shared[b] <= n < 8
 
 
+def test_anchors_of_many_shards_meet_in_buckets(spark):
+    rows = [(i, f"{i} a line that very many documents have in common {i * i}") for i in range(500)]
+    docs = table(spark, rows)
+    got = suffix_dedup.remove_repeats(docs, length=20, shard_bytes=16)  # some 1,900 shards, most of which have the line
+    assert "hot_strings" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert "hot_strings" in suffix_dedup.remove_repeats(docs, length=20, shard_bytes=16, hot_shards=1024)._jdf.queryExecution().optimizedPlan().toString()
+    want = sorted(str((i, *x)) for (i, _), x in zip(rows, brute.repeats(rows, 20), strict=True))
+    assert sorted(str(tuple(r)) for r in got.collect()) == want
+
+
 def test_passages_travel_in_few_bytes():
     rng = np.random.default_rng(3)
     place = np.concatenate([np.arange(100, 1100), [5000, 5002], np.arange(100, 600)])

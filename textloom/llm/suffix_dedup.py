@@ -35,8 +35,10 @@ SHARD_BYTES = 2 << 20
 PIECE_BYTES = 1 << 20
 SEPARATOR = 0xFF  # in no UTF-8 text
 LAST_ID = (1 << 63) - 1
-#: An anchor of more shards is hot; and the copies of a hot string's answer.
-HOT_SHARDS = 1024
+#: An anchor of more shards is hot; and the copies of a hot string's answer. An occurrence of an anchor has 31 strings at most, some 800
+#: bytes with their keys, owners and places: 26 MB from so many shards, which a bucket can hold. Hot strings are rows of their own,
+#: whose answers are copied, so an anchor is only hot beyond that.
+HOT_SHARDS = 1 << 15
 SALTS = 64
 SHORT_BYTES = 5
 _BLOCK = 1 << 19
