@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from textloom import queries, state_queries
 from textloom.functions import html as H
-from textloom.operators import crawl, index, tokenize
+from textloom.operators import crawl, index, pruned, search, tokenize
+from textloom.plans.lakehouse import Corpus
 
 
 def test_pages_are_parsed_a_few_at_a_time(spark):
@@ -61,3 +62,13 @@ def test_repeated_postings_are_told_by_number(spark):
         "meta": spark.createDataFrame([(2,)], "docs_count long"),
     }
     assert {r["check"]: r["bad"] for r in index.validate_index(tables).collect()}["repeated posting"] == 1
+
+
+def test_pruned_search_reads_the_stems_asked_for(spark):
+    docs = spark.createDataFrame([(i, f"goals goal team the w{i}") for i in range(300)], "doc_id long, text string")
+    asked, corpus = search.query_terms(spark, ["goal the"]), Corpus(docs)
+    found = {r["doc_id"]: r["rank"] for r in corpus.ranked_pruned(asked, topk=3)[0].collect()}
+    assert found == {0: 1, 1: 2, 2: 3}
+    assert set(corpus._paths) == {"words", "documents-with-terms"}  # no table of all terms' blocks
+    kept = pruned.of_stems(corpus.words, asked)
+    assert sorted({r["term"] for r in kept.collect()}) == ["goal", "goals", "the"] and kept.columns == corpus.words.columns
