@@ -73,6 +73,35 @@ def test_a_table_of_queries(spark, small):
     assert corpus.boolean_many(queries.limit(0)).count() == 0
 
 
+def test_queries_pass_every_shard(spark, monkeypatch):
+    for name, value in (("SHARD_WORDS", 2), ("QUERIES_A_ROW", 8), ("TERM_PARTS", 2), ("HITS_AT_ONCE", 3)):
+        monkeypatch.setattr(query_tables, name, value)
+    rnd = random.Random(14)
+    rows = [(i * i * i * 1_000_003 - 10**12, " ".join(c for c in NAMES if rnd.random() < 0.3)) for i in range(120)]  # ids far apart
+    corpus = Corpus(spark.createDataFrame(rows, DOCS))
+    texts = [random_query(rnd) for _ in range(40)]
+    queries = spark.createDataFrame(list(enumerate(texts, 1)), "query_no int, query string")
+    want = {(n, i) for n, text in enumerate(texts, 1) for i, t in rows if B.evaluate(B.parse(text), t.split().__contains__)}
+    many = corpus.boolean_many(queries)
+    assert many.schema["query_no"].dataType.simpleString() == "int"
+    hits = [(r["query_no"], r["doc_id"]) for r in many.collect()]
+    assert len(hits) == len(set(hits)) and {x for x in hits if x[1] is not None} == want
+    assert {n for n, i in hits if i is None} == set(range(1, 41)) - {n for n, _ in want}
+    assert {r["query_no"]: r["hits"] for r in corpus.boolean_counts(queries).collect()} == {n: sum(x == n for x, _ in want) for n in range(1, 41)}
+
+
+def test_pairs_of_queries_and_documents_are_not_shuffled(spark, small):
+    queries = spark.createDataFrame([(n, f"{a} || !{b}") for n, (a, b) in enumerate(zip(NAMES * 30, NAMES[3:] * 60, strict=False), 1)], "query_no long, query string")
+    known = query_tables.compiled(queries)
+    dealt = query_tables._dealt(small[1].term_words, small[1].universe, known)
+    # what is shuffled holds queries once a shard and no pair with a document
+    shards = dealt.agg(F.max("shard") + 1).first()[0]
+    assert dealt.agg(F.sum(F.size("q"))).first()[0] == queries.count() * shards
+    plan = small[1].boolean_many(queries)._jdf.queryExecution().sparkPlan().toString()
+    after = plan[: plan.index("MapInArrow")]
+    assert "Exchange" not in after and "Join" not in after.replace("BroadcastHashJoin", "")
+
+
 def test_bitmaps_are_sets(spark):
     rnd = random.Random(13)
     a, b = ({rnd.randrange(-200, 200) for _ in range(90)} for _ in range(2))
